@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirgate.operators.evaluate import equal_depth_slices
+from weirgate.operators.evaluate import add_slice, slice_edges
 
 SLICE_ROWS = 2_000_000
 
@@ -13,6 +13,7 @@ SLICE_ROWS = 2_000_000
 def asof_last(
     probes: DataFrame, facts: DataFrame, keys: list[str], value: str, output: str,
     time: str = "time_us", tie: str = "event_id", slice_rows: int = SLICE_ROWS,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """``probes`` plus ``output``: the ``value`` of the latest fact with the same keys.
 
@@ -20,7 +21,8 @@ def asof_last(
     sides are unioned and read by a running window, so no pairs are formed. When
     the rows exceed ``slice_rows`` the window runs per key and time slice; one
     summary row per key and slice carries the last value forward, so a key that
-    holds a third of all rows is spread over all slices.
+    holds a third of all rows is spread over all slices. ``edges`` reuses time
+    slices already found.
     """
     payload = F.struct(*[F.col(c) for c in probes.columns])
     kind = probes.select(payload.alias("p")).schema["p"].dataType
@@ -33,11 +35,16 @@ def asof_last(
         *known, F.col(time).alias("t"), F.col(tie).alias("i"), F.lit(1).alias("side"),
         F.lit(None).cast(dtype).alias("v"), payload.alias("probe"),
     ))
-    sliced = equal_depth_slices(events, "t", slice_rows)
+    if edges is None:
+        edges = slice_edges(events.select("t"), "t", slice_rows)
+    sliced = add_slice(events, "t", edges)
     upto = Window.partitionBy(*keys, "slice").orderBy("t", "i", "side").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = sliced.withColumn("near", F.last("v", ignorenulls=True).over(upto)).filter("side = 1")
 
+    if not edges:
+        return local.select("probe.*", F.col("near").alias(output))
+
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("t", "i")))
     carried = (

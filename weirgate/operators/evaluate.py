@@ -64,21 +64,27 @@ def class_report(df: DataFrame, prediction: str, y: str = "y", labels: tuple = (
     )
 
 
-def equal_depth_slices(df: DataFrame, column: str, rows: int, output: str = "slice") -> DataFrame:
-    """Add a slice number that grows with ``column``; slices hold about equally many rows.
+def slice_edges(df: DataFrame, column: str, rows: int) -> list[float]:
+    """Boundaries that cut ``column`` into slices of about ``rows`` rows; none if one slice will do.
 
-    A frame of at most ``rows`` rows stays in slice 0. The boundaries are
-    approximate percentiles (at most ``MAX_SLICES`` numbers on the driver); they
-    only balance the work and never change a result.
+    They are approximate percentiles (at most ``MAX_SLICES`` numbers on the
+    driver): they only balance the work and never change a result.
     """
     n = df.filter(F.col(column).isNotNull()).count()
-    wanted = min(MAX_SLICES, -(-n // rows)) if rows else MAX_SLICES
+    wanted = min(MAX_SLICES, -(-n // rows))
     if wanted <= 1:
-        return df.withColumn(output, F.lit(0))
+        return []
     grid = [i / wanted for i in range(1, wanted)]
-    edges = sorted(set(df.agg(F.percentile_approx(column, grid, max(10_000, 4 * wanted))).first()[0]))
-    splits = [float("-inf"), *[float(e) for e in edges], float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="_sliced", outputCol="_slice", handleInvalid="keep")
+    found = df.agg(F.percentile_approx(column, grid, max(10_000, 4 * wanted))).first()[0]
+    return sorted({float(e) for e in found})
+
+
+def add_slice(df: DataFrame, column: str, edges: list[float], output: str = "slice") -> DataFrame:
+    """Add a slice number that grows with ``column``."""
+    if not edges:
+        return df.withColumn(output, F.lit(0))
+    binned = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_sliced", outputCol="_slice",
+                        handleInvalid="keep")
     return (
         binned.transform(df.withColumn("_sliced", F.col(column).cast("double")))
         .withColumn(output, F.col("_slice").cast("int")).drop("_sliced", "_slice")
@@ -97,7 +103,7 @@ def auc(df: DataFrame, score: str, y: str = "y", slice_rows: int = SLICE_ROWS) -
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     )
-    sliced = equal_depth_slices(points, "score", slice_rows)
+    sliced = add_slice(points, "score", slice_edges(points, "score", slice_rows))
     inside = Window.partitionBy("slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     per_slice = ranked.groupBy("slice").agg(

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.operators.neighbors import fits_broadcast, nearest_neighbors, neighbors_column
+from weirgate.operators.neighbors import share_if_small, with_neighbors
 from weirgate.operators.sampling import fold
 
 # The two search grids, offline and live.
@@ -29,10 +29,11 @@ def vote(neighbors: Column, k: int, weights: str, labels: list[int]) -> Column:
             return F.lit(1.0)
         return F.when(exact, (n["distance"] == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), n["distance"]))
 
-    totals = [
-        F.aggregate(F.filter(near, lambda n, c=c: n["label"] == c), F.lit(0.0), lambda a, n: a + weight(n))
-        for c in sorted(labels)
-    ]
+    def total(c: int) -> Column:
+        own = F.filter(near, lambda n: n["label"] == c)
+        return F.aggregate(own, F.lit(0.0), lambda a, n: a + weight(n))
+
+    totals = [total(c) for c in sorted(labels)]
     best = F.greatest(*totals) if len(totals) > 1 else totals[0]
     out = F
     for c, t in zip(sorted(labels), totals):
@@ -53,20 +54,11 @@ class KnnModel:
     def transform(self, df: DataFrame, id_col: str = "flow_id", output: str = "prediction") -> DataFrame:
         """Add the predicted class. ``df`` holds the feature array ``x``.
 
-        A small training side becomes a column expression (also on streams); a
-        large one goes through the partitioned search and joins back on the id.
+        A small training side is broadcast and read by a column expression (also
+        on streams); a large one goes through the partitioned search.
         """
-        if fits_broadcast(self.train):
-            near = neighbors_column(F.col("x"), self.train, self.k, self.p)
-            return (
-                df.withColumn("_near", near)
-                .withColumn(output, vote(F.col("_near"), self.k, self.weights, self.labels))
-                .drop("_near")
-            )
-        near = nearest_neighbors(df.select(F.col(id_col).alias("id"), "x"), self.train, self.k, self.p)
-        scored = near.select(F.col("id").alias(id_col),
-                             vote(F.col("neighbors"), self.k, self.weights, self.labels).alias(output))
-        return df.join(scored, id_col, "left")
+        near = with_neighbors(df, self.train, self.k, self.p, id_col)
+        return near.withColumn(output, vote(F.col("neighbors"), self.k, self.weights, self.labels)).drop("neighbors")
 
 
 def training_rows(df: DataFrame, id_col: str = "flow_id", label: str = "label") -> DataFrame:
@@ -86,31 +78,26 @@ def grid_search(train: DataFrame, grid: dict | None = None, folds: int = 5, seed
     grid = LIVE_GRID if grid is None else grid
     labels = class_labels(train)
     rows = train.withColumn("fold", fold(folds, "id", seed))
-    most = max(grid["k"])
-    results = None
-    for p in grid["p"]:
-        searched = None
-        for f in range(folds):
-            test, rest = rows.filter(F.col("fold") == f), rows.filter(F.col("fold") != f)
-            near = nearest_neighbors(test.select("id", "x"), rest.drop("fold"), most, p)
+    candidates = list(product(grid["k"], grid["weights"]))
+    votes = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"),
+                 vote(F.col("neighbors"), k, w, labels).alias("prediction"))
+        for k, w in candidates
+    ])
+    searched = None
+    for f in range(folds):
+        test, rest = rows.filter(F.col("fold") == f), rows.filter(F.col("fold") != f).drop("fold")
+        shared = share_if_small(rest)
+        for p in grid["p"]:
+            near = with_neighbors(test, rest, max(grid["k"]), p, shared=shared).select(
+                F.lit(p).alias("p"), "fold", F.col("label").alias("y"), F.inline(votes))
             searched = near if searched is None else searched.unionByName(near)
-        candidates = list(product(grid["k"], grid["weights"]))
-        votes = F.array(*[
-            F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"),
-                     vote(F.col("neighbors"), k, w, labels).alias("prediction"))
-            for k, w in candidates
-        ])
-        scored = (
-            searched.join(rows.select("id", F.col("label").alias("y"), "fold"), "id")
-            .select("y", "fold", F.inline(votes))
-            .groupBy("k", "weights", "fold")
-            .agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
-            .groupBy("k", "weights")
-            .agg(F.avg("accuracy").alias("accuracy"))
-            .withColumn("p", F.lit(p))
-        )
-        results = scored if results is None else results.unionByName(scored)
-    return results.select("p", "k", "weights", "accuracy").orderBy(F.desc("accuracy"), "k", "p", F.desc("weights"))
+    hit = (F.col("y") == F.col("prediction")).cast("double")
+    return (
+        searched.groupBy("p", "k", "weights", "fold").agg(F.avg(hit).alias("accuracy"))
+        .groupBy("p", "k", "weights").agg(F.avg("accuracy").alias("accuracy"))
+        .orderBy(F.desc("accuracy"), "k", "p", F.desc("weights"))
+    )
 
 
 def fit(train: DataFrame, grid: dict | None = None, folds: int = 5, seed: int = 42) -> KnnModel:

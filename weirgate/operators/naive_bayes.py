@@ -57,25 +57,40 @@ def _moments(df: DataFrame, keys: list[str], width: int) -> list[tuple[tuple, Cl
     ]
 
 
-def _prediction(x: Column, classes: dict[int, ClassMoments], smoothing: float) -> Column:
-    labels = sorted(c for c, m in classes.items() if m.n > 0)
-    parts = [classes[c] for c in labels]
-    floor = smoothing * max(_pool(parts), default=0.0)
-    total = sum(m.n for m in parts)
-    scores = []
-    for m in parts:
+# Per class: label, log prior minus half the log determinant, means, variances.
+PARAMETERS = "array<struct<c: int, constant: double, m: array<double>, v: array<double>>>"
+
+
+def _parameters(classes: dict[int, ClassMoments], smoothing: float) -> list[tuple]:
+    parts = {c: m for c, m in sorted(classes.items()) if m.n > 0}
+    floor = smoothing * max(_pool(list(parts.values())), default=0.0)
+    total = sum(m.n for m in parts.values())
+    out = []
+    for c, m in parts.items():
         variances = [max(v + floor, 1e-300) for v in m.variances]
         constant = math.log(m.n / total) - 0.5 * sum(math.log(2 * math.pi * v) for v in variances)
-        pairs = F.array(*[
-            F.struct(F.lit(mean).alias("m"), F.lit(v).alias("v")) for mean, v in zip(m.means, variances)
-        ])
-        spread = F.zip_with(x, pairs, lambda a, q: (a - q["m"]) * (a - q["m"]) / q["v"])
-        scores.append(F.lit(constant) - F.lit(0.5) * F.aggregate(spread, F.lit(0.0), lambda s, v: s + v))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    out = F
-    for c, s in zip(labels, scores):
-        out = out.when(s == best, F.lit(c))
-    return out.otherwise(F.lit(None)).cast("int")
+        out.append((c, constant, m.means, variances))
+    return out
+
+
+def _prediction(x: Column, parameters: Column) -> Column:
+    """Class with the highest log-likelihood; the lower class wins a tie."""
+    def score(q):
+        spread = F.zip_with(
+            x, F.arrays_zip(q["m"].alias("m"), q["v"].alias("v")),
+            lambda a, p: (a - p["m"]) * (a - p["m"]) / p["v"])
+        likelihood = q["constant"] - F.lit(0.5) * F.aggregate(spread, F.lit(0.0), lambda s, v: s + v)
+        return F.struct(likelihood.alias("score"), (-q["c"]).alias("order"))
+
+    return (-F.array_max(F.transform(parameters, score))["order"]).cast("int")
+
+
+def _literal(parameters: list[tuple]) -> Column:
+    return F.array(*[
+        F.struct(F.lit(c).alias("c"), F.lit(k).alias("constant"),
+                 F.array(*[F.lit(a) for a in m]).alias("m"), F.array(*[F.lit(a) for a in v]).alias("v"))
+        for c, k, m, v in parameters
+    ])
 
 
 @dataclass
@@ -84,7 +99,7 @@ class GaussianNb:
     smoothing: float = 1e-9
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        return df.withColumn(output, _prediction(F.col("x"), self.classes, self.smoothing))
+        return df.withColumn(output, _prediction(F.col("x"), _literal(_parameters(self.classes, self.smoothing))))
 
 
 def _width(df: DataFrame) -> int:
@@ -112,7 +127,6 @@ def grid_search(df: DataFrame, folds: int = 5, id_col: str = "flow_id", label: s
     rows = df.filter(F.col(label).isNotNull()).withColumn("fold", fold(folds, id_col, seed))
     per_fold = dict(_moments(rows, ["fold", label], _width(df)))
     labels = sorted({c for _, c in per_fold})
-    empty = ClassMoments(0, [], [])
     total: dict[int, ClassMoments] = {}
     for c in labels:
         parts = [m for (_, cls), m in per_fold.items() if cls == c]
@@ -123,16 +137,15 @@ def grid_search(df: DataFrame, folds: int = 5, id_col: str = "flow_id", label: s
             sum(m.n * (m.variances[j] + (m.means[j] - means[j]) ** 2) for m in parts) / n for j in range(d)
         ]
         total[c] = ClassMoments(n, means, variances)
-    votes = []
-    for s in grid:
-        choice = F
-        for f in range(folds):
-            rest = {
-                c: total[c].minus(per_fold[(f, c)]) if (f, c) in per_fold else total[c] for c in labels
-            }
-            rest = {c: m for c, m in rest.items() if m.n > 0} or {c: empty for c in labels}
-            choice = choice.when(F.col("fold") == f, _prediction(F.col("x"), rest, s))
-        votes.append((F.col(label) == choice).cast("double"))
-    per = rows.groupBy("fold").agg(*[F.avg(v).alias(f"s{i}") for i, v in enumerate(votes)]).collect()
-    scores = [(s, sum(r[f"s{i}"] for r in per) / len(per)) for i, s in enumerate(grid)]
-    return sorted(scores, key=lambda t: (-t[1], t[0]))
+    # One row per fold and candidate.
+    table = []
+    for f in range(folds):
+        rest = {c: total[c].minus(per_fold[(f, c)]) if (f, c) in per_fold else total[c] for c in labels}
+        table += [(f, float(s), _parameters(rest, s)) for s in grid]
+    candidates = df.sparkSession.createDataFrame(table, f"fold int, smoothing double, parameters {PARAMETERS}")
+    hit = (F.col(label) == _prediction(F.col("x"), F.col("parameters"))).cast("double")
+    per = (
+        rows.join(F.broadcast(candidates), "fold").groupBy("fold", "smoothing").agg(F.avg(hit).alias("accuracy"))
+        .groupBy("smoothing").agg(F.avg("accuracy").alias("accuracy")).collect()
+    )
+    return sorted(((r["smoothing"], r["accuracy"]) for r in per), key=lambda t: (-t[1], t[0]))

@@ -20,13 +20,13 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.functions.hashing import order_key
 from weirgate.operators.sampling import row_cap
-from weirgate.workspace import cut_lineage
+from weirgate.workspace import cut_lineage, spread
 
 NEIGHBORS = "array<struct<distance: double, id: bigint, label: int>>"
 BROADCAST_ROWS = 100_000
@@ -79,31 +79,25 @@ def _nearest(q: np.ndarray, t: np.ndarray, k: int, p: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
-def _reference(df: DataFrame):
-    """(ids, labels, matrix) sorted by id, for a side already known to be small."""
-    table = df.select("id", "label", "x").toArrow().combine_chunks()
+def share_if_small(reference: DataFrame, rows: int = BROADCAST_ROWS) -> Broadcast | None:
+    """``reference`` (id, label, x) sorted by id and broadcast, or None if it passes a bound.
+
+    The size is taken first, over at most one row more than the bound.
+    """
+    size = reference.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+    if size["n"] > rows or size["n"] * (size["width"] or 0) > BROADCAST_CELLS:
+        return None
+    table = reference.select("id", "label", "x").toArrow().combine_chunks()
     ids = table["id"].to_numpy()
     order = np.argsort(ids, kind="stable")
-    labels = table["label"].to_numpy()
-    return ids[order], labels[order].astype("int32"), np.ascontiguousarray(_matrix(table["x"])[order])
-
+    labels = table["label"].to_numpy().astype("int32")
+    matrix = np.ascontiguousarray(_matrix(table["x"])[order])
+    return reference.sparkSession.sparkContext.broadcast((ids[order], labels[order], matrix))
 
-def fits_broadcast(reference: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``reference`` (id, label, x) stays under the row and cell bounds; counting stops there."""
-    n = reference.limit(rows + 1).count()
-    if n > rows:
-        return False
-    width = reference.select(F.max(F.size("x"))).first()[0] or 0
-    return n * width <= BROADCAST_CELLS
 
-
-def neighbors_column(x: Column, reference: DataFrame, k: int, p: int = 2) -> Column:
-    """Neighbours of the array column ``x`` in a small reference side, as a column.
-
-    Stream-safe: the reference is read once, when the column is built.
-    """
-    spark = reference.sparkSession
-    shared = spark.sparkContext.broadcast(_reference(reference))
+def neighbors_column(x: Column, shared: Broadcast, k: int, p: int = 2) -> Column:
+    """Neighbours of the array column ``x`` in a shared reference side. Stream-safe."""
 
     @F.arrow_udf(NEIGHBORS)
     def search(vectors: pa.Array) -> pa.Array:
@@ -119,14 +113,22 @@ def neighbors_column(x: Column, reference: DataFrame, k: int, p: int = 2) -> Col
     return search(x)
 
 
-def nearest_neighbors(
-    queries: DataFrame, reference: DataFrame, k: int, p: int = 2,
-    broadcast_rows: int = BROADCAST_ROWS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+def with_neighbors(
+    queries: DataFrame, reference: DataFrame, k: int, p: int = 2, id_col: str = "id",
+    shared: Broadcast | None = None, broadcast_rows: int = BROADCAST_ROWS,
+    cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(id, neighbors) for ``queries`` (id, x) in ``reference`` (id, label, x)."""
-    if fits_broadcast(reference, broadcast_rows):
-        return queries.select("id", neighbors_column(F.col("x"), reference, k, p).alias("neighbors"))
-    return _partitioned(queries, reference, k, p, cell_rows, block_rows)
+    """``queries`` plus ``neighbors``, the k nearest rows of ``reference`` (id, label, x).
+
+    ``queries`` holds ``id_col`` and the array ``x``. ``shared`` reuses a reference
+    side already broadcast. The partitioned way joins its answer back on the id.
+    """
+    shared = shared or share_if_small(reference, broadcast_rows)
+    if shared is not None:
+        return spread(queries).withColumn("neighbors", neighbors_column(F.col("x"), shared, k, p))
+    asked = queries.select(F.col(id_col).alias("id"), "x")
+    found = _partitioned(asked, reference, k, p, cell_rows, block_rows)
+    return queries.join(found.withColumnRenamed("id", id_col), id_col, "left")
 
 
 def _partitioned(queries, reference, k, p, cell_rows, block_rows) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.functions.hashing import order_key, uniform
-from weirgate.operators.neighbors import nearest_neighbors
+from weirgate.operators.neighbors import with_neighbors
 from weirgate.operators.sampling import BUCKET_DIGITS, _smallest_keys
 
 
@@ -46,13 +46,13 @@ def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, digi
         copies = copies + chosen.cast("int")
     bases = minority.withColumn("copies", copies).filter(F.col("copies") > 0)
     # One more neighbour than asked for, since a row is its own nearest.
-    near = nearest_neighbors(bases.select("id", "x"), minority, k + 1, 2, **search)
+    near = with_neighbors(bases, minority, k + 1, 2, **search)
     others = F.slice(F.filter("neighbors", lambda m: m["id"] != F.col("id")), 1, k)
     pick = F.floor(uniform(f"{seed}:neighbor", F.col("id"), F.col("copy")) * k).cast("int")
     gap = uniform(f"{seed}:gap", F.col("id"), F.col("copy"))
     planned = (
-        bases.join(near.select("id", others.alias("others")), "id")
-        .select("id", "label", "x", "others", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        near.select("id", "label", "x", others.alias("others"),
+                    F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         .select("id", "label", "x", "copy", gap.alias("gap"),
                 F.element_at("others", pick + 1)["id"].alias("neighbor_id"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.cleaning import drop_lldp
 from weirgate.operators.asof import SLICE_ROWS, asof_last
+from weirgate.operators.evaluate import slice_edges
 from weirgate.workspace import broadcast_if_small
 
 # Block rule lifetime in seconds and rule priorities.
@@ -95,12 +96,14 @@ def effective_action(
     """
     starts = episodes.select(
         *MATCH, F.col("start_us").alias("time_us"), F.lit(-1).cast("bigint").alias("flow_id"), "end_us")
+    # Episodes and learned addresses come from the same flows: one set of time slices serves both.
+    edges = slice_edges(flows, "time_us", slice_rows // 2)
     covered = asof_last(flows.select("flow_id", "time_us", *MATCH), starts, MATCH, "end_us", "until",
-                        tie="flow_id", slice_rows=slice_rows)
+                        tie="flow_id", edges=edges)
     learned = drop_lldp(packets).select(
         "dpid", F.col("eth_src").alias("mac"), "time_us", F.col("packet_id").alias("flow_id"), "in_port")
     known = asof_last(covered.withColumn("mac", F.col("eth_dst")), learned, ["dpid", "mac"], "in_port",
-                      "out_port", tie="flow_id", slice_rows=slice_rows)
+                      "out_port", tie="flow_id", edges=edges)
     dropped = F.coalesce(F.col("time_us") < F.col("until"), F.lit(False))
     forwarded = F.col("out_port").isNotNull()
     return known.select(

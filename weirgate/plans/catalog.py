@@ -566,7 +566,7 @@ def dt_grid(spark, sf):
 def svm_grid(spark, sf):
     """The offline kernel grid on the capped sample."""
     prepared = _prepared(spark, sf)
-    scores = svm.grid_search(prepared.balanced.select("id", "label", "x"), 5, id_col="id", max_iter=20)
+    scores = svm.grid_search(prepared.balanced.select("id", "label", "x"), 5, id_col="id")
     rows = [(s["kernel"], float(s["C"]), s["gamma"], float(a)) for s, a in scores]
     return spark.createDataFrame(rows, "kernel string, c double, gamma string, accuracy double")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirgate.operators import knn, naive_bayes, svm, trees
 from weirgate.operators.features import FlowFeatures, FlowFeaturesModel
-from weirgate.operators.sampling import is_test, row_cap, split, stratified_cap
+from weirgate.operators.sampling import is_test, row_cap, stratified_cap
 from weirgate.operators.smote import balance
 from weirgate.schemas import MODEL_NAMES
 from weirgate.sources import bundles
@@ -24,6 +25,7 @@ log = logging.getLogger(__name__)
 
 CLASS_CAP = 2000
 SVM_ROWS = 30_000
+ROWS_PER_FILE = 20_000
 STATUS = "model string, ok boolean, accuracy double, error string"
 
 
@@ -37,6 +39,10 @@ class Prepared:
     test: DataFrame
 
 
+def _training_columns():
+    return F.col("flow_id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label"), "x"
+
+
 def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x"))
 
@@ -50,19 +56,22 @@ def prepare(df: DataFrame, class_cap: int | None = CLASS_CAP, split_first: bool
     leak. The feature rows are written once and read by every trainer.
     """
     rows = require_rows(df.dropna(subset=["label"]), "training data")
+    files = None
     if class_cap:
+        # A few thousand rows from all over the table: gather them in few files.
         rows = stratified_cap(rows, class_cap, seed=seed)
-    rows = cut_lineage(rows)
+        files = max(1, 2 * class_cap // ROWS_PER_FILE)
+    rows = cut_lineage(rows.withColumn("is_test", is_test(seed=seed)), files)
     if split_first:
-        train, test = split(rows, seed=seed)
-        model = FlowFeatures(k_features).fit(train)
-        plain = cut_lineage(knn.training_rows(model.transform(train)))
-        held = cut_lineage(knn.training_rows(model.transform(test)))
-        balanced = cut_lineage(balance(plain, id_col="id", seed=seed))
+        model = FlowFeatures(k_features).fit(rows.filter("NOT is_test"))
+        featured = model.transform(rows).select("is_test", *_training_columns())
+        featured = cut_lineage(featured, files)
+        plain, held = (featured.filter(c).drop("is_test") for c in ("NOT is_test", "is_test"))
+        balanced = cut_lineage(balance(plain, id_col="id", seed=seed), files)
     else:
         model = FlowFeatures(k_features).fit(rows)
-        everything = cut_lineage(knn.training_rows(model.transform(rows)))
-        resampled = cut_lineage(balance(everything, id_col="id", seed=seed))
+        everything = cut_lineage(model.transform(rows).select(*_training_columns()), files)
+        resampled = cut_lineage(balance(everything, id_col="id", seed=seed), files)
         chosen = is_test("id", seed=seed)
         balanced, held = resampled.filter(~chosen), resampled.filter(chosen)
         plain = everything.filter(~chosen)
@@ -133,8 +142,7 @@ def train_all(spark: SparkSession, prepared: Prepared, root: str | None = None,
     Returns the bundles and a status row per model. With ``root`` each bundle is
     also saved to ``root/<model>``.
     """
-    trained, status = {}, []
-    for name, trainer in (LIVE if trainers is None else trainers).items():
+    def attempt(name: str, trainer: Trainer):
         try:
             model, settings = trainer(prepared)
             bundle = Bundle(name, name, prepared.features, model, settings=settings)
@@ -145,11 +153,17 @@ def train_all(spark: SparkSession, prepared: Prepared, root: str | None = None,
                 raise ValueError("no test rows to score")
             if root:
                 bundles.save(bundle, spark, f"{root}/{name}")
-            trained[name] = bundle
-            status.append((name, True, float(bundle.accuracy), None))
+            return bundle, (name, True, float(bundle.accuracy), None)
         except Exception as error:  # one model must not stop the others
             log.error("training %s failed: %s", name, error)
-            status.append((name, False, None, str(error)[:500]))
+            return None, (name, False, None, str(error)[:500])
+
+    todo = LIVE if trainers is None else trainers
+    # Each trainer is a chain of short jobs; run side by side they share the cluster.
+    with ThreadPoolExecutor(max_workers=max(1, len(todo))) as pool:
+        done = list(pool.map(attempt, todo.keys(), todo.values()))
+    trained = {bundle.name: bundle for bundle, _ in done if bundle}
+    status = [row for _, row in done]
     return trained, spark.createDataFrame(status, STATUS)
 
 

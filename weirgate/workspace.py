@@ -32,14 +32,26 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written table."""
+def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written table.
+
+    ``files`` gathers a result known to be small, so that iterative steps on it
+    run few tasks.
+    """
     spark = df.sparkSession
     path = scratch(spark, "stage")
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a CPU-heavy step on a table of few files; larger tables are left as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side stays under ``max_rows``.
 
