@@ -17,7 +17,8 @@ def asof_last(
 ) -> DataFrame:
     """``probes`` plus ``output``: the ``value`` of the latest fact with the same keys.
 
-    Order is (time, tie), and a fact precedes a probe at the same point. Both
+    Order is (time, tie), and a fact precedes a probe at the same point. A null
+    key matches nothing. Both
     sides are unioned and read by a running window, so no pairs are formed. When
     the rows exceed ``slice_rows`` the window runs per key and time slice; one
     summary row per key and slice carries the last value forward, so a key that
@@ -28,7 +29,7 @@ def asof_last(
     kind = probes.select(payload.alias("p")).schema["p"].dataType
     dtype = facts.schema[value].dataType
     known = [F.col(k) for k in keys]
-    events = facts.select(
+    events = facts.dropna(subset=keys).select(
         *known, F.col(time).alias("t"), F.col(tie).alias("i"), F.lit(0).alias("side"),
         F.col(value).alias("v"), F.lit(None).cast(kind).alias("probe"),
     ).unionByName(probes.select(
@@ -51,10 +52,8 @@ def asof_last(
         sliced.groupBy(*keys, "slice").agg(newest.alias("v"))
         .withColumn("before", F.last("v", ignorenulls=True).over(earlier))
         .filter(F.col("before").isNotNull())
-        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slice").alias("_slice"), "before")
+        .select(*keys, "slice", "before")
     )
-    same = F.col("slice") == F.col("_slice")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return local.join(carried, same, "left").select(
+    # Both sides are partitioned by key and slice, and the larger one already is.
+    return local.join(carried, [*keys, "slice"], "left").select(
         "probe.*", F.coalesce("near", "before").alias(output))

@@ -98,12 +98,13 @@ def auc(df: DataFrame, score: str, y: str = "y", slice_rows: int = SLICE_ROWS) -
     taken inside equal-depth score slices and shifted by the slices below, so no
     task ranks the whole table.
     """
+    rows = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(score).cast("double").alias("score"), F.col(y).alias("y"))
     points = (
-        df.filter(F.col(score).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
-        .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+        rows.groupBy("score")
+        .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     )
-    sliced = add_slice(points, "score", slice_edges(points, "score", slice_rows))
+    sliced = add_slice(points, "score", slice_edges(rows, "score", slice_rows))
     inside = Window.partitionBy("slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     per_slice = ranked.groupBy("slice").agg(

@@ -30,7 +30,7 @@ def exact_medians(
 ) -> dict[str, float | None]:
     """Median per column, ignoring nulls; ``None`` where a column has no value.
 
-    Up to ``small_rows`` values the built-in exact median is used. It keeps every
+    Up to ``small_rows`` rows the built-in exact median is used. It keeps every
     distinct value in one aggregation buffer, so larger columns are narrowed
     first: each round takes approximate percentiles around the middle ranks,
     counts exactly what lies below and inside the new range, and keeps the range
@@ -39,9 +39,9 @@ def exact_medians(
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(counts) <= small_rows:
+    if df.limit(small_rows + 1).count() <= small_rows:
         return df.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
 
     state = {
         c: _Bracket((counts[c] - 1) // 2, counts[c] // 2, counts[c]) for c in columns if counts[c]

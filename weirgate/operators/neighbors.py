@@ -21,12 +21,11 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirgate.functions.hashing import order_key
 from weirgate.operators.sampling import row_cap
-from weirgate.workspace import cut_lineage, spread
+from weirgate.workspace import cut_lineage, join_hot, spread
 
 NEIGHBORS = "array<struct<distance: double, id: bigint, label: int>>"
 BROADCAST_ROWS = 100_000
@@ -131,18 +130,61 @@ def with_neighbors(
     return queries.join(found.withColumnRenamed("id", id_col), id_col, "left")
 
 
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """n integer lists from (row, value) pairs ordered by row."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
+def _pick_first(q: np.ndarray, centres: np.ndarray, sizes: np.ndarray, k: int, p: int) -> pa.Array:
+    """Per query, the nearest cells that together hold at least k rows."""
+    rows, cols = [], []
+    step = max(1, TILE // len(centres))
+    for start in range(0, len(q), step):
+        order = np.argsort(_distances(q[start:start + step], centres, p), axis=1, kind="stable")
+        held = sizes[order]
+        before = np.cumsum(held, axis=1) - held
+        r, c = np.nonzero((before < k) & (held > 0))
+        rows.append(r + start)
+        cols.append(order[r, c])
+    return _lists(np.concatenate(rows), np.concatenate(cols), len(q)) if rows else _lists(np.zeros(0), np.zeros(0), 0)
+
+
+def _pick_rest(q, centres, sizes, radii, bound, k, p) -> pa.Array:
+    """Per query, the further cells that may hold a row at most ``bound`` away."""
+    rows, cols = [], []
+    step = max(1, TILE // len(centres))
+    for start in range(0, len(q), step):
+        d = _distances(q[start:start + step], centres, p)
+        order = np.argsort(d, axis=1, kind="stable")
+        held = sizes[order]
+        before = np.cumsum(held, axis=1) - held
+        limit = bound[start:start + step] * (1 + 1e-9) + 1e-12
+        reach = np.take_along_axis(d, order, axis=1) - radii[order] <= limit[:, None]
+        r, c = np.nonzero(reach & (before >= k) & (held > 0))
+        rows.append(r + start)
+        cols.append(order[r, c])
+    return _lists(np.concatenate(rows), np.concatenate(cols), len(q)) if rows else _lists(np.zeros(0), np.zeros(0), 0)
+
+
 def _partitioned(queries, reference, k, p, cell_rows, block_rows) -> DataFrame:
     spark = reference.sparkSession
-    reference = reference.select("id", "label", "x")
-    queries = queries.select("id", "x")
+    # Of equal points only the k lowest ids can ever be chosen, and equal queries
+    # have one answer: copies collapse on both sides before any comparison.
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    reference = reference.select("id", "label", "x").withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    asked = cut_lineage(queries.select("id", "x"))
+    points = asked.groupBy("x").agg(F.min("id").alias("id"))
+    reference = cut_lineage(reference)
     n = reference.count()
     n_cells = max(1, min(MAX_CELLS, math.ceil(n / cell_rows)))
-    pivots = _matrix(row_cap(reference, n_cells, "id", seed=7).orderBy(order_key(7, F.col("id"))).select("x").toArrow()["x"])
-    centres = spark.sparkContext.broadcast(np.ascontiguousarray(pivots))
+    # At most MAX_CELLS pivots come to the driver.
+    pivots = row_cap(reference, n_cells, "id", seed=7).orderBy("id").select("x").toArrow()["x"]
+    centres = spark.sparkContext.broadcast(np.ascontiguousarray(_matrix(pivots)))
 
     @F.arrow_udf("struct<cell: int, away: double>")
     def home(vectors: pa.Array) -> pa.Array:
-        rows, cols, dist = _nearest(_matrix(vectors), centres.value, 1, p)
+        _, cols, dist = _nearest(_matrix(vectors), centres.value, 1, p)
         return pa.StructArray.from_arrays(
             [pa.array(cols, pa.int32()), pa.array(dist, pa.float64())], names=["cell", "away"])
 
@@ -156,38 +198,24 @@ def _partitioned(queries, reference, k, p, cell_rows, block_rows) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def first_cells(vectors: pa.Array) -> pa.Array:
-        """Nearest cells that together hold at least k rows."""
-        sizes, _ = cells.value
-        d = _distances(_matrix(vectors), centres.value, p)
-        order = np.argsort(d, axis=1, kind="stable")
-        have = np.cumsum(sizes[order], axis=1)
-        need = (have < k).sum(axis=1) + 1
-        picks = [[int(c) for c in row[:m] if sizes[c]] for row, m in zip(order, need)]
-        return pa.array(picks, pa.list_(pa.int32()))
+        return _pick_first(_matrix(vectors), centres.value, cells.value[0], k, p)
 
     @F.arrow_udf("array<int>")
-    def other_cells(vectors: pa.Array, seen: pa.Array, bound: pa.Array) -> pa.Array:
-        """Cells that may hold a row at most as far as the k-th found so far."""
-        sizes, radii = cells.value
-        d = _distances(_matrix(vectors), centres.value, p)
-        limit = bound.to_numpy(zero_copy_only=False) * (1 + 1e-9) + 1e-12
-        possible = (d - radii[None, :] <= limit[:, None]) & (sizes > 0)
-        picks = [
-            [int(c) for c in np.nonzero(row)[0] if c not in set(s)]
-            for row, s in zip(possible, seen.to_pylist())
-        ]
-        return pa.array(picks, pa.list_(pa.int32()))
-
-    started = queries.withColumn("cells", first_cells("x"))
+    def other_cells(vectors: pa.Array, bound: pa.Array) -> pa.Array:
+        return _pick_rest(_matrix(vectors), centres.value, *cells.value, bound.to_numpy(zero_copy_only=False), k, p)
+
+    started = cut_lineage(points.withColumn("cells", first_cells("x")))
     found = _visit(started, placed, sizes, k, p, block_rows)
     first = cut_lineage(
-        started.join(_merge(found, k), "id").withColumn(
-            "bound", F.element_at("neighbors", -1)["distance"])
+        started.select("id", "x").join(_merge(found, k), "id")
+        .withColumn("bound", F.element_at("neighbors", -1)["distance"])
     )
-    second = first.withColumn("cells", other_cells("x", "cells", "bound"))
-    more = _visit(second.filter(F.size("cells") > 0), placed, sizes, k, p, block_rows)
+    second = cut_lineage(first.select("id", "x", other_cells("x", "bound").alias("cells")))
+    more = _visit(second, placed, sizes, k, p, block_rows)
     kept = first.select("id", F.inline("neighbors").alias("distance", "nid", "label"))
-    return _merge(kept.unionByName(more), k)
+    answers = _merge(kept.unionByName(more), k)
+    by_point = cut_lineage(started.select("id", "x").join(answers, "id").select("x", "neighbors"))
+    return join_hot(asked, by_point, "x", asked.count()).select("id", "neighbors")
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.functions.cleaning import ethertype_name, first_present
@@ -27,18 +27,17 @@ def flows_per_switch(switches: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
-def _with_totals(counted: DataFrame, flows: DataFrame) -> DataFrame:
-    """Join per-switch totals to counts already reduced per switch and value."""
-    totals = flows.groupBy("dpid").agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(totals, "dpid")
-
-
 def field_frequency(flows: DataFrame) -> DataFrame:
-    """How many flows of a switch carry each match field."""
-    fields = flows.select("dpid", F.explode(F.map_keys("match")).alias("field"))
+    """How many flows of a switch carry each match field.
+
+    Every flow also counts once under a null field, which is the switch total: one
+    pass, and the window sees only the counts.
+    """
+    fields = flows.select("dpid", F.explode(F.array_append(F.map_keys("match"), F.lit(None))).alias("field"))
     counted = fields.groupBy("dpid", "field").agg(F.count(F.lit(1)).alias("flows"))
-    return _with_totals(counted, flows).select(
-        "dpid", "field", "flows", _share(F.col("flows"), F.col("total")).alias("pct"))
+    total = F.max(F.when(F.col("field").isNull(), F.col("flows"))).over(Window.partitionBy("dpid"))
+    return counted.select("dpid", "field", "flows", _share(F.col("flows"), total).alias("pct")).filter(
+        "field IS NOT NULL")
 
 
 def ip_fields(flows: DataFrame) -> DataFrame:
@@ -50,9 +49,10 @@ def ethertypes(flows: DataFrame) -> DataFrame:
     """Ethertype distribution per switch, under either field name."""
     code = first_present(F.col("match"), ETHERTYPE_FIELDS)
     counted = flows.groupBy("dpid", code.alias("eth_type")).agg(F.count(F.lit(1)).alias("flows"))
-    return _with_totals(counted, flows).select(
+    total = F.sum("flows").over(Window.partitionBy("dpid"))
+    return counted.select(
         "dpid", "eth_type", ethertype_name(F.col("eth_type")).alias("name"), "flows",
-        _share(F.col("flows"), F.col("total")).alias("pct"))
+        _share(F.col("flows"), total).alias("pct"))
 
 
 def first_flows(flows: DataFrame, n: int = HEAD_FLOWS) -> DataFrame:

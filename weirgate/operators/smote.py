@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from weirgate.functions.hashing import order_key, uniform
 from weirgate.operators.neighbors import with_neighbors
 from weirgate.operators.sampling import BUCKET_DIGITS, _smallest_keys
+from weirgate.workspace import cut_lineage, join_hot
+
+ENDS_BROADCAST_ROWS = 20_000
 
 
 def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "label", seed: int = 42,
@@ -57,7 +60,12 @@ def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, digi
                 F.element_at("others", pick + 1)["id"].alias("neighbor_id"))
     )
     ends = minority.select(F.col("id").alias("neighbor_id"), F.col("x").alias("end"))
-    return planned.join(ends, "neighbor_id").select(
+    if n <= ENDS_BROADCAST_ROWS:
+        paired = planned.join(F.broadcast(ends), "neighbor_id")
+    else:
+        # Among many equal points the lowest ids are everyone's neighbours.
+        paired = join_hot(cut_lineage(planned), ends, "neighbor_id", extra)
+    return paired.select(
         F.col("id").alias("base_id"), "neighbor_id", "copy", F.col("label").cast("int").alias("label"),
         F.zip_with("x", "end", lambda a, b: a + F.col("gap") * (b - a)).alias("x"),
     )

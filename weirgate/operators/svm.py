@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -60,12 +60,12 @@ class FourierMap:
         b = rng.uniform(0.0, 2.0 * np.pi, self.dimension)
         scale = np.sqrt(2.0 / self.dimension)
 
-        @F.pandas_udf("array<double>")
-        def lift(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            z = scale * np.cos(np.stack(x.to_numpy()) @ w + b)
-            return pd.Series(list(z))
+        @F.arrow_udf("array<double>")
+        def lift(x: pa.Array) -> pa.Array:
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, len(w)))
+            z = scale * np.cos(rows @ w + b)
+            offsets = np.arange(len(x) + 1, dtype="int32") * w.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.ravel()))
 
         return df.withColumn(output, array_to_vector(lift("x")))
 

@@ -66,12 +66,11 @@ class LivePipeline:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch_id}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        judged = judge(batch)
-        active = self.active()
+        judged = judge(batch).persist()
+        spark = batch.sparkSession
         match = ["flow_id", "time_us", "dpid", "in_port", "eth_src", "eth_dst"]
         # Rules come first: what they flag is blocked and not stored.
         self._write(judged.filter(~F.col("blocked")).drop("reasons", "blocked"), "stored", batch_id)
-        spark = batch.sparkSession
         stored = spark.read.parquet(f"{self.root}/stored/batch={batch_id}")
         votes = {m: F.col(m) for m in self.weights}
         verdict = weighted_vote(votes, self.weights, self.normalize)
@@ -79,9 +78,10 @@ class LivePipeline:
         verdicts = spark.read.parquet(f"{self.root}/verdicts/batch={batch_id}")
         by_rule = judged.filter("blocked").select(*match, F.lit("rule").alias("cause"))
         by_vote = verdicts.filter("verdict = 1").select(*match, F.lit("vote").alias("cause"))
-        blocks = block_candidates(by_rule.unionByName(by_vote), active)
+        blocks = block_candidates(by_rule.unionByName(by_vote), self.active())
         self._write(blocks.withColumn("priority", F.lit(PRIORITY_DROP)), "blocks", batch_id)
         self._write(verdict_summary(verdicts), "summary", batch_id)
+        judged.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, interval: str | None = LIVE_INTERVAL) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
