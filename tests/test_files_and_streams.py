@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from weirgate.functions import cleaning
 from weirgate.functions.rules import judge
+from weirgate.operators import capture
 from weirgate.operators import state as batch_state
 from weirgate.plans import views
 from weirgate.schemas import FLOW_STATS
@@ -100,5 +101,26 @@ def test_streaming_episodes(spark, tmp_path):
     assert [(r.start_us // second, r.end_us // second, r.sightings) for r in rows] == [(0, 119, 3), (130, 190, 1)]
 
 
+def test_time_filter_skips_days(spark, tmp_path):
+    day = 86_400_000_000
+    path = str(tmp_path / "flows")
+    flow_files.append_by_day(rows_at(spark, 5, day + 5, day + 9, 2 * day), path)
+    newer = cleaning.newer_than(spark.read.parquet(path), day + 5)
+    assert sorted(r.time_us for r in newer.collect()) == [day + 9, 2 * day]
+    files = [f for f in newer.inputFiles()]
+    assert files and "PartitionFilters: [isnotnull(day" in newer._jdf.queryExecution().toString()
+
+
+def test_captures_run_as_streams(spark, ev, tmp_path):
+    entries = views.match_maps(ev)
+    landed = str(tmp_path / "landed")
+    entries.write.parquet(landed)
+    stream = spark.readStream.schema(entries.schema).parquet(landed)
+    for name, rows in (("normal", capture.normal_capture), ("attack", capture.attack_capture)):
+        live.store(rows(stream), str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"), None).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / name))
+        assert sorted(r.flow_id for r in got.collect()) == sorted(r.flow_id for r in rows(entries).collect())
+
+
 def test_high_water_mark(spark):
     assert [r.time_us for r in cleaning.newer_than(rows_at(spark, 1, 2, 3), 2).collect()] == [3]

@@ -99,6 +99,16 @@ def test_training_goes_on_after_a_failure(spark, separable):
     assert tuple(training.trained_count(status).first()) == (1, 2)
 
 
+def test_any_mllib_model_can_join(spark, separable, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    trainers = {"logistic": lambda p: (LogisticRegression().fit(p.balanced.select("features", "label")), {})}
+    training.train_all(spark, training.prepare(separable), str(tmp_path), trainers)
+    loaded = bundles.load_all(spark, str(tmp_path), ["logistic"])
+    scored = training.predict_all(separable, loaded, ["logistic", "knn"])
+    assert scored.filter("logistic = label").count() >= 396 and scored.filter("knn IS NOT NULL").isEmpty()
+
+
 def test_empty_training_data(separable):
     with pytest.raises(ValueError, match="empty"):
         training.prepare(separable.filter("label > 5"))

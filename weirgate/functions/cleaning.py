@@ -109,6 +109,9 @@ def drop_lldp(df: DataFrame) -> DataFrame:
 
 
 def newer_than(df: DataFrame, mark_us: int) -> DataFrame:
+    """Rows after the mark; on a table laid out by day earlier days are not read."""
+    if "day" in df.columns:
+        df = df.filter(F.col("day") >= F.to_date(F.timestamp_micros(F.lit(mark_us))))
     return df.filter(F.col("time_us") > F.lit(mark_us))
 
 

@@ -34,14 +34,14 @@ def attack_capture(entries: DataFrame, poll_seconds: int = POLL_SECONDS) -> Data
     """Entries of learned flows only, labelled 1, each reply in (port, destination) order.
 
     The replies are laid out by a range-partitioned sort that ends on the unique
-    id, so a large reply is split over tasks.
+    id, so a large reply is split over tasks. A stream is not sorted.
     """
     poll = F.floor(F.col("time_us") / (poll_seconds * 1_000_000)).cast("bigint")
     records = flow_records(entries.filter(F.col("priority") == FORWARD_PRIORITY))
-    return (
-        records.withColumn("label", F.lit(1)).withColumn("poll", poll)
-        .orderBy("poll", "dpid", "in_port", "eth_dst", "flow_id")
-    )
+    labelled = records.withColumn("label", F.lit(1)).withColumn("poll", poll)
+    if entries.isStreaming:
+        return labelled
+    return labelled.orderBy("poll", "dpid", "in_port", "eth_dst", "flow_id")
 
 
 def labelled_union(normal: DataFrame, attack: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ import json
 import logging
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, LinearSVCModel, RandomForestClassificationModel,
-)
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVCModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +20,15 @@ from weirgate.operators.svm import FourierMap, SvmModel
 log = logging.getLogger(__name__)
 
 META = "kind string, accuracy double, features string, settings string"
-TREES = {"random_forest": RandomForestClassificationModel, "decision_tree": DecisionTreeClassificationModel}
 
 
 @dataclass
 class Bundle:
-    """A fitted model with the feature model it was trained on."""
+    """A fitted model with the feature model it was trained on.
+
+    ``model`` is one of this package's classifiers or any MLlib classification
+    model; ``kind`` names the former.
+    """
 
     name: str
     kind: str
@@ -37,7 +39,7 @@ class Bundle:
 
     def predict(self, featured: DataFrame, output: str) -> DataFrame:
         """Add the predicted class to rows that already carry ``x`` and ``features``."""
-        if self.kind in TREES:
+        if isinstance(self.model, Transformer):
             model = (self.model.setFeaturesCol("features").setPredictionCol("_p")
                      .setRawPredictionCol("_raw").setProbabilityCol("_prob"))
             scored = model.transform(featured)
@@ -56,8 +58,8 @@ def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
     elif bundle.kind == "svm":
         model.linear.write().overwrite().save(f"{path}/model")
         settings |= {"svm": model.settings, "fourier": asdict(model.fourier) if model.fourier else None}
-    else:
-        model.write().overwrite().save(f"{path}/model")
+    else:  # any MLlib classification model
+        PipelineModel([model]).write().overwrite().save(f"{path}/model")
     meta = [(bundle.kind, float(bundle.accuracy), bundle.features.to_json(), json.dumps(settings))]
     spark.createDataFrame(meta, META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -76,7 +78,7 @@ def load(spark: SparkSession, name: str, path: str) -> Bundle:
         fourier = FourierMap(**settings["fourier"]) if settings["fourier"] else None
         model = SvmModel(LinearSVCModel.load(f"{path}/model"), fourier, settings["svm"])
     else:
-        model = TREES[kind].load(f"{path}/model")
+        model = PipelineModel.load(f"{path}/model").stages[0]
     accuracy = 1.0 if meta["accuracy"] is None else meta["accuracy"]
     return Bundle(name, kind, FlowFeaturesModel.from_json(meta["features"]), model, accuracy, settings)
 

@@ -57,6 +57,12 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_by_day(df: DataFrame, path: str) -> None:
+    """Append flow rows to a table with one folder per day, so a time filter skips whole days."""
+    day = F.to_date(F.timestamp_micros("time_us"))
+    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+
+
 def archive(spark: SparkSession, live: str, archived: str, fresh: str, schema: StructType) -> DataFrame:
     """Move the rows of ``live`` to the archive and open an empty generation at ``fresh``.
 
