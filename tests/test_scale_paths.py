@@ -30,18 +30,18 @@ def test_medians_by_narrowing(spark):
     assert exact_medians(df, columns, small_rows=1, accuracy=10_000) == want
 
 
-@pytest.mark.parametrize("digits", [1, 2, 5])
-def test_caps_take_the_smallest_hashes(spark, digits):
+@pytest.mark.parametrize("narrowing", [{}, {"digits": 1, "rank_rows": 20}, {"digits": 2, "rank_rows": 0}])
+def test_caps_take_the_smallest_hashes(spark, narrowing):
     rows = [(i, 0 if i % 10 else 1) for i in range(3000)] + [(5000, None)]
     df = spark.createDataFrame(rows, "flow_id long, label int")
     key = sampling.order_key(42, F.col("flow_id"))
     hashed = {r.flow_id: (r.k, r.label) for r in df.select("flow_id", "label", key.alias("k")).collect()}
     for cls, size in ((0, 500), (1, 300)):
         members = sorted((k, i) for i, (k, c) in hashed.items() if c == cls)
-        got = sampling.stratified_cap(df, 500, digits=digits).filter(F.col("label") == cls)
+        got = sampling.stratified_cap(df, 500, **narrowing).filter(F.col("label") == cls)
         assert {r.flow_id for r in got.collect()} == {i for _, i in members[:size]}
     everyone = sorted((k, i) for i, (k, _) in hashed.items())
-    got = sampling.row_cap(df.repartition(7), 777, digits=digits).collect()
+    got = sampling.row_cap(df.repartition(7), 777, **narrowing).collect()
     assert {r.flow_id for r in got} == {i for _, i in everyone[:777]}
     assert sampling.row_cap(df, 10_000).count() == 3001
 
@@ -98,7 +98,7 @@ def test_smote_is_the_same_both_ways(spark):
     df = spark.createDataFrame(rows, "flow_id long, label int, x array<double>").repartition(4)
     key = lambda r: (r.base_id, r.copy)
     small = sorted(smote(df).collect(), key=key)
-    large = sorted(smote(df, digits=1, broadcast_rows=5, cell_rows=10, block_rows=6).collect(), key=key)
+    large = sorted(smote(df, broadcast_rows=5, cell_rows=10, block_rows=6).collect(), key=key)
     assert small == large and len(small) == 80
     points = {i: np.array(x) for i, _, x in rows}
     for r in small:

@@ -90,11 +90,11 @@ def grid_search(train: DataFrame, grid: dict | None = None, folds: int = 5, seed
         shared = share_if_small(rest)
         for p in grid["p"]:
             near = with_neighbors(test, rest, max(grid["k"]), p, shared=shared).select(
-                F.lit(p).alias("p"), "fold", F.col("label").alias("y"), F.inline(votes))
+                F.lit(p).alias("p"), "fold", F.col("label").alias("y"), "neighbors")
             searched = near if searched is None else searched.unionByName(near)
     hit = (F.col("y") == F.col("prediction")).cast("double")
     return (
-        searched.groupBy("p", "k", "weights", "fold").agg(F.avg(hit).alias("accuracy"))
+        searched.select("p", "fold", "y", F.inline(votes)).groupBy("p", "k", "weights", "fold").agg(F.avg(hit).alias("accuracy"))
         .groupBy("p", "k", "weights").agg(F.avg("accuracy").alias("accuracy"))
         .orderBy(F.desc("accuracy"), "k", "p", F.desc("weights"))
     )

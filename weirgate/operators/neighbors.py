@@ -33,7 +33,8 @@ BROADCAST_CELLS = 8_000_000
 CELL_ROWS = 20_000
 MAX_CELLS = 4_096
 BLOCK_ROWS = 20_000
-TILE = 2_000_000
+# Distances per tile: small enough to stay in cache.
+TILE = 128_000
 
 # The batch functions travel to the executors by value, so these need not have
 # the package installed.
@@ -52,7 +53,7 @@ def _distances(q: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
     total = np.zeros((len(q), len(t)))
     for j in range(t.shape[1]):
         diff = q[:, j, None] - t[None, :, j]
-        total += np.abs(diff) if p == 1 else diff * diff
+        total += np.abs(diff, out=diff) if p == 1 else np.multiply(diff, diff, out=diff)
     return total if p == 1 else np.sqrt(total)
 
 

@@ -9,45 +9,47 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.hashing import order_key, uniform
 
-# The key's first hex digits form the histogram used to find the cut-off. Five
-# digits are about a million buckets, so even 10^12 rows leave only about 10^6
-# rows in the one bucket that has to be ranked.
-BUCKET_DIGITS = 5
+# Each histogram round looks at this many further hex digits of the key, so it
+# shuffles at most 4096 counts per stratum and task. Two rounds narrow 10^12 rows
+# to about 10^5, which are then ranked.
+DIGITS = 3
+RANK_ROWS = 100_000
+KEY_DIGITS = 32
 
 
-def _smallest_keys(df: DataFrame, n: int, key: Column, by: str | None, digits: int) -> Column:
+def smallest_keys(df: DataFrame, n: int, key: Column, by: str | None = None,
+                  digits: int = DIGITS, rank_rows: int = RANK_ROWS) -> Column:
     """Condition that keeps the ``n`` smallest keys, per value of ``by`` if given.
 
-    The cut-off is found with two aggregations: a histogram of the key's leading
-    digits names the bucket in which the n-th key lies, then only that bucket is
-    ranked. The result is a row predicate, so sampling shuffles no rows and no
-    class is sorted in one task, however large it is. Only the cut-offs (one per
-    stratum) reach the driver.
+    A histogram of the key's leading digits names the bucket in which the n-th
+    key lies; while that bucket is large the next digits split it; then only it
+    is ranked. The result is a row predicate, so sampling shuffles no rows and no
+    class is sorted in one task, however large it is. Only one cut-off per
+    stratum reaches the driver.
     """
     stratum = F.col(by) if by else F.lit(0)
     keyed = df.select(stratum.alias("s"), key.alias("key")).filter(F.col("s").isNotNull())
-    bucket = F.substring("key", 1, digits)
-    histogram = keyed.groupBy("s", bucket.alias("b")).count()
     run = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        histogram.withColumn("upto", F.sum("count").over(run))
-        .filter((F.col("upto") >= n) & (F.col("upto") - F.col("count") < n))
-        .select("s", "b", (F.lit(n) - F.col("upto") + F.col("count")).alias("need"))
-        .collect()
-    )
-    if not cuts:
-        return stratum.isNotNull()
-    in_cut = reduce(
-        lambda a, b: a | b, [(F.col("s") == r["s"]) & (bucket == r["b"]) for r in cuts]
-    )
-    need = F.create_map(*[F.lit(x) for r in cuts for x in (r["s"], r["need"])])
+    inside, need, length = F.lit(True), F.lit(n), 0
+    while True:
+        length += digits
+        bucket = F.substring("key", 1, length)
+        histogram = keyed.filter(inside).groupBy("s", bucket.alias("b")).count()
+        cuts = (
+            histogram.withColumn("upto", F.sum("count").over(run)).withColumn("need", need)
+            .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("count") < F.col("need")))
+            .select("s", "b", "count", (F.col("need") - F.col("upto") + F.col("count")).alias("need"))
+            .collect()
+        )
+        if not cuts:  # no stratum has more than n rows
+            return stratum.isNotNull()
+        inside = reduce(lambda a, b: a | b, [(F.col("s") == r["s"]) & (bucket == r["b"]) for r in cuts])
+        need = F.create_map(*[F.lit(x) for r in cuts for x in (r["s"], r["need"])])[F.col("s")]
+        if max(r["count"] for r in cuts) <= rank_rows or length + digits > KEY_DIGITS:
+            break
     rank = F.row_number().over(Window.partitionBy("s").orderBy("key"))
     last = (
-        keyed.filter(in_cut)
-        .withColumn("rank", rank)
-        .filter(F.col("rank") == need[F.col("s")])
-        .select("s", "key")
-        .collect()
+        keyed.filter(inside).withColumn("rank", rank).filter(F.col("rank") == need).select("s", "key").collect()
     )
     keep = F
     for r in last:
@@ -57,21 +59,20 @@ def _smallest_keys(df: DataFrame, n: int, key: Column, by: str | None, digits: i
 
 def stratified_cap(
     df: DataFrame, n: int = 2000, by: str = "label", id_col: str = "flow_id",
-    seed: int = 42, digits: int = BUCKET_DIGITS,
+    seed: int = 42, **narrowing,
 ) -> DataFrame:
     """At most ``n`` rows per value of ``by``, without replacement; null strata drop out.
 
     ``by`` must have few distinct values, as class labels do.
     """
-    return df.filter(_smallest_keys(df, n, order_key(seed, F.col(id_col)), by, digits))
+    return df.filter(smallest_keys(df, n, order_key(seed, F.col(id_col)), by, **narrowing))
 
 
 def row_cap(
-    df: DataFrame, n: int = 30_000, id_col: str = "flow_id", seed: int = 42,
-    digits: int = BUCKET_DIGITS,
+    df: DataFrame, n: int = 30_000, id_col: str = "flow_id", seed: int = 42, **narrowing,
 ) -> DataFrame:
     """At most ``n`` rows, without replacement."""
-    return df.filter(_smallest_keys(df, n, order_key(seed, F.col(id_col)), None, digits))
+    return df.filter(smallest_keys(df, n, order_key(seed, F.col(id_col)), **narrowing))
 
 
 def is_test(id_col: str = "flow_id", fraction: float = 0.3, seed: int = 42) -> Column:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.hashing import order_key, uniform
 from weirgate.operators.neighbors import with_neighbors
-from weirgate.operators.sampling import BUCKET_DIGITS, _smallest_keys
+from weirgate.operators.sampling import smallest_keys
 from weirgate.workspace import cut_lineage, join_hot
 
 ENDS_BROADCAST_ROWS = 20_000
 
 
 def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "label", seed: int = 42,
-          digits: int = BUCKET_DIGITS, **search) -> DataFrame:
+          **search) -> DataFrame:
     """Synthetic rows that raise every smaller class to the size of the largest.
 
     Input and output hold (id, label, x). Each minority row serves as a base the
@@ -33,7 +33,7 @@ def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "labe
             continue
         if n < k + 1:
             raise ValueError(f"class {cls} has {n} rows; {k + 1} are needed for {k} neighbours")
-        made = _oversample(rows.filter(F.col("label") == cls), n, extra, k, seed, digits, search)
+        made = _oversample(rows.filter(F.col("label") == cls), n, extra, k, seed, search)
         out = made if out is None else out.unionByName(made)
     if out is None:
         spark = df.sparkSession
@@ -41,11 +41,11 @@ def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "labe
     return out
 
 
-def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, digits: int, search: dict) -> DataFrame:
+def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, search: dict) -> DataFrame:
     each, left = divmod(extra, n)
     copies = F.lit(each)
     if left:
-        chosen = _smallest_keys(minority, left, order_key(f"{seed}:base", F.col("id")), None, digits)
+        chosen = smallest_keys(minority, left, order_key(f"{seed}:base", F.col("id")))
         copies = copies + chosen.cast("int")
     bases = minority.withColumn("copies", copies).filter(F.col("copies") > 0)
     # One more neighbour than asked for, since a row is its own nearest.
