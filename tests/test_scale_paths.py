@@ -100,6 +100,7 @@ def test_smote_is_the_same_both_ways(spark):
     small = sorted(smote(df).collect(), key=key)
     large = sorted(smote(df, broadcast_rows=5, cell_rows=10, block_rows=6).collect(), key=key)
     assert small == large and len(small) == 80
+    assert len({r.id for r in small}) == 80 and max(r.id for r in small) < 0
     points = {i: np.array(x) for i, _, x in rows}
     for r in small:
         a, b, x = points[r.base_id], points[r.neighbor_id], np.array(r.x)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 1_000_000
@@ -42,26 +42,27 @@ def class_report(df: DataFrame, prediction: str, y: str = "y", labels: tuple = (
     def ratio(a, b):
         return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    rows = []
+    per_class, rows = [], []
     for c in labels:
-        tp = F.col(f"tp{c}").cast("double")
-        precision, recall = ratio(tp, F.col(f"pp{c}")), ratio(tp, F.col(f"s{c}"))
-        rows.append(F.struct(
-            F.lit(str(c)).alias("class"), precision.alias("precision"), recall.alias("recall"),
-            ratio(2.0 * precision * recall, precision + recall).alias("f1"),
-            F.col(f"s{c}").alias("support")))
-    per_class = counts.select(F.inline(F.array(*rows)))
+        tp, support = F.col(f"tp{c}").cast("double"), F.col(f"s{c}")
+        precision, recall = ratio(tp, F.col(f"pp{c}")), ratio(tp, support)
+        per_class.append((precision, recall, ratio(2.0 * precision * recall, precision + recall), support))
+        rows.append(_report_row(str(c), *per_class[-1]))
+    total = sum((p[3] for p in per_class), F.lit(0))
 
-    def average(name: str, weight) -> DataFrame:
-        return per_class.agg(
-            F.lit(name).alias("class"),
-            *[ratio(F.sum(F.col(m) * weight), F.sum(weight)).alias(m) for m in ("precision", "recall", "f1")],
-            F.sum("support").alias("support"))
+    def average(name: str, weights: list) -> Column:
+        mass = sum(weights, F.lit(0.0))
+        means = [ratio(sum((p[i] * w for p, w in zip(per_class, weights)), F.lit(0.0)), mass) for i in range(3)]
+        return _report_row(name, *means, total)
 
-    return (
-        per_class.unionByName(average("macro avg", F.lit(1.0)))
-        .unionByName(average("weighted avg", F.col("support").cast("double")))
-    )
+    rows.append(average("macro avg", [F.lit(1.0)] * len(per_class)))
+    rows.append(average("weighted avg", [p[3].cast("double") for p in per_class]))
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def _report_row(name: str, precision: Column, recall: Column, f1: Column, support: Column) -> Column:
+    return F.struct(F.lit(name).alias("class"), precision.alias("precision"), recall.alias("recall"),
+                    f1.alias("f1"), support.cast("bigint").alias("support"))
 
 
 def slice_edges(df: DataFrame, column: str, rows: int) -> list[float]:

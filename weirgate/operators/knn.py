@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ class KnnModel:
     k: int = 5
     weights: str = "uniform"
     p: int = 2
+    _shared: Broadcast | None = field(default=None, repr=False, compare=False)
 
     def transform(self, df: DataFrame, id_col: str = "flow_id", output: str = "prediction") -> DataFrame:
         """Add the predicted class. ``df`` holds the feature array ``x``.
@@ -57,7 +59,9 @@ class KnnModel:
         A small training side is broadcast and read by a column expression (also
         on streams); a large one goes through the partitioned search.
         """
-        near = with_neighbors(df, self.train, self.k, self.p, id_col)
+        # Broadcast once, not once per micro-batch.
+        self._shared = self._shared or share_if_small(self.train)
+        near = with_neighbors(df, self.train, self.k, self.p, id_col, self._shared)
         return near.withColumn(output, vote(F.col("neighbors"), self.k, self.weights, self.labels)).drop("neighbors")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.functions.cleaning import ethertype_name, first_present
-from weirgate.workspace import broadcast_if_small
 
 # Match fields that carry an IP address.
 IP_FIELDS = ["ipv4_src", "ipv4_dst", "nw_src", "nw_dst", "ip_src", "ip_dst", "IPv4_src", "IPv4_dst"]
@@ -69,7 +68,7 @@ def summary(switches: DataFrame, flows: DataFrame) -> DataFrame:
     """Per switch and overall (null dpid): flows, and whether any IP field is matched on."""
     has_ip = F.exists(F.map_keys("match"), lambda f: f.isin(IP_FIELDS)).cast("int")
     counted = flows.groupBy("dpid").agg(F.count(F.lit(1)).alias("n"), F.sum(has_ip).alias("ip"))
-    per_switch = broadcast_if_small(switches.select("dpid").distinct()).join(counted, "dpid", "left").select(
+    per_switch = switches.select("dpid").distinct().join(counted, "dpid", "left").select(
         "dpid", F.coalesce("n", F.lit(0)).alias("flows"), F.coalesce("ip", F.lit(0)).alias("ip_flows"))
     return per_switch.rollup("dpid").agg(
         F.sum("flows").alias("flows"), F.sum("ip_flows").alias("ip_flows"),

@@ -11,17 +11,19 @@ from weirgate.operators.sampling import smallest_keys
 from weirgate.workspace import cut_lineage, join_hot
 
 ENDS_BROADCAST_ROWS = 20_000
+SYNTHETIC = "base_id bigint, neighbor_id bigint, copy int, label int, x array<double>, id bigint"
 
 
 def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "label", seed: int = 42,
           **search) -> DataFrame:
     """Synthetic rows that raise every smaller class to the size of the largest.
 
-    Input and output hold (id, label, x). Each minority row serves as a base the
-    same number of times; the remainder goes to the rows with the smallest
-    hashes. Every copy picks one of its k neighbours and a point on the segment
-    by hash. A synthetic row's id is null; ``base_id``, ``neighbor_id`` and
-    ``copy`` tell where it came from. Equal classes give no rows.
+    Input holds (id, label, x). Each minority row serves as a base the same number
+    of times; the remainder goes to the rows with the smallest hashes. Every copy
+    picks one of its k neighbours and a point on the segment by hash.
+    ``base_id``, ``neighbor_id`` and ``copy`` tell where a row came from; its
+    ``id`` is negative and unique if the given ids are not negative. Equal classes
+    give no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), "x").filter(F.col("label").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -36,9 +38,10 @@ def smote(df: DataFrame, k: int = 5, id_col: str = "flow_id", label: str = "labe
         made = _oversample(rows.filter(F.col("label") == cls), n, extra, k, seed, search)
         out = made if out is None else out.unionByName(made)
     if out is None:
-        spark = df.sparkSession
-        return spark.createDataFrame([], "base_id bigint, neighbor_id bigint, copy int, label int, x array<double>")
-    return out
+        return df.sparkSession.createDataFrame([], SYNTHETIC)
+    # No base has more copies than the smallest class needs.
+    stride = target // min(sizes.values()) + 1
+    return out.withColumn("id", -(F.col("base_id") * stride + F.col("copy")))
 
 
 def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, search: dict) -> DataFrame:
@@ -72,13 +75,8 @@ def _oversample(minority: DataFrame, n: int, extra: int, k: int, seed: int, sear
 
 
 def balance(df: DataFrame, **options) -> DataFrame:
-    """The labelled rows plus the synthetic ones, as (id, label, x).
-
-    A synthetic row gets a negative id, hashed from its origin.
-    """
+    """The labelled rows plus the synthetic ones, as (id, label, x)."""
     id_col = options.get("id_col", "flow_id")
     label = options.get("label", "label")
     real = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), "x")
-    synthetic = smote(df, **options).select(
-        (-F.abs(F.xxhash64("base_id", "copy") % F.lit(2 ** 62)) - 1).alias("id"), "label", "x")
-    return real.filter(F.col("label").isNotNull()).unionByName(synthetic)
+    return real.filter(F.col("label").isNotNull()).unionByName(smote(df, **options).select("id", "label", "x"))

@@ -9,8 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from weirgate.functions.cleaning import drop_lldp
 from weirgate.operators.state import HARD_SECONDS, IDLE_SECONDS, MATCH, SECOND
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def switch_registry(events: DataFrame) -> DataFrame:
     """Latest state per switch, updated by every batch."""
@@ -48,11 +46,8 @@ def block_episodes(flagged: DataFrame, idle_seconds: int = IDLE_SECONDS, hard_se
 def upsert(state: DataFrame, path: str, checkpoint: str, mode: str = "update",
            interval: str | None = None) -> StreamingQuery:
     """Write each batch's changes to a folder of its own, replaced if the batch is retried."""
-    spark = state.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Merge sessions inside each input partition first, so a busy match sends few rows.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    state.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
