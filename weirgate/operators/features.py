@@ -50,19 +50,6 @@ def f_score(groups: list[tuple[float, float, float]]) -> float | None:
     return (between / (len(groups) - 1)) / (within / (n - len(groups)))
 
 
-def f_score_columns(n: Column, mean: Column, var: Column) -> Column:
-    """The same score as an aggregate over rows holding one class each."""
-    total = F.sum(n)
-    grand = F.sum(n * mean) / total
-    between = F.sum(n * mean * mean) - total * grand * grand
-    within = F.sum(n * var)
-    classes = F.count(F.lit(1))
-    return F.when(
-        (classes > 1) & (total > classes) & (within > 0),
-        (between / (classes - 1)) / F.nullif(within / (total - classes), F.lit(0.0)),
-    )
-
-
 def numeric_moments(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFrame:
     """count, mean and population variance per class, one row per class."""
     measures = [F.count(F.lit(1)).cast("double").alias("n")]

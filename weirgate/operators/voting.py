@@ -8,33 +8,30 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 
 
-def weighted_vote(votes: dict[str, Column], weights: dict[str, float], normalize: bool = False) -> Column:
-    """1 where Σ vote·weight exceeds 0.5, null where no model voted.
-
-    The sum is not normalised by default, so one model with a weight above 0.5 is
-    enough. ``normalize`` divides by the weights of the models that voted. A model
-    without a known weight counts 1. Row expression: no shuffle.
-    """
-    weight = {m: float(weights.get(m, 1.0)) for m in votes}
-    zero = F.lit(0.0)
-    total, mass = zero, zero
+def _masses(votes: dict[str, Column], weights: dict[str, float]) -> tuple[Column, Column]:
+    """(Σ vote·weight, Σ weight of the models that voted); an unknown weight counts 1."""
+    total, mass = F.lit(0.0), F.lit(0.0)
     for m, v in votes.items():
-        total = total + F.coalesce(v * F.lit(weight[m]), zero)
-        mass = mass + F.when(v.isNotNull(), weight[m]).otherwise(0.0)
-    score = F.try_divide(total, mass) if normalize else total
-    voted = F.coalesce(*votes.values()).isNotNull()
-    return F.when(voted, (score > THRESHOLD).cast("int"))
+        weight = float(weights.get(m, 1.0))
+        total = total + F.coalesce(v * F.lit(weight), F.lit(0.0))
+        mass = mass + F.when(v.isNotNull(), weight).otherwise(0.0)
+    return total, mass
 
 
 def vote_share(votes: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted share of attack votes in [0, 1]: a score for ranking."""
-    weight = {m: float(weights.get(m, 1.0)) for m in votes}
-    zero = F.lit(0.0)
-    total, mass = zero, zero
-    for m, v in votes.items():
-        total = total + F.coalesce(v * F.lit(weight[m]), zero)
-        mass = mass + F.when(v.isNotNull(), weight[m]).otherwise(0.0)
-    return F.try_divide(total, mass)
+    return F.try_divide(*_masses(votes, weights))
+
+
+def weighted_vote(votes: dict[str, Column], weights: dict[str, float], normalize: bool = False) -> Column:
+    """1 where Σ vote·weight exceeds 0.5, null where no model voted.
+
+    The sum is not normalised by default, so one model with a weight above 0.5 is
+    enough. ``normalize`` divides by the weights of the models that voted. Row
+    expression: no shuffle.
+    """
+    score = vote_share(votes, weights) if normalize else _masses(votes, weights)[0]
+    return F.when(F.coalesce(*votes.values()).isNotNull(), (score > THRESHOLD).cast("int"))
 
 
 def model_counts(df: DataFrame, models: list[str]) -> DataFrame:
