@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import exact, mixing, shards
+from pyspark.sql import functions as F
+
+from weirgate.llm import exact, jaccard, language, mixing, pii, shards
 
 SHARDS = 40
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -14,6 +16,21 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.link(read(spark, sf_dir), width=3, percent=90)
+
+
+def op4_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir)
+    seen = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = language.predict(docs, language.fit(seen))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op5_personal_data(spark, sf_dir):
+    return pii.digest(pii.find_spans(read(spark, sf_dir)))
+
+
 def op6_rendezvous_shards(spark, sf_dir):
     return shards.shard_rows(read(spark, sf_dir), [1.0] * SHARDS)
 
@@ -27,7 +44,7 @@ def op10_pareto_mix(spark, sf_dir):
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op6_rendezvous_shards, op8_exact_dedup, op10_pareto_mix)}
+    op1_ngram_jaccard, op4_language_id, op5_personal_data, op6_rendezvous_shards, op8_exact_dedup, op10_pareto_mix)}
 
 OP6_SQL = f"""
 WITH crc AS (
