@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weirgate.llm import exact, jaccard, language, mixing, pii, shards
+from weirgate.llm import exact, jaccard, language, mixing, pii, repeats, shards
 
 SHARDS = 40
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -35,6 +35,10 @@ def op6_rendezvous_shards(spark, sf_dir):
     return shards.shard_rows(read(spark, sf_dir), [1.0] * SHARDS)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact.exact_groups(read(spark, sf_dir))
 
@@ -44,7 +48,8 @@ def op10_pareto_mix(spark, sf_dir):
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op4_language_id, op5_personal_data, op6_rendezvous_shards, op8_exact_dedup, op10_pareto_mix)}
+    op1_ngram_jaccard, op4_language_id, op5_personal_data, op6_rendezvous_shards, op7_suffix_dedup,
+    op8_exact_dedup, op10_pareto_mix)}
 
 OP6_SQL = f"""
 WITH crc AS (
