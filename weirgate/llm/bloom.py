@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of the bits. The size never grows: with more hashes more rows pass, none is lost.
-BITS = 28
+from weirgate.workspace import cut_lineage
+
+#: log2 of the most bits, and bits per hash below that. Beyond the most, more rows pass; none is ever lost.
+BITS, ROOM = 28, 32
 PROBES = 2
 SLICE = 1 << 16  # bytes of the bitmap that one row carries
 
@@ -42,8 +44,12 @@ def _packed(keys, rows):
     return pd.DataFrame({"slice": [int(keys[0])], "bytes": [out.tobytes()]})
 
 
-def build(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The bitmap of a column of longs, put together on the executors in slices; ``2**bits / 8`` bytes in all."""
+def build(hashes: DataFrame, column: str, most: int = BITS) -> np.ndarray:
+    """The bitmap of a column of longs, put together on the executors in slices; ``2**most / 8`` bytes at most.
+
+    ``hashes`` is read twice: pass a written table.
+    """
+    bits = min(most, max(19, (hashes.count() * ROOM).bit_length()))
     words = hashes.select(column).mapInArrow(_slices(column, bits), "word long, bits long") \
         .groupBy("word").agg(F.bit_or("bits").alias("bits"))
     per = SLICE // 8
@@ -62,3 +68,18 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     for bit in places(hashes, bits):
         found &= (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
     return found
+
+
+def split(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be among ``keys`` (its only column), and those where it certainly is not.
+
+    So that a join on few keys shuffles few rows. Nulls count as equal.
+    """
+    hashed = cut_lineage(keys.select(F.xxhash64(keys.columns[0]).alias("hash")).distinct())
+    shared = rows.sparkSession.sparkContext.broadcast(build(hashed, "hash"))
+
+    @F.arrow_udf("boolean")
+    def may_be(values: pa.Array) -> pa.Array:
+        return pa.array(holds(shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return rows.filter(may_be(F.xxhash64(key))), rows.filter(~may_be(F.xxhash64(key)))

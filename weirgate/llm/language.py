@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm.select import KEY_BITS, hash48
-from weirgate.llm.text import BLOCK, FOLD, rows_of
+from weirgate.llm.text import BLOCK, FOLD, rows_of, text_blocks
 
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -23,12 +23,26 @@ FIT_ROWS, MAX_LANGS, TABLE_BYTES = 5_000, 256, 48 << 20
 
 @dataclass
 class Model:
-    """Code lengths in bits: ``deep`` by two byte pairs of the context tree, ``flat`` by one pair of any bytes."""
+    """Frozen counts per language; the table of code lengths is made from them where it is needed."""
     langs: list[str]
-    ids: np.ndarray    # per byte pair its place in the tree, 0 where the tree has none
-    width: int
-    deep: np.ndarray   # (width * width, languages)
-    flat: np.ndarray   # (65536, languages)
+    ids: np.ndarray     # per byte pair its place in the tree, 0 where the tree has none
+    common: np.ndarray  # the byte pairs in the tree, ascending
+    pairs: tuple        # codes (language * 65536 + pair) and counts
+    quads: tuple        # codes (language * width * width + place * width + place) and counts
+    made: tuple | None = None
+
+    @property
+    def width(self) -> int:
+        return len(self.common) + 1
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": None}
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by two places of the tree, and by any byte pair; a column per language. Made once per process."""
+        if self.made is None:
+            self.made = _tables(self)
+        return self.made
 
 
 def padded(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,13 +82,18 @@ def _counter(ids: np.ndarray | None, width: int):
     return run
 
 
-def _counts(sample: DataFrame, ids: np.ndarray | None, width: int, langs: int) -> np.ndarray:
-    span = width * width if ids is not None else 1 << 16
+def _counts(sample: DataFrame, ids: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sample.mapInArrow(_counter(ids, width), "code long, n long") \
         .groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    dense = np.zeros(langs * span, np.float32)
-    dense[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    return dense.reshape(langs, span)
+    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int32)
+
+
+def _dense(counts: tuple[np.ndarray, np.ndarray], lang: int, span: int) -> np.ndarray:
+    codes, n = counts
+    own = codes // span == lang
+    out = np.zeros(span, np.float32)
+    out[codes[own] % span] = n[own]
+    return out
 
 
 def _escape(counts: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -89,7 +108,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang:
     """Context trees per language, from about ``rows_per_lang`` rows of each, chosen by a hash of the key.
 
     The trees hold contexts of up to three bytes. Those of two and three bytes are kept
-    for the commonest byte pairs, as many as ``table_bytes`` allows; all others end at one byte.
+    for the commonest byte pairs, as many as a table of ``table_bytes`` has room for; all others end at one byte.
     Only the ``max_langs`` commonest languages are learned. Rows without text or language are not read.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), hash48(F.col(key), seed="fit").alias("_h")) \
@@ -97,100 +116,102 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang:
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([], np.zeros(1 << 16, np.int16), 1, np.zeros((1, 0), np.float32), np.zeros((1 << 16, 0), np.float32))
+        none = np.zeros(0, np.int64)
+        return Model([], np.zeros(1 << 16, np.int16), none, (none, none), (none, none))
     share = {r["lang"]: min(1.0, rows_per_lang / r["count"]) for r in sizes}
     table = docs.sparkSession.createDataFrame(
         [(name, i, int(share[name] * (1 << KEY_BITS))) for i, name in enumerate(langs)], "lang string, _i int, _cut long")
     sample = rows.join(F.broadcast(table), "lang").filter("_h < _cut").select(F.col("_i").alias("lang"), "text")
 
-    pairs = _counts(sample, None, 0, len(langs))
-    frequent = pairs.sum(0)
+    pairs = _counts(sample, None, 0)
+    frequent = np.bincount(pairs[0] % (1 << 16), pairs[1], 1 << 16)
     frequent[BLANKS] = np.inf  # the context before the first byte
     width = max(2, min(int((table_bytes / 4 / len(langs)) ** 0.5), 1 + int((frequent > 1).sum())))
     common = np.sort(np.argsort(-frequent, kind="stable")[:width - 1])
     ids = np.zeros(1 << 16, np.int16 if width < 1 << 15 else np.int32)
     ids[common] = np.arange(1, width)
-    quads = _counts(sample, ids, width, len(langs))
+    return Model(langs, ids, common, pairs, _counts(sample, ids, width))
+
 
-    bytes_of = pairs.reshape(-1, 256, 256)
-    deep = np.empty((width * width, len(langs)), np.float32)
-    flat = np.empty((1 << 16, len(langs)), np.float32)
+def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    width, common = model.width, model.common
+    deep = np.empty((width * width, len(model.langs)), np.float32)
+    flat = np.empty((1 << 16, len(model.langs)), np.float32)
     first, second = common >> 8, common & 255
-    for i in range(len(langs)):
-        single = bytes_of[i].sum(0)
+    begins = np.zeros((width - 1, 256), np.float32)  # which place begins with which byte
+    begins[np.arange(width - 1), first] = 1
+    ends = np.zeros((256, width - 1), np.float32)  # which place ends with which byte
+    ends[second, np.arange(width - 1)] = 1
+    for i in range(len(model.langs)):
+        one = _dense(model.pairs, i, 1 << 16).reshape(256, 256)
+        single = one.sum(0)
         order0 = _escape(single, single.sum(), (single > 0).sum(), np.full(256, 1 / 256))
-        one = bytes_of[i]
         order1 = _escape(one, one.sum(1, keepdims=True), (one > 0).sum(1, keepdims=True), order0[None, :])
         flat[:, i] = -np.log2(order1.reshape(-1))
-        grid = quads[i].reshape(width, width)[1:, 1:]
-        ctx = np.zeros((width - 1, 256), np.float32)  # which tree pair begins with which byte
-        ctx[np.arange(width - 1), first] = 1
-        end = np.zeros((256, width - 1), np.float32)  # which tree pair ends with which byte
-        end[second, np.arange(width - 1)] = 1
-        two = end @ grid
-        order2 = _escape(two, (two @ ctx)[:, first], ((two > 0).astype(np.float32) @ ctx)[:, first],
+        grid = _dense(model.quads, i, width * width).reshape(width, width)[1:, 1:]
+        two = ends @ grid
+        order2 = _escape(two, (two @ begins)[:, first], ((two > 0).astype(np.float32) @ begins)[:, first],
                          order1[first, second][None, :])
-        order3 = _escape(grid, (grid @ ctx)[:, first], ((grid > 0).astype(np.float32) @ ctx)[:, first], order2[second])
+        order3 = _escape(grid, (grid @ begins)[:, first], ((grid > 0).astype(np.float32) @ begins)[:, first], order2[second])
         bits = np.zeros((width, width), np.float32)
         bits[1:, 1:] = -np.log2(order3)
         deep[:, i] = bits.reshape(-1)
-    return Model(langs, ids, width, deep, flat)
+    return deep, flat
 
 
 def code_lengths(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Bits of each row under each language."""
     rows, langs = len(starts) - 1, len(model.langs)
     bits = np.zeros((rows, langs))
+    if not langs:
+        return bits
+    deep, flat = model.tables()
     step = max(1, BLOCK // max(1, langs // 4))
     here, before, begin = padded(data, starts)
     for low in range(0, len(data), step):
         h, b = here[low:low + step], before[low:low + step]
         left, right = model.ids[b].astype(np.int64), model.ids[h].astype(np.int64)
-        cost = model.deep[left * model.width + right]
+        cost = deep[left * model.width + right]
         rare = (left == 0) | (right == 0)
-        cost[rare] = model.flat[h[rare]]
+        cost[rare] = flat[h[rare]]
         inside = np.flatnonzero((starts[1:] > low) & (begin < low + step) & (np.diff(starts) > 0))
         bits[inside] += np.add.reduceat(cost, np.maximum(begin[inside] - low, 0), axis=0, dtype=np.float64)
     return bits
 
 
-def _predictor(shared, langs: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            parts = [code_lengths(model, data, starts) for _, _, data, starts in rows_of(batch)]
-            lengths = np.concatenate([np.diff(starts) for _, _, _, starts in rows_of(batch)] or [np.zeros(0)])
-            bits = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
-            best = bits.argmin(1) if len(langs) else np.zeros(len(bits), int)
-            least = bits.min(1) if len(langs) else np.zeros(len(bits))
-            sure = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1) if len(langs) else least
-            names = pa.array(np.array([*langs, UNKNOWN], object)[best], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), names, pa.array(sure), pa.array(least / np.maximum(lengths, 1))],
-                ["_key", "lettered", "best", "sure", "bits_per_byte"])
+def coded(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Per text the language whose context tree codes it in the fewest bits, that language's probability if all are
+    equally likely beforehand, and the bits per byte. A column, so that rows keep their place and their other columns."""
+    shared, langs = spark.sparkContext.broadcast(model), model.langs
 
-    return run
+    @F.arrow_udf("struct<best:string,sure:double,bits_per_byte:double>")
+    def best(texts: pa.Array) -> pa.Array:
+        bits, lengths = [np.zeros((0, len(langs)))], [np.zeros(0)]
+        for data, starts in text_blocks(texts):
+            bits.append(code_lengths(shared.value, data, starts))
+            lengths.append(np.diff(starts))
+        bits, lengths = np.concatenate(bits), np.concatenate(lengths)
+        least = bits.min(1)
+        sure = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.array(langs, object)[bits.argmin(1)], pa.string()), pa.array(sure),
+             pa.array(least / np.maximum(lengths, 1))], ["best", "sure", "bits_per_byte"])
+
+    lettered = F.coalesce(text.rlike(LETTER), F.lit(False))
+    unknown = F.struct(F.lit(UNKNOWN).alias("best"), F.lit(0.0).alias("sure"), F.lit(0.0).alias("bits_per_byte"))
+    return F.when(lettered, best(text)).otherwise(unknown) if langs else unknown
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The language whose context tree codes the whole text in the fewest bits.
-
-    Returns ``key``, lang_pred, score (the probability of that language, all being
-    equally likely beforehand), bits_per_byte. Null text, text without a letter and a
-    model without languages give ``und`` with score 0; equal code lengths go to the language that
-    sorts first. A row depends on its own text alone, so nothing is shuffled and
-    repeated rows and null keys are kept as they come; an empty table gives no rows; other
-    columns are ignored.
+    """The language of each whole text: ``key``, lang_pred, score (0 to 1), bits_per_byte.
+
+    Null text, text without a letter and a model without languages give ``und`` with score 0; equal code lengths
+    go to the language that sorts first. A row depends on its own text alone, so nothing is shuffled and
+    repeated rows and null keys are kept as they come; an empty table gives no rows; other columns are ignored.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    known = F.col("lettered") & F.lit(bool(model.langs))
-    return docs.select(
-        F.col(key).alias("_key"), F.coalesce(F.col(text).rlike(LETTER), F.lit(False)).alias("lettered"), F.col(text).alias("text")
-    ).mapInArrow(_predictor(shared, model.langs),
-                 f"_key {kind}, lettered boolean, best string, sure double, bits_per_byte double").select(
-        F.col("_key").alias(key), F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(known, F.col("sure")).otherwise(0.0).alias("score"), "bits_per_byte")
+    found = docs.select(F.col(key).alias("_key"), coded(F.col(text), model, docs.sparkSession).alias("_c"))
+    return found.select(F.col("_key").alias(key), F.col("_c.best").alias("lang_pred"), F.col("_c.sure").alias("score"),
+                        "_c.bits_per_byte")
 
 
 def held_out(key: Column) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from weirgate.llm import exact, jaccard, language, mixing, pii, repeats, shards
+from weirgate.llm import (
+    decontaminate, exact, jaccard, language, lines, mixing, pii, quality, repeats, shards)
 
 SHARDS = 40
+KEPT_SHARE = 0.5
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
 
 
@@ -20,6 +22,15 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard.link(read(spark, sf_dir), width=3, percent=90)
 
 
+def op2_line_dedup(spark, sf_dir):
+    found = lines.remove_line_runs(read(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = read(spark, sf_dir)
     seen = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
@@ -43,13 +54,35 @@ def op8_exact_dedup(spark, sf_dir):
     return exact.exact_groups(read(spark, sf_dir))
 
 
+def op9_quality_resampling(spark, sf_dir):
+    docs = read(spark, sf_dir)
+    ratio = quality.fit(docs, quality.labelled(docs, read(spark, sf_dir, "labels")))
+    return quality.resample(docs, ratio, KEPT_SHARE)
+
+
 def op10_pareto_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir), SOURCE_WEIGHTS).drop("copies")
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op4_language_id, op5_personal_data, op6_rendezvous_shards, op7_suffix_dedup,
-    op8_exact_dedup, op10_pareto_mix)}
+    op1_ngram_jaccard, op2_line_dedup, op3_decontamination, op4_language_id, op5_personal_data, op6_rendezvous_shards,
+    op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix)}
+
+OP2_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS l, generate_subscripts(parts, 1) AS n FROM split),
+runs AS (
+  SELECT doc_id, n, l, lead(l, 1) OVER w AS l1, lead(l, 2) OVER w AS l2 FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+later AS (
+  SELECT doc_id, n FROM runs WHERE l2 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY l, l1, l2 ORDER BY doc_id, n) > 1),
+gone AS (SELECT DISTINCT doc_id, n + k AS n FROM later, range(3) AS r(k)),
+marked AS (SELECT lines.doc_id, lines.n, l, gone.n IS NOT NULL AS gone FROM lines LEFT JOIN gone USING (doc_id, n)),
+begun AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM marked)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM begun GROUP BY doc_id
+"""
 
 OP6_SQL = f"""
 WITH crc AS (
@@ -132,5 +165,6 @@ FROM summed
 """
 
 LLM_SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op6_rendezvous_shards": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_pareto_mix": OP10_SQL,
 }

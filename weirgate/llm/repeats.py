@@ -232,7 +232,7 @@ def repeated_ranges(rows: DataFrame, length: int, prefix: int, windows: bool, bu
     positions, most = ranks.agg(F.sum("n"), F.max("n")).first()
     busy = None
     if (most or 0) > hot:
-        busy = spark.sparkContext.broadcast(bloom.build(ranks.filter(F.col("n") > hot), "rank", bits=24))
+        busy = spark.sparkContext.broadcast(bloom.build(ranks.filter(F.col("n") > hot), "rank"))
     schema = f"_key {kind}, _row long, rank long, content long, start long, size long" + ", bytes binary" * windows
     buckets = max(1, (positions or 0) // bucket)
     found = rows.mapInArrow(_runs(length, prefix, shared, busy, False, windows), schema) \
@@ -294,12 +294,12 @@ def remove_repeats(
     long = repeated_ranges(keyed, LONG, LONG_PREFIX, False, bucket, hot) if length < LONG else None
     ranges = long
     if long is not None:
-        known, plain = _with_ranges(keyed, long)
+        known, plain = with_ranges(keyed, long)
         rows = cut_lineage(known).unionByName(plain)
         ranges = long.unionByName(repeated_ranges(rows, length, prefix, True, bucket, hot))
     else:
         ranges = repeated_ranges(keyed, length, prefix, True, bucket, hot)
-    touched, plain = _with_ranges(whole, ranges)
+    touched, plain = with_ranges(whole, ranges)
     schema = f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     changed = touched.select("_key", "text", "starts", "ends").mapInArrow(_cut, schema)
     same = plain.select(
@@ -308,19 +308,12 @@ def remove_repeats(
     return changed.unionByName(same).withColumnRenamed("_key", key)
 
 
-def _with_ranges(rows: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_ranges(rows: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that may have ranges, with them, and the others with none. Only the former are shuffled."""
-    spark = rows.sparkSession
     lists = ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_r")) \
         .select("_row", F.col("_r.start").alias("starts"), F.col("_r.end").alias("ends"))
-    shared = spark.sparkContext.broadcast(bloom.build(ranges.select("_row").distinct(), "_row"))
-
-    @F.pandas_udf("boolean")
-    def may_have(row: pd.Series) -> pd.Series:
-        return pd.Series(bloom.holds(shared.value, row.to_numpy().view(np.uint64)))
-
     none = F.array().cast("array<bigint>")
-    known = rows.filter(may_have("_row")).join(lists, "_row", "left") \
+    maybe, plain = bloom.split(rows, "_row", ranges.select("_row"))
+    known = maybe.join(lists, "_row", "left") \
         .withColumn("starts", F.coalesce("starts", none)).withColumn("ends", F.coalesce("ends", none))
-    plain = rows.filter(~may_have("_row")).withColumn("starts", none).withColumn("ends", none)
-    return known, plain
+    return known, plain.withColumn("starts", none).withColumn("ends", none)

@@ -147,3 +147,10 @@ def rows_of(batch: pa.RecordBatch, size: int = BLOCK, column: str = "text"):
     data, ends = utf8(batch.column(column))
     for first, last in blocks(ends, size):
         yield first, last, data[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
+
+
+def text_blocks(column: pa.Array, size: int = BLOCK):
+    """Blocks of a text column: bytes and row starts."""
+    data, ends = utf8(column)
+    for first, last in blocks(ends, size):
+        yield data[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
