@@ -17,6 +17,8 @@ from weirgate.workspace import cut_lineage
 
 #: Coordinates of a count vector, rows of an R-tree leaf, rows of a cell that one task searches at once.
 GROUPS, LEAF, TILE = 64, 32, 2_000
+#: Rows of small cells that one task searches.
+BUCKET = 20_000
 #: Sizes from one bound to the next share the number of hash groups.
 RATIO = 1.5
 #: Groups beyond the least number, so that a set with few empty groups needs none of them to be found.
@@ -206,21 +208,52 @@ class RTree:
                 stack += [(a, below_b[0]), (a, below_b[1])]
 
 
+def _leaf_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each of many cells that are no larger than a leaf."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes).tolist():
+        i, j = np.triu_indices(size, 1)
+        first = starts[sizes == size][:, None]
+        left.append((first + i).ravel())
+        right.append((first + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _search(limit: Threshold):
+    """Pairs across components in the cells of a bucket whose count vectors allow a link."""
     def run(keys, rows: pd.DataFrame) -> pd.DataFrame:
         _, one, other = keys
-        rows = rows.drop_duplicates("node")
+        rows = rows.drop_duplicates(["cell", "node"]).sort_values("cell", kind="stable")
         vectors = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
-        node, part, tile = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["tile"].to_numpy()
-        left, right = [], []
-        for i, j in RTree(vectors).pairs(limit):
+        cell, node, part, tile = (rows[c].to_numpy() for c in ("cell", "node", "part", "tile"))
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        sizes = np.diff(np.append(starts, len(cell)))
+
+        def across(i, j):
+            """Pairs of different components; pairs within a tile belong to that tile's own search."""
             keep = part[i] != part[j]
-            if one != other:  # pairs within a tile belong to that tile's own search
+            if one != other:
                 keep &= tile[i] != tile[j]
-            left.append(np.minimum(node[i][keep], node[j][keep]))
-            right.append(np.maximum(node[i][keep], node[j][keep]))
-        found = pd.DataFrame({"a": np.concatenate(left or [node[:0]]), "b": np.concatenate(right or [node[:0]])})
-        return found.drop_duplicates()
+            return i[keep], j[keep]
+
+        def bounded(i, j):
+            total = vectors.sum(1)
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                may = np.minimum(vectors[x], vectors[y]).sum(1) >= limit.overlap(total[x] + total[y])
+                yield x[may], y[may]
+
+        i, j = across(*_leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF]))
+        if len(i):  # copies meet in many cells
+            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            by = np.lexsort((high, low))
+            new = np.concatenate([[True], (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])])
+            i, j = i[by][new], j[by][new]
+        found = list(bounded(i, j))
+        for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+            found += [across(start + i, start + j) for i, j in RTree(vectors[start:start + size]).pairs(limit)]
+        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
     return run
 
@@ -299,8 +332,11 @@ def link(
     own = F.pmod(F.xxhash64("node", "cell"), F.col("_tiles")).cast("int")
     dealt = rest.withColumn("tile", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))) \
         .withColumn("one", F.least("tile", "_with")).withColumn("other", F.greatest("tile", "_with"))
-    candidates = dealt.select("cell", "one", "other", "node", "part", "tile").join(reps.select("node", "point"), "node") \
-        .groupBy("cell", "one", "other").applyInPandas(_search(limit), "a long, b long").distinct()
+    small = F.pmod("cell", F.lit(rest.count() // BUCKET + 1))
+    candidates = dealt.select(F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small).alias("bucket"),
+                              "one", "other", "cell", "node", "part", "tile") \
+        .join(reps.select("node", "point"), "node") \
+        .groupBy("bucket", "one", "other").applyInPandas(_search(limit), "a long, b long").distinct()
     more = cut_lineage(_verified(cut_lineage(candidates), sets, limit))
     if not more.isEmpty():
         joined = cut_lineage(components(links.union(more)))
