@@ -87,18 +87,18 @@ def test_streaming_state_equals_batch(spark, ev, tmp_path):
     assert sorted(got.collect()) == sorted(batch_state.mac_table(packets).collect())
 
 
-def test_streaming_episodes(spark, tmp_path):
-    second = 1_000_000
+def test_streaming_episodes_equal_the_batch(spark, tmp_path):
     schema = "dpid long, in_port int, eth_src string, eth_dst string, time_us long"
-    landed = str(tmp_path / "landed")
-    polls = [[0, 30], [59, 130], [400]]
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    landed, out, checkpoint = (str(tmp_path / p) for p in ("landed", "out", "checkpoint"))
+    polls = [[0, 60, 400], [120, 500, 30], [59, 130, 1000]]  # late sightings join bins already written
     for poll in polls:
-        spark.createDataFrame([(1, 1, "a", "b", t * second) for t in poll], schema).coalesce(1).write.mode("append").parquet(landed)
+        rows = [(1, 1, m, "b", t * 1_000_000) for t in poll for m in ("a", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(schema).parquet(landed)
-        state.upsert(state.block_episodes(stream, tolerance="100 seconds"), out, checkpoint, "append").awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(out).orderBy("start_us").collect()
-    assert [(r.start_us // second, r.end_us // second, r.sightings) for r in rows] == [(0, 119, 3), (130, 190, 1)]
+        state.upsert(state.block_sightings(stream), out, checkpoint).awaitTermination()
+    got = sorted(map(str, state.block_episodes(spark, out).collect()))
+    assert got == sorted(map(str, batch_state.block_episodes(spark.read.schema(schema).parquet(landed)).collect()))
+    assert len(got) == 8
 
 
 def test_time_filter_skips_days(spark, tmp_path):
@@ -108,6 +108,16 @@ def test_time_filter_skips_days(spark, tmp_path):
     newer = cleaning.newer_than(spark.read.parquet(path), day + 5)
     assert sorted(r.time_us for r in newer.collect()) == [day + 9, 2 * day]
     files = [f for f in newer.inputFiles()]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for written, read in (("America/Sao_Paulo", "UTC"), ("UTC", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", written)
+            other = str(tmp_path / written.replace("/", "-"))
+            flow_files.append_by_day(rows_at(spark, day + 5, day + 9, 2 * day - 1), other)
+            spark.conf.set("spark.sql.session.timeZone", read)
+            assert cleaning.newer_than(spark.read.parquet(other), day + 5).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     assert files and "PartitionFilters: [isnotnull(day" in newer._jdf.queryExecution().toString()
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.functions import cleaning
-from weirgate.operators import knn, naive_bayes, svm, trees
+from weirgate.operators import knn, naive_bayes, sampling, svm, trees
 from weirgate.operators.features import FlowFeatures, f_score
 from weirgate.plans import training
 from weirgate.sources import bundles
@@ -109,6 +109,23 @@ def test_any_mllib_model_can_join(spark, separable, tmp_path):
     assert scored.filter("logistic = label").count() >= 396 and scored.filter("knn IS NOT NULL").isEmpty()
 
 
+def test_a_model_that_does_not_fit_is_left_out(spark, trained, separable):
+    _, models, _ = trained
+    broken = dict(models)
+    narrow = svm.FourierMap(1, 1.0, 8)
+    broken["svm"] = bundles.Bundle("svm", "svm", models["svm"].features, svm.SvmModel(models["svm"].model.linear, narrow, {}))
+    with pytest.raises(ValueError):
+        broken["svm"].verify()
+    scored = training.predict_all(separable, broken, list(ALL))
+    assert scored.filter("svm IS NOT NULL").isEmpty() and scored.filter("decision_tree = label").count() >= 396
+
+
+def test_held_out_scores_use_every_held_out_row(spark, separable):
+    p = training.prepare(separable, class_cap=20)
+    assert p.plain.groupBy("label").count().filter("count > 20").isEmpty()
+    assert p.test.count() == separable.filter(sampling.is_test()).count() > 100
+
+
 def test_empty_training_data(separable):
     with pytest.raises(ValueError, match="empty"):
         training.prepare(separable.filter("label > 5"))
@@ -146,8 +163,26 @@ def test_searches_prefer_what_fits(xor):
     assert best.transform(xor).filter("label = prediction").count() >= 395
 
 
+def test_cut_trees_equal_trees_fitted_with_the_limit(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int((a > 0) ^ (b > 0) ^ (rng.random() < .2)), [float(a), float(b), float(c)])
+            for i, (a, b, c) in enumerate(rng.normal(0, 1, (400, 3)))]
+    df = training._vectors(spark.createDataFrame(rows, "flow_id long, label int, x array<double>"))
+    for leaf in (1, 5):
+        deep = trees.tree(minInstancesPerNode=leaf, maxDepth=30).fit(df)
+        paths = trees.leaf_paths(deep)
+        counts = trees._table(trees._leaf_counts(deep, df, [], "label"), len(paths), 2)
+        assert len(paths) == (deep.numNodes + 1) // 2 and max(map(len, paths)) == deep.depth + 1
+        for depth in (1, 2, 3, 6):
+            cut = trees.CutTree(deep, trees.cut_leaves(paths, counts, depth, 2)).transform(df, "mine").select("flow_id", "mine")
+            direct = trees.tree(minInstancesPerNode=leaf, maxDepth=depth).fit(df).transform(df)
+            assert direct.join(cut, "flow_id").filter("mine = prediction").count() == 400
+        whole = trees.cut_leaves(paths, counts, 30, 10 ** 6)
+        assert len(set(whole)) == 1  # the root is not split
+
+
 def test_tree_grid_size():
-    assert len(trees.tree_candidates()) == 18
+    assert len(trees.tree_candidates()) == 42
     assert {c["maxDepth"] for c in trees.tree_candidates()} == {10, 20, 30}
     assert len(svm.candidates()) == 12
 
@@ -210,9 +245,34 @@ def test_equal_scores_keep_the_later_column(spark):
 
 
 def test_f_score():
-    assert f_score([(3, 1.0, 2 / 3), (3, 2.0, 2 / 3)]) == pytest.approx(1.5)
-    assert f_score([(2, 1.0, 0.0), (2, 1.0, 0.0)]) is None
-    assert f_score([(5, 1.0, 1.0)]) is None
+    assert f_score([(3, 1.0, 2 / 3, 0.0, 2.0), (3, 2.0, 2 / 3, 1.0, 3.0)]) == pytest.approx(1.5)
+    assert f_score([(2, 1.0, 0.0, 1.0, 1.0), (2, 1.0, 0.0, 1.0, 1.0)]) is None
+    assert f_score([(2, 1.0, 0.0, 1.0, 1.0), (2, 2.0, 1e-30, 2.0, 2.0)]) == float("inf")
+    assert f_score([(5, 1.0, 1.0, 0.0, 2.0)]) is None
+
+
+def test_constant_columns_do_not_round_into_features(spark):
+    rows = [(i, i % 7 % 2, 0.1, float(i % 5 + i % 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "flow_id long, label int, same double, real double")
+    model = FlowFeatures(1, numeric=["same", "real"], categorical=[]).fit(df)
+    kept = model.to_json()
+    assert '"real"' in kept and model.transform(df).select("x").first()[0] != [0.0]
+    both = FlowFeatures(2, numeric=["same", "real"], categorical=[]).fit(df)
+    assert {round(v, 9) for r in both.transform(df).select("x").collect() for v in r.x[:1]} == {0.0} or \
+        {round(r.x[1], 9) for r in both.transform(df).select("x").collect()} == {0.0}
+
+
+def test_knn_without_a_flow_id_survives_a_refused_broadcast(spark, monkeypatch):
+    from weirgate.operators import knn, neighbors
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, [float(i % 2 * 3 + a), float(b)]) for i, (a, b) in enumerate(rng.normal(0, .3, (80, 2)))]
+    train = spark.createDataFrame(rows[:60], "id long, label int, x array<double>")
+    asked = spark.createDataFrame([r[1:] for r in rows[60:]], "label int, x array<double>")
+    want = sorted(map(str, knn.KnnModel(train, [0, 1], 3).transform(asked).collect()))
+    monkeypatch.setattr(knn, "share_if_small", lambda *a, **k: None)
+    monkeypatch.setattr(neighbors, "share_if_small", lambda *a, **k: None)
+    got = knn.KnnModel(train, [0, 1], 3).transform(asked)
+    assert got.columns == [*asked.columns, "prediction"] and sorted(map(str, got.collect())) == want
 
 
 def test_live_rows_fit_the_models(spark, trained):

@@ -11,16 +11,30 @@ def sightings(spark, seconds):
                                  "dpid long, in_port int, eth_src string, eth_dst string, time_us long, flow_id long")
 
 
+def episodes(spark, seconds, **options):
+    rows = state.block_episodes(sightings(spark, seconds), **options).orderBy("start_us").collect()
+    return [(r.start_us // S, r.end_us // S, r.sightings) for r in rows]
+
+
 def test_block_lifetimes(spark):
-    rows = state.block_episodes(sightings(spark, [0, 30, 59, 130, 400])).orderBy("start_us").collect()
-    assert [(r.start_us // S, r.end_us // S, r.sightings) for r in rows] == [(0, 119, 3), (130, 190, 1), (400, 460, 1)]
+    assert episodes(spark, [0, 30, 59, 130, 400]) == [(0, 119, 3), (130, 190, 1), (400, 460, 1)]
+
+
+def test_every_sighting_renews_both_timers(spark):
+    assert episodes(spark, [0, 60, 120, 180]) == [(0, 240, 4)]
+    assert episodes(spark, range(0, 361, 30)) == [(0, 420, 13)]
+    assert len(episodes(spark, [0, 61])) == 2
+    assert episodes(spark, [0, 30, 70], idle_seconds=60, hard_seconds=20) == [(0, 20, 1), (30, 50, 1), (70, 90, 1)]
 
 
-def test_hard_limit_and_idle_boundary(spark):
-    rows = state.block_episodes(sightings(spark, [0, 60, 120, 180])).collect()
-    assert [(r.start_us // S, r.end_us // S, r.sightings) for r in rows] == [(0, 120, 4)]
-    rows = state.block_episodes(sightings(spark, [0, 61])).collect()
-    assert len(rows) == 2
+def test_flagged_rows_are_dropped_at_their_own_time(spark):
+    flagged = sightings(spark, [*range(0, 700, 37), 1000, 1061, 1200]).union(spark.createDataFrame(
+        [(1, 1, None, "b", 5 * S, 100), (1, 1, "a", None, 6 * S, 101)], sightings(spark, [0]).schema))
+    packets = spark.createDataFrame([], "packet_id long, time_us long, dpid long, in_port int, eth_src string, "
+                                        "eth_dst string, ethertype int")
+    for slice_rows in (state.SLICE_ROWS, 4):
+        acted = state.effective_action(flagged, state.block_episodes(flagged), packets, slice_rows).collect()
+        assert len(acted) == flagged.count() and {r.action for r in acted} == {"drop"}
 
 
 def test_bins_do_not_depend_on_the_clock(spark):
@@ -34,6 +48,13 @@ def test_bins_do_not_depend_on_the_clock(spark):
     assert shape == [(3, 109, 3), (170, 171, 2), (300, 360, 3), (421, 421, 1)]
 
 
+def test_other_states_change_no_registration(spark):
+    events = spark.createDataFrame([(1, 5, 1, "MAIN"), (2, 6, 1, "CONFIG"), (3, 6, 2, "MAIN"), (4, 7, 2, "DEAD")],
+                                   "event_id long, time_us long, dpid long, state string")
+    assert [r.dpid for r in state.active_switches(events).collect()] == [1]
+    assert [r.dpid for r in state.active_switches(events, state.CAPTURE_LEAVES).collect()] == [2]
+
+
 def test_switches_and_candidates(spark):
     events = spark.createDataFrame([(1, 5, 1, "MAIN"), (2, 6, 1, "DEAD"), (3, 6, 2, "DEAD"), (4, 6, 2, "MAIN")],
                                    "event_id long, time_us long, dpid long, state string")

@@ -12,6 +12,7 @@ from weirgate.schemas import CATEGORICAL, IGNORED, LABEL, NUMERIC
 NULL_TEXT = "NULL"
 UNKNOWN = "unknown"
 LLDP = 0x88CC
+DAY_US = 86_400_000_000
 
 # Ethertype code (decimal or hex spelling) to display name.
 ETHERTYPES = {
@@ -23,6 +24,7 @@ ETHERTYPES = {
     "0x86dd": "IPv6",
     "N/A": "Não especificado",
 }
+# Fixed value: the name of a code that is not listed.
 UNKNOWN_ETHERTYPE = "Desconhecido (%s)"
 
 
@@ -108,10 +110,15 @@ def drop_lldp(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ethertype") != LLDP)
 
 
+def day_of(time_us: Column) -> Column:
+    """Days since the epoch, without a time zone."""
+    return F.floor(time_us / DAY_US).cast("int")
+
+
 def newer_than(df: DataFrame, mark_us: int) -> DataFrame:
     """Rows after the mark; on a table laid out by day earlier days are not read."""
     if "day" in df.columns:
-        df = df.filter(F.col("day") >= F.to_date(F.timestamp_micros(F.lit(mark_us))))
+        df = df.filter(F.col("day") >= F.lit(mark_us // DAY_US))
     return df.filter(F.col("time_us") > F.lit(mark_us))
 
 

@@ -13,12 +13,12 @@ SLICE_ROWS = 2_000_000
 def asof_last(
     probes: DataFrame, facts: DataFrame, keys: list[str], value: str, output: str,
     time: str = "time_us", tie: str = "event_id", slice_rows: int = SLICE_ROWS,
-    edges: list[float] | None = None,
+    edges: list[float] | None = None, null_safe: bool = False,
 ) -> DataFrame:
     """``probes`` plus ``output``: the ``value`` of the latest fact with the same keys.
 
     Order is (time, tie), and a fact precedes a probe at the same point. A null
-    key matches nothing. Both
+    key matches nothing, or with ``null_safe`` a null. Both
     sides are unioned and read by a running window, so no pairs are formed. When
     the rows exceed ``slice_rows`` the window runs per key and time slice; one
     summary row per key and slice carries the last value forward, so a key that
@@ -29,7 +29,7 @@ def asof_last(
     kind = probes.select(payload.alias("p")).schema["p"].dataType
     dtype = facts.schema[value].dataType
     known = [F.col(k) for k in keys]
-    events = facts.dropna(subset=keys).select(
+    events = (facts if null_safe else facts.dropna(subset=keys)).select(
         *known, F.col(time).alias("t"), F.col(tie).alias("i"), F.lit(0).alias("side"),
         F.col(value).alias("v"), F.lit(None).cast(kind).alias("probe"),
     ).unionByName(probes.select(
@@ -55,5 +55,9 @@ def asof_last(
         .select(*keys, "slice", "before")
     )
     # Both sides are partitioned by key and slice, and the larger one already is.
+    if null_safe:
+        carried = carried.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "slice")], "before")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "slice")]
+        return local.join(carried, same, "left").select("probe.*", F.coalesce("near", "before").alias(output))
     return local.join(carried, [*keys, "slice"], "left").select(
         "probe.*", F.coalesce("near", "before").alias(output))

@@ -15,7 +15,7 @@ def flow_records(entries: DataFrame) -> DataFrame:
         return F.try_element_at("match", F.lit(key))
 
     return entries.select(
-        "flow_id", "time_us", "dpid",
+        *[c for c in ("flow_id",) if c in entries.columns], "time_us", "dpid",
         field("in_port").cast("int").alias("in_port"),
         field("eth_src").alias("eth_src"),
         field("eth_dst").alias("eth_dst"),
@@ -41,7 +41,7 @@ def attack_capture(entries: DataFrame, poll_seconds: int = POLL_SECONDS) -> Data
     labelled = records.withColumn("label", F.lit(1)).withColumn("poll", poll)
     if entries.isStreaming:
         return labelled
-    return labelled.orderBy("poll", "dpid", "in_port", "eth_dst", "flow_id")
+    return labelled.orderBy("poll", "dpid", "in_port", "eth_dst", *[c for c in ("flow_id",) if c in labelled.columns])
 
 
 def labelled_union(normal: DataFrame, attack: DataFrame) -> DataFrame:

@@ -34,27 +34,35 @@ class Feature:
     score: float | None
 
 
-def f_score(groups: list[tuple[float, float, float]]) -> float | None:
-    """ANOVA F from (count, mean, population variance) per class.
+def is_constant(groups: list[tuple]) -> bool:
+    return min(g[3] for g in groups) == max(g[4] for g in groups)
 
-    ``None`` for a constant feature, +inf for one that separates perfectly.
+
+def f_score(groups: list[tuple[float, float, float, float, float]]) -> float | None:
+    """ANOVA F from (count, mean, population variance, least, greatest) per class.
+
+    ``None`` for a constant feature, +inf for one that separates perfectly. Both are seen
+    from the extremes, since sums of equal numbers round.
     """
+    if is_constant(groups):
+        return None
     n = sum(g[0] for g in groups)
     mean = sum(g[0] * g[1] for g in groups) / n
     between = sum(g[0] * (g[1] - mean) ** 2 for g in groups)
     within = sum(g[0] * g[2] for g in groups)
     if len(groups) < 2 or n <= len(groups):
         return None
-    if within == 0:
-        return math.inf if between > 0 else None
+    if all(g[3] == g[4] for g in groups):
+        return math.inf
     return (between / (len(groups) - 1)) / (within / (n - len(groups)))
 
 
 def numeric_moments(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFrame:
-    """count, mean and population variance per class, one row per class."""
+    """count, mean, population variance and extremes per class, one row per class."""
     measures = [F.count(F.lit(1)).cast("double").alias("n")]
     for c in columns:
-        measures += [F.avg(c).alias(f"{c}|mean"), F.var_pop(c).alias(f"{c}|var")]
+        measures += [F.avg(c).alias(f"{c}|mean"), F.var_pop(c).alias(f"{c}|var"),
+                     F.min(c).alias(f"{c}|low"), F.max(c).alias(f"{c}|high")]
     return df.groupBy(label).agg(*measures)
 
 
@@ -137,10 +145,11 @@ class FlowFeatures(Estimator):
 
         means, stds, scored = {}, {}, []
         for i, c in enumerate(numeric):
-            groups = [(r["n"], r[f"{c}|mean"], r[f"{c}|var"]) for r in moments]
-            mean = sum(n * m for n, m, _ in groups) / total
-            var = sum(n * (v + (m - mean) ** 2) for n, m, v in groups) / total
-            means[c], stds[c] = mean, math.sqrt(var) or 1.0
+            groups = [tuple(r[f"{c}|{m}"] for m in ("mean", "var", "low", "high")) for r in moments]
+            groups = [(r["n"], *g) for r, g in zip(moments, groups)]
+            mean = sum(g[0] * g[1] for g in groups) / total
+            var = sum(g[0] * (g[2] + (g[1] - mean) ** 2) for g in groups) / total
+            means[c], stds[c] = (groups[0][3], 1.0) if is_constant(groups) else (mean, math.sqrt(var) or 1.0)
             scored.append(((0, i, ""), Feature(c, c, None, f_score(groups))))
 
         n_features = len(numeric)

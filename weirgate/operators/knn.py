@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weirgate.operators.neighbors import share_if_small, with_neighbors
 from weirgate.operators.sampling import fold
+from weirgate.workspace import cut_lineage
 
 # The two search grids, offline and live.
 OFFLINE_GRID = {"k": [3, 5, 7, 10], "weights": ["uniform", "distance"], "p": [1, 2]}
@@ -61,8 +62,11 @@ class KnnModel:
         """
         # Broadcast once, not once per micro-batch.
         self._shared = self._shared or share_if_small(self.train)
+        numbered = self._shared is None and id_col not in df.columns
+        if numbered:  # the partitioned search joins its answer back on an id, which must not change in between
+            df, id_col = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id())), "_row"
         near = with_neighbors(df, self.train, self.k, self.p, id_col, self._shared)
-        return near.withColumn(output, vote(F.col("neighbors"), self.k, self.weights, self.labels)).drop("neighbors")
+        return near.withColumn(output, vote(F.col("neighbors"), self.k, self.weights, self.labels)).drop("neighbors", *["_row"] * numbered)
 
 
 def training_rows(df: DataFrame, id_col: str = "flow_id", label: str = "label") -> DataFrame:

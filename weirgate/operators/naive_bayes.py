@@ -137,15 +137,13 @@ def grid_search(df: DataFrame, folds: int = 5, id_col: str = "flow_id", label: s
             sum(m.n * (m.variances[j] + (m.means[j] - means[j]) ** 2) for m in parts) / n for j in range(d)
         ]
         total[c] = ClassMoments(n, means, variances)
-    # One row per fold and candidate.
+    # One row per fold holds all candidates, so the join multiplies no rows.
     table = []
     for f in range(folds):
         rest = {c: total[c].minus(per_fold[(f, c)]) if (f, c) in per_fold else total[c] for c in labels}
-        table += [(f, float(s), _parameters(rest, s)) for s in grid]
-    candidates = df.sparkSession.createDataFrame(table, f"fold int, smoothing double, parameters {PARAMETERS}")
-    hit = (F.col(label) == _prediction(F.col("x"), F.col("parameters"))).cast("double")
-    per = (
-        rows.join(F.broadcast(candidates), "fold").groupBy("fold", "smoothing").agg(F.avg(hit).alias("accuracy"))
-        .groupBy("smoothing").agg(F.avg("accuracy").alias("accuracy")).collect()
-    )
-    return sorted(((r["smoothing"], r["accuracy"]) for r in per), key=lambda t: (-t[1], t[0]))
+        table.append((f, [_parameters(rest, s) for s in grid]))
+    candidates = df.sparkSession.createDataFrame(table, f"fold int, candidates array<{PARAMETERS}>")
+    hits = [F.avg((F.col(label) == _prediction(F.col("x"), F.col("candidates")[i])).cast("double")) for i in range(len(grid))]
+    per = rows.join(F.broadcast(candidates), "fold").groupBy("fold").agg(F.array(*hits).alias("hits")).collect()
+    means = [math.fsum(r["hits"][i] for r in per) / len(per) for i in range(len(grid))]
+    return sorted(((float(s), m) for s, m in zip(grid, means)), key=lambda t: (-t[1], t[0]))

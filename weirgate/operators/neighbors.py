@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.operators.sampling import row_cap
-from weirgate.workspace import cut_lineage, join_hot, spread
+from weirgate.workspace import cut_lineage, join_hot
 
 NEIGHBORS = "array<struct<distance: double, id: bigint, label: int>>"
 BROADCAST_ROWS = 100_000
@@ -125,7 +125,7 @@ def with_neighbors(
     """
     shared = shared or share_if_small(reference, broadcast_rows)
     if shared is not None:
-        return spread(queries).withColumn("neighbors", neighbors_column(F.col("x"), shared, k, p))
+        return queries.withColumn("neighbors", neighbors_column(F.col("x"), shared, k, p))
     asked = queries.select(F.col(id_col).alias("id"), "x")
     found = _partitioned(asked, reference, k, p, cell_rows, block_rows)
     return queries.join(found.withColumnRenamed("id", id_col), id_col, "left")

@@ -13,17 +13,22 @@ from weirgate.workspace import broadcast_if_small
 # Block rule lifetime in seconds and rule priorities.
 IDLE_SECONDS, HARD_SECONDS = 60, 120
 PRIORITY_DROP, PRIORITY_FORWARD, PRIORITY_DEFAULT = 100, 1, 0
+# The state that registers a switch and those that unregister it, live and when capturing.
+JOINS, LEAVES, CAPTURE_LEAVES = "MAIN", ("DEAD",), ("CONFIG",)
 MATCH = ["dpid", "in_port", "eth_src", "eth_dst"]
 SECOND = 1_000_000
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """Last reported state per switch; partial aggregation absorbs a busy switch."""
-    return events.groupBy("dpid").agg(F.max_by("state", F.struct("time_us", "event_id")).alias("state"))
+def latest_state(events: DataFrame, leaves: tuple[str, ...] = LEAVES) -> DataFrame:
+    """Last state per switch among those that register or unregister it; partial aggregation absorbs a busy switch.
+
+    The live monitor unregisters on DEAD, the capture programs on CONFIG; other states change nothing.
+    """
+    return events.filter(F.col("state").isin(JOINS, *leaves)).groupBy("dpid").agg(F.max_by("state", F.struct("time_us", "event_id")).alias("state"))
 
 
-def active_switches(events: DataFrame) -> DataFrame:
-    return latest_state(events).filter("state = 'MAIN'").select("dpid")
+def active_switches(events: DataFrame, leaves: tuple[str, ...] = LEAVES) -> DataFrame:
+    return latest_state(events, leaves).filter(F.col("state") == JOINS).select("dpid")
 
 
 def mac_table(packets: DataFrame) -> DataFrame:
@@ -59,32 +64,45 @@ def unblockable(flagged: DataFrame, active: DataFrame) -> DataFrame:
     return joined.withColumn("reason", why).drop("is_active").filter("reason IS NOT NULL")
 
 
-def block_episodes(
-    flagged: DataFrame, idle_seconds: int = IDLE_SECONDS, hard_seconds: int = HARD_SECONDS
-) -> DataFrame:
-    """Block intervals per match: sightings at most ``idle`` apart form one episode.
+def lifetime(idle_seconds: int, hard_seconds: int) -> int:
+    """Microseconds a block rule lives after a sighting: every sighting installs it anew and restarts both timers."""
+    return min(idle_seconds, hard_seconds) * SECOND
 
-    An episode ends ``idle`` after its last sighting, or ``hard`` after its first
-    if that is earlier. Sightings in one bin of width ``idle`` are never further
-    apart than ``idle``, so they collapse to (first, last, n) before the shuffle;
-    what a window then orders per match is bounded by time, not by traffic.
-    """
-    idle, hard = idle_seconds * SECOND, hard_seconds * SECOND
-    bins = flagged.groupBy(*MATCH, F.floor(F.col("time_us") / idle).cast("bigint").alias("bin")).agg(
+
+def sighting_bins(flagged: DataFrame, life: int) -> DataFrame:
+    """Sightings per match in bins no wider than a rule lives: first, last, n."""
+    return flagged.groupBy(*MATCH, F.floor(F.col("time_us") / life).cast("bigint").alias("bin")).agg(
         F.min("time_us").alias("first"), F.max("time_us").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def joined_bins(bins: DataFrame, life: int) -> DataFrame:
+    """Episodes from bins: a sighting while the rule lives prolongs it."""
     order = Window.partitionBy(*MATCH).orderBy("first")
     gap = F.col("first") - F.lag("last").over(order)
-    numbered = bins.withColumn("fresh", F.when(gap <= idle, 0).otherwise(1)).withColumn(
+    numbered = bins.withColumn("fresh", F.when(gap <= life, 0).otherwise(1)).withColumn(
         "episode", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         numbered.groupBy(*MATCH, "episode")
         .agg(F.min("first").alias("start_us"), F.max("last").alias("last_us"), F.sum("n").alias("sightings"))
-        .select(*MATCH, "start_us", "last_us",
-                F.least(F.col("last_us") + idle, F.col("start_us") + hard).alias("end_us"), "sightings",
+        .select(*MATCH, "start_us", "last_us", (F.col("last_us") + life).alias("end_us"), "sightings",
                 F.lit(PRIORITY_DROP).alias("priority"))
     )
 
 
+def block_episodes(
+    flagged: DataFrame, idle_seconds: int = IDLE_SECONDS, hard_seconds: int = HARD_SECONDS
+) -> DataFrame:
+    """Block intervals per match: sightings no further apart than a rule lives form one episode.
+
+    An episode ends one lifetime (the shorter of idle and hard time) after its last
+    sighting, since each sighting renews the rule. Sightings in one bin of that width
+    collapse to (first, last, n) before the shuffle; what a window then orders
+    per match is bounded by time, not by traffic. Missing match fields are equal to each other.
+    """
+    life = lifetime(idle_seconds, hard_seconds)
+    return joined_bins(sighting_bins(flagged, life), life)
+
+
 def effective_action(
     flows: DataFrame, episodes: DataFrame, packets: DataFrame, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
@@ -99,7 +117,7 @@ def effective_action(
     # Episodes and learned addresses come from the same flows: one set of time slices serves both.
     edges = slice_edges(flows, "time_us", slice_rows // 2)
     covered = asof_last(flows.select("flow_id", "time_us", *MATCH), starts, MATCH, "end_us", "until",
-                        tie="flow_id", edges=edges)
+                        tie="flow_id", edges=edges, null_safe=True)
     learned = drop_lldp(packets).select(
         "dpid", F.col("eth_src").alias("mac"), "time_us", F.col("packet_id").alias("flow_id"), "in_port")
     known = asof_last(covered.withColumn("mac", F.col("eth_dst")), learned, ["dpid", "mac"], "in_port",

@@ -558,8 +558,8 @@ def dt_grid(spark, sf):
     """The offline tree grid on the capped sample."""
     prepared = _prepared(spark, sf)
     _, scores = trees.tune_tree(prepared.balanced, 5, id_col="id", parallelism=8)
-    rows = [(c["impurity"], c["maxDepth"], c["minInstancesPerNode"], float(a)) for c, a in scores]
-    return spark.createDataFrame(rows, "impurity string, max_depth int, min_rows int, accuracy double")
+    rows = [(c["impurity"], c["maxDepth"], c["minSamplesSplit"], c["minInstancesPerNode"], float(a)) for c, a in scores]
+    return spark.createDataFrame(rows, "impurity string, max_depth int, min_split int, min_rows int, accuracy double")
 
 
 @query
@@ -650,10 +650,18 @@ def stream_mac_table(spark, sf):
     return stream_state.current(spark, f"{root}/out", ["dpid", "mac"]).select("dpid", "mac", "in_port")
 
 
+STREAM_POLLS = 3
+
+
 @query
 def stream_block_episodes(spark, sf):
-    """Episodes closed by the watermark, which ends at the newest sighting."""
+    """All episodes, those still open included, from sightings that land in several polls."""
     root = scratch(spark, "episodes")
-    sessions = stream_state.block_episodes(_sightings(_stream(spark, sf)), IDLE_SECONDS, HARD_SECONDS)
-    stream_state.upsert(sessions, f"{root}/out", f"{root}/checkpoint", mode="append").awaitTermination()
-    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").drop("batch")
+    found = _sightings(views.events(spark, sf))
+    span = F.col("time_us") % STREAM_POLLS  # every poll holds sightings of all times
+    for poll in range(STREAM_POLLS):
+        found.filter(span == poll).write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(found.schema).parquet(f"{root}/landed")
+        bins = stream_state.block_sightings(stream, IDLE_SECONDS, HARD_SECONDS, "3650 days")
+        stream_state.upsert(bins, f"{root}/out", f"{root}/checkpoint/").awaitTermination()
+    return stream_state.block_episodes(spark, f"{root}/out", IDLE_SECONDS, HARD_SECONDS)

@@ -98,10 +98,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
               SELECT packet_id, time_us, dpid, eth_dst, eth_dst, NULL, 1 FROM packets WHERE ethertype <> 35020)"""),
     "episodes": (["flagged"], f"""
         SELECT dpid, in_port, eth_src, eth_dst, min(time_us) AS start_us, max(time_us) AS last_us,
-          least(max(time_us) + {catalog.IDLE_SECONDS * 1_000_000}, min(time_us) + {catalog.HARD_SECONDS * 1_000_000}) AS end_us,
+          max(time_us) + {min(catalog.IDLE_SECONDS, catalog.HARD_SECONDS) * 1_000_000} AS end_us,
           count(*) AS sightings, 100 AS priority
         FROM (SELECT *, sum(fresh) OVER w AS episode
-              FROM (SELECT *, CASE WHEN time_us - lag(time_us) OVER w <= {catalog.IDLE_SECONDS * 1_000_000}
+              FROM (SELECT *, CASE WHEN time_us - lag(time_us) OVER w <= {min(catalog.IDLE_SECONDS, catalog.HARD_SECONDS) * 1_000_000}
                                THEN 0 ELSE 1 END AS fresh
                     FROM flagged WHERE dpid IS NOT NULL AND in_port IS NOT NULL
                     WINDOW w AS (PARTITION BY dpid, in_port, eth_src, eth_dst ORDER BY time_us, flow_id))
@@ -287,8 +287,8 @@ oracle("effective_action", ["flow_stats", "episodes", "packets"], """
 , learned AS (SELECT dpid, eth_src AS mac, min(struct_pack(t := time_us, i := packet_id)) AS since
               FROM packets WHERE ethertype <> 35020 GROUP BY dpid, eth_src),
 acted AS (SELECT f.flow_id, f.dpid, f.in_port, f.eth_src, f.eth_dst,
-    EXISTS (SELECT 1 FROM episodes e WHERE e.dpid = f.dpid AND e.in_port = f.in_port AND e.eth_src = f.eth_src
-            AND e.eth_dst = f.eth_dst AND f.time_us >= e.start_us AND f.time_us < e.end_us) AS dropped,
+    EXISTS (SELECT 1 FROM episodes e WHERE e.dpid = f.dpid AND e.in_port = f.in_port
+            AND e.eth_src IS NOT DISTINCT FROM f.eth_src AND e.eth_dst IS NOT DISTINCT FROM f.eth_dst AND f.time_us >= e.start_us AND f.time_us < e.end_us) AS dropped,
     coalesce(l.since <= struct_pack(t := f.time_us, i := f.flow_id), false) AS known
   FROM flow_stats f LEFT JOIN learned l ON l.dpid = f.dpid AND l.mac = f.eth_dst
   WHERE f.dpid IS NOT NULL AND f.in_port IS NOT NULL)
@@ -459,6 +459,4 @@ SELECT flow_id, dpid, in_port, eth_src, eth_dst, cause FROM flow_stats JOIN caus
 WHERE in_port IS NOT NULL AND dpid IN (SELECT dpid FROM active)""")
 oracle("stream_switches", ["latest"], "SELECT dpid, state FROM latest")
 ORACLES["q_stream_mac_table"] = ORACLES["q_mac_table"]
-oracle("stream_block_episodes", ["episodes", "flagged"], f"""SELECT dpid, in_port, eth_src, eth_dst, start_us, last_us, end_us, sightings
-FROM episodes WHERE last_us + {catalog.IDLE_SECONDS * 1_000_000} <= (
-  SELECT max(time_us) // 1000 * 1000 FROM flagged WHERE dpid IS NOT NULL AND in_port IS NOT NULL)""")
+oracle("stream_block_episodes", ["episodes"], "SELECT * FROM episodes")

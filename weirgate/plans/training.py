@@ -23,9 +23,11 @@ from weirgate.workspace import cut_lineage
 
 log = logging.getLogger(__name__)
 
+#: Bounds of what models are fitted on: rows per class, and rows of a support vector machine. Scores always come
+#: from all held-out rows.
 CLASS_CAP = 2000
 SVM_ROWS = 30_000
-ROWS_PER_FILE = 20_000
+ROWS_PER_FILE = 1_000
 STATUS = "model string, ok boolean, accuracy double, error string"
 
 
@@ -49,26 +51,26 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 def prepare(df: DataFrame, class_cap: int | None = CLASS_CAP, split_first: bool = True,
             k_features: int = 50, seed: int = 42) -> Prepared:
-    """Cap, split, fit features, balance.
+    """Split, cap the training rows, fit features, balance.
 
-    ``split_first`` fits features and balances on the training rows only. Without
-    it both see all rows before the split, as the reference does, and scores
+    ``split_first`` caps, fits features and balances on the training rows only, and all
+    held-out rows are scored, so that accuracies and the vote weights made of them reflect the real mix of classes. Without
+    it everything happens before the split, as the behaviour to match does, and scores
     leak. The feature rows are written once and read by every trainer.
     """
     rows = require_rows(df.dropna(subset=["label"]), "training data")
-    files = None
-    if class_cap:
-        # A few thousand rows from all over the table: gather them in few files.
-        rows = stratified_cap(rows, class_cap, seed=seed)
-        files = max(1, 2 * class_cap // ROWS_PER_FILE)
-    rows = cut_lineage(rows.withColumn("is_test", is_test(seed=seed)), files)
+    # A few thousand rows from all over the table: gather them in few files.
+    files = max(1, 2 * class_cap // ROWS_PER_FILE) if class_cap else None
     if split_first:
-        model = FlowFeatures(k_features).fit(rows.filter("NOT is_test"))
-        featured = model.transform(rows).select("is_test", *_training_columns())
-        featured = cut_lineage(featured, files)
-        plain, held = (featured.filter(c).drop("is_test") for c in ("NOT is_test", "is_test"))
+        held_out = is_test(seed=seed)
+        fitted = rows.filter(~held_out)
+        fitted = cut_lineage(stratified_cap(fitted, class_cap, seed=seed) if class_cap else fitted, files)
+        model = FlowFeatures(k_features).fit(fitted)
+        plain = cut_lineage(model.transform(fitted).select(*_training_columns()), files)
+        held = cut_lineage(model.transform(rows.filter(held_out)).select(*_training_columns()))
         balanced = cut_lineage(balance(plain, id_col="id", seed=seed), files)
     else:
+        rows = cut_lineage(stratified_cap(rows, class_cap, seed=seed) if class_cap else rows, files)
         model = FlowFeatures(k_features).fit(rows)
         everything = cut_lineage(model.transform(rows).select(*_training_columns()), files)
         resampled = cut_lineage(balance(everything, id_col="id", seed=seed), files)
@@ -97,8 +99,9 @@ def _tune_tree(p: Prepared, folds: int, candidates: list[dict] | None = None):
     return model, dict(max(scores, key=lambda s: s[1])[0])
 
 
-def _train_svm(p: Prepared, **options):
-    rows = row_cap(p.balanced.select("id", "label", "x"), SVM_ROWS, "id")
+def _train_svm(p: Prepared, max_rows: int = SVM_ROWS, **options):
+    """A machine on at most ``max_rows`` of the training rows."""
+    rows = row_cap(p.balanced.select("id", "label", "x"), max_rows, "id")
     return svm.fit(rows, **{**svm.LIVE, **options}), {}
 
 
@@ -195,7 +198,7 @@ def predict_all(df: DataFrame, models: dict[str, Bundle], names: list[str] | Non
         featured = members[0].features.transform(out)
         for bundle in members:
             try:
-                featured = bundle.predict(featured, bundle.name)
+                featured = bundle.verify().predict(featured, bundle.name)
             except Exception as error:  # the vote goes on without this model
                 log.error("%s cannot score: %s", bundle.name, error)
         out = featured.drop("x", "features")

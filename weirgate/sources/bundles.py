@@ -16,6 +16,7 @@ from weirgate.operators.features import FlowFeaturesModel
 from weirgate.operators.knn import KnnModel
 from weirgate.operators.naive_bayes import ClassMoments, GaussianNb
 from weirgate.operators.svm import FourierMap, SvmModel
+from weirgate.operators.trees import CutTree
 
 log = logging.getLogger(__name__)
 
@@ -37,6 +38,28 @@ class Bundle:
     accuracy: float = 1.0
     settings: dict = field(default_factory=dict)
 
+    def verify(self) -> "Bundle":
+        """Raise if the model cannot score what the feature model makes: its width, labels or settings do not fit."""
+        width, model = len(self.features.selected), self.model
+        widths = {"feature model": width}
+        if isinstance(model, KnnModel):
+            first = model.train.select("x").first()
+            widths["training rows"] = len(first["x"]) if first else 0
+            if model.k < 1 or model.p not in (1, 2) or model.weights not in ("uniform", "distance") or not model.labels:
+                raise ValueError(f"{self.name}: unusable settings")
+        elif isinstance(model, GaussianNb):
+            widths |= {f"class {c}": len(m.means) for c, m in model.classes.items()}
+        elif isinstance(model, SvmModel) and model.fourier:
+            widths["map"] = model.fourier.width
+            if model.fourier.dimension != model.linear.numFeatures:
+                raise ValueError(f"{self.name}: the machine does not fit its map")
+        else:
+            inner = model.linear if isinstance(model, SvmModel) else model.tree if isinstance(model, CutTree) else model
+            widths["model"] = getattr(inner, "numFeatures", width)
+        if set(widths.values()) != {width}:
+            raise ValueError(f"{self.name}: widths differ: {widths}")
+        return self
+
     def predict(self, featured: DataFrame, output: str) -> DataFrame:
         """Add the predicted class to rows that already carry ``x`` and ``features``."""
         if isinstance(self.model, Transformer):
@@ -58,6 +81,9 @@ def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
     elif bundle.kind == "svm":
         model.linear.write().overwrite().save(f"{path}/model")
         settings |= {"svm": model.settings, "fourier": asdict(model.fourier) if model.fourier else None}
+    elif isinstance(model, CutTree):
+        PipelineModel([model.tree]).write().overwrite().save(f"{path}/model")
+        settings |= {"leaves": model.leaves}
     else:  # any MLlib classification model
         PipelineModel([model]).write().overwrite().save(f"{path}/model")
     meta = [(bundle.kind, float(bundle.accuracy), bundle.features.to_json(), json.dumps(settings))]
@@ -79,6 +105,8 @@ def load(spark: SparkSession, name: str, path: str) -> Bundle:
         model = SvmModel(LinearSVCModel.load(f"{path}/model"), fourier, settings["svm"])
     else:
         model = PipelineModel.load(f"{path}/model").stages[0]
+        if "leaves" in settings:
+            model = CutTree(model, settings["leaves"])
     accuracy = 1.0 if meta["accuracy"] is None else meta["accuracy"]
     return Bundle(name, kind, FlowFeaturesModel.from_json(meta["features"]), model, accuracy, settings)
 
@@ -88,7 +116,7 @@ def load_all(spark: SparkSession, root: str, names: list[str]) -> dict[str, Bund
     out = {}
     for name in names:
         try:
-            out[name] = load(spark, name, f"{root}/{name}")
+            out[name] = load(spark, name, f"{root}/{name}").verify()
         except Exception as error:  # a bad bundle must not stop the others
             log.error("cannot load %s: %s", name, error)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weirgate.functions.cleaning import NULL_TEXT
+from weirgate.functions.cleaning import NULL_TEXT, day_of
 
 CSV_OPTIONS = {"header": True, "nullValue": NULL_TEXT, "sep": ","}
 
@@ -58,9 +58,11 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def append_by_day(df: DataFrame, path: str) -> None:
-    """Append flow rows to a table with one folder per day, so a time filter skips whole days."""
-    day = F.to_date(F.timestamp_micros("time_us"))
-    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    """Append flow rows to a table with one folder per day, so a time filter skips whole days.
+
+    Days are whole days since the epoch, whatever a session's time zone.
+    """
+    df.withColumn("day", day_of(F.col("time_us"))).write.mode("append").partitionBy("day").parquet(path)
 
 
 def archive(spark: SparkSession, live: str, archived: str, fresh: str, schema: StructType) -> DataFrame:

@@ -10,7 +10,12 @@ from weirgate.schemas import FLOW_TABLE_JSON
 
 def parse_flows(responses: DataFrame) -> DataFrame:
     """(dpid, poll_id, flows_json) to one row per flow with its position in the response."""
-    flows = F.coalesce(F.from_json("flows_json", FLOW_TABLE_JSON), F.array().cast(FLOW_TABLE_JSON))
+    return listed_flows(responses.select("dpid", "poll_id", F.from_json("flows_json", FLOW_TABLE_JSON).alias("flows")))
+
+
+def listed_flows(responses: DataFrame) -> DataFrame:
+    """(dpid, poll_id, flows) to one row per flow with its position in the response."""
+    flows = F.coalesce("flows", F.array().cast(FLOW_TABLE_JSON))
     return (
         responses.select("dpid", "poll_id", F.posexplode(flows).alias("pos", "flow"))
         .select("dpid", "poll_id", (F.col("pos") + 1).alias("position"),
@@ -35,8 +40,7 @@ def read_flow_documents(spark: SparkSession, path: str) -> DataFrame:
         F.from_json("value", f"MAP<STRING, {FLOW_TABLE_JSON}>").alias("doc"),
         F.xxhash64(F.input_file_name()).alias("poll_id"))
     listed = documents.select("poll_id", F.explode("doc").alias("dpid", "flows"))
-    return parse_flows(listed.select(
-        F.col("dpid").cast("bigint").alias("dpid"), "poll_id", F.to_json("flows").alias("flows_json")))
+    return listed_flows(listed.select(F.col("dpid").cast("bigint").alias("dpid"), "poll_id", "flows"))
 
 
 def read_switch_documents(spark: SparkSession, path: str) -> DataFrame:

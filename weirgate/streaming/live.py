@@ -68,7 +68,8 @@ class LivePipeline:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         judged = judge(batch).persist()
         spark = batch.sparkSession
-        match = ["flow_id", "time_us", "dpid", "in_port", "eth_src", "eth_dst"]
+        # Live records carry no id of their own; one that is there is kept.
+        match = [c for c in ("flow_id", "time_us", "dpid", "in_port", "eth_src", "eth_dst") if c in batch.columns]
         # Rules come first: what they flag is blocked and not stored.
         self._write(judged.filter(~F.col("blocked")).drop("reasons", "blocked"), "stored", batch_id)
         stored = spark.read.parquet(f"{self.root}/stored/batch={batch_id}")

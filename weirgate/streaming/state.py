@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weirgate.functions.cleaning import drop_lldp
-from weirgate.operators.state import HARD_SECONDS, IDLE_SECONDS, MATCH, SECOND
+from weirgate.operators.state import HARD_SECONDS, IDLE_SECONDS, JOINS, LEAVES, MATCH, joined_bins, lifetime
 
 
-def switch_registry(events: DataFrame) -> DataFrame:
-    """Latest state per switch, updated by every batch."""
+def switch_registry(events: DataFrame, leaves: tuple[str, ...] = LEAVES) -> DataFrame:
+    """Latest registering or unregistering state per switch, updated by every batch."""
     newest = F.max(F.struct("time_us", "event_id", "state"))
-    return events.groupBy("dpid").agg(newest.alias("newest")).select(
+    return events.filter(F.col("state").isin(JOINS, *leaves)).groupBy("dpid").agg(newest.alias("newest")).select(
         "dpid", "newest.time_us", "newest.event_id", "newest.state")
 
 
@@ -26,29 +26,28 @@ def learned_addresses(packets: DataFrame) -> DataFrame:
     )
 
 
-def block_episodes(flagged: DataFrame, idle_seconds: int = IDLE_SECONDS, hard_seconds: int = HARD_SECONDS,
-                   tolerance: str = "0 seconds") -> DataFrame:
-    """Block episodes as session windows; one is emitted when the watermark has passed it.
+def block_sightings(flagged: DataFrame, idle_seconds: int = IDLE_SECONDS, hard_seconds: int = HARD_SECONDS,
+                    tolerance: str = "1 hour") -> DataFrame:
+    """Sightings per match and bin, updated by every batch; ``block_episodes`` reads episodes from them.
 
-    ``tolerance`` is how late a sighting may arrive; 0 accepts none behind the
-    watermark.
+    ``tolerance`` is how late a sighting may arrive; bins behind it leave the state.
     """
+    life = lifetime(idle_seconds, hard_seconds)
     timed = flagged.withColumn("seen", F.timestamp_micros("time_us")).withWatermark("seen", tolerance)
-    sessions = timed.groupBy(*MATCH, F.session_window("seen", f"{idle_seconds} seconds").alias("w")).agg(
-        F.max("time_us").alias("last_us"), F.count(F.lit(1)).alias("sightings"))
-    start = F.unix_micros("w.start")
-    return sessions.select(
-        *MATCH, start.alias("start_us"), "last_us",
-        F.least(F.col("last_us") + idle_seconds * SECOND, start + hard_seconds * SECOND).alias("end_us"),
-        "sightings")
+    bins = timed.groupBy(*MATCH, F.window("seen", f"{life} microseconds").alias("w")).agg(
+        F.min("time_us").alias("first"), F.max("time_us").alias("last"), F.count(F.lit(1)).alias("n"))
+    return bins.select(*MATCH, F.unix_micros("w.start").alias("bin"), "first", "last", "n")
+
+
+def block_episodes(spark: SparkSession, path: str, idle_seconds: int = IDLE_SECONDS,
+                   hard_seconds: int = HARD_SECONDS) -> DataFrame:
+    """All episodes so far, open ones included, from the bins that ``upsert`` wrote to ``path``."""
+    return joined_bins(current(spark, path, [*MATCH, "bin"]), lifetime(idle_seconds, hard_seconds))
 
 
 def upsert(state: DataFrame, path: str, checkpoint: str, mode: str = "update",
            interval: str | None = None) -> StreamingQuery:
     """Write each batch's changes to a folder of its own, replaced if the batch is retried."""
-    # Merge sessions inside each input partition first, so a busy match sends few rows.
-    state.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
