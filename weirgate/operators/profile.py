@@ -35,8 +35,13 @@ def field_frequency(flows: DataFrame) -> DataFrame:
     fields = flows.select("dpid", F.explode(F.array_append(F.map_keys("match"), F.lit(None))).alias("field"))
     counted = fields.groupBy("dpid", "field").agg(F.count(F.lit(1)).alias("flows"))
     total = F.max(F.when(F.col("field").isNull(), F.col("flows"))).over(Window.partitionBy("dpid"))
-    return counted.select("dpid", "field", "flows", _share(F.col("flows"), total).alias("pct")).filter(
-        "field IS NOT NULL")
+    shares = counted.select("dpid", "field", "flows", _share(F.col("flows"), total).alias("pct")).filter("field IS NOT NULL")
+    return shares.withColumn("position", _position("field"))
+
+
+def _position(column: str):
+    """Place in the listing of a switch, which is sorted by ``column``: a window over counts, not flows."""
+    return F.row_number().over(Window.partitionBy("dpid").orderBy(column))
 
 
 def ip_fields(flows: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def ethertypes(flows: DataFrame) -> DataFrame:
     total = F.sum("flows").over(Window.partitionBy("dpid"))
     return counted.select(
         "dpid", "eth_type", ethertype_name(F.col("eth_type")).alias("name"), "flows",
-        _share(F.col("flows"), total).alias("pct"))
+        _share(F.col("flows"), total).alias("pct"), _position("eth_type").alias("position"))
 
 
 def first_flows(flows: DataFrame, n: int = HEAD_FLOWS) -> DataFrame:

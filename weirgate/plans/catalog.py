@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -120,7 +120,9 @@ def label_union(spark, sf):
 
 @query
 def attack_capture(spark, sf):
-    return capture.attack_capture(views.match_maps(views.events(spark, sf)))
+    rows = capture.attack_capture(views.match_maps(views.events(spark, sf)))
+    reply = Window.partitionBy("poll", "dpid").orderBy("in_port", "eth_dst", "flow_id")
+    return rows.withColumn("position", F.row_number().over(reply))
 
 
 @query
@@ -588,6 +590,35 @@ def predict_all(spark, sf):
     return scored.select("flow_id", *MODEL_NAMES, verdict.alias("verdict"))
 
 
+@query
+def rule_models(spark, sf):
+    """Models trained, saved, loaded and applied to every flow; the label is a known rule of two categories."""
+    flows = views.flow_features(views.events(spark, sf)).select(
+        "flow_id", "flags", "ip_proto",
+        ((F.coalesce("flags", F.lit("")) == "S") != (F.col("ip_proto") == 17)).cast("int").alias("label"))
+    trainers = {**training.LIVE, "decision_tree": lambda p: training._tune_tree(p, 3)}
+    models = training.load_or_train(spark, scratch(spark, "models"), lambda: flows, trainers)
+    scored = training.predict_all(flows.drop("label"), models)
+    verdict = voting.weighted_vote(_votes(), training.weights(models))
+    return scored.select("flow_id", *MODEL_NAMES, verdict.alias("verdict"))
+
+
+@query
+def rule_linear(spark, sf):
+    """The linear machine and the counts of what was trained, on a label that one category decides."""
+    flows = views.flow_features(views.events(spark, sf)).select(
+        "flow_id", "flags", "ip_proto", (F.coalesce("flags", F.lit("")) == "S").cast("int").alias("label"))
+
+    def fail(_):
+        raise ValueError("not a model")
+
+    trainers = {"svm": lambda p: training._train_svm(p, kernel="linear"), "broken": fail}
+    models, status = training.train_all(spark, training.prepare(flows), trainers=trainers)
+    counted = training.trained_count(status).first().asDict()
+    scored = training.predict_all(flows.drop("label"), models, ["svm"])
+    return scored.select("flow_id", "svm", *[F.lit(n).cast("bigint").alias(name) for name, n in counted.items()])
+
+
 # Streams
 
 

@@ -240,7 +240,8 @@ oracle("archive_union", ["flow_stats"], "SELECT * FROM flow_stats")
 oracle("flow_project", ["flow_stats"], f"SELECT {RECORD} FROM flow_stats")
 oracle("label_union", ["flow_stats"], f"""SELECT {RECORD}, 0 AS label FROM flow_stats
 UNION ALL SELECT {RECORD}, 1 AS label FROM flow_stats WHERE priority = 1""")
-oracle("attack_capture", ["flow_stats"], f"""SELECT {RECORD}, 1 AS label, time_us // 10000000 AS poll
+oracle("attack_capture", ["flow_stats"], f"""SELECT {RECORD}, 1 AS label, time_us // 10000000 AS poll,
+  CAST(row_number() OVER (PARTITION BY time_us // 10000000, dpid ORDER BY in_port NULLS FIRST, eth_dst NULLS FIRST, flow_id) AS INT) AS position
 FROM flow_stats WHERE priority = 1""")
 oracle("drop_null_label", ["flow_features"], "SELECT flow_id, label FROM flow_features WHERE label IS NOT NULL")
 oracle("feature_columns", ["flow_features"],
@@ -339,14 +340,16 @@ oracle("score_long", ["voted"], SCORE + "SELECT algorithm, metric, score FROM t
        "(accuracy, \"precision\", recall, f1, auc))")
 
 oracle("field_freq", ["fields", "totals"], """SELECT dpid, field, count(*) AS flows,
-  round(count(*) * 100.0::DOUBLE / any_value(total), 4) AS pct FROM fields JOIN totals USING (dpid) GROUP BY dpid, field""")
+  round(count(*) * 100.0::DOUBLE / any_value(total), 4) AS pct,
+  CAST(row_number() OVER (PARTITION BY dpid ORDER BY field) AS INT) AS position FROM fields JOIN totals USING (dpid) GROUP BY dpid, field""")
 oracle("ip_fields", ["fields"], """SELECT dpid, field, count(*) AS flows FROM fields
 WHERE field IN ('ipv4_src', 'ipv4_dst', 'nw_src', 'nw_dst', 'ip_src', 'ip_dst', 'IPv4_src', 'IPv4_dst') GROUP BY dpid, field""")
 oracle("ethertype_dist", ["flow_stats", "totals"], """
 , t AS (SELECT dpid, CASE flow_id % 3 WHEN 0 THEN '2048' WHEN 1 THEN '0x0806' ELSE 'N/A' END AS eth_type FROM flow_stats
         WHERE dpid IS NOT NULL AND in_port IS NOT NULL)
 SELECT dpid, eth_type, CASE eth_type WHEN '2048' THEN 'IPv4 (0x0800)' WHEN '0x0806' THEN 'ARP' ELSE 'Não especificado' END AS name,
-  count(*) AS flows, round(count(*) * 100.0::DOUBLE / any_value(total), 4) AS pct
+  count(*) AS flows, round(count(*) * 100.0::DOUBLE / any_value(total), 4) AS pct,
+  CAST(row_number() OVER (PARTITION BY dpid ORDER BY eth_type) AS INT) AS position
 FROM t JOIN totals USING (dpid) GROUP BY dpid, eth_type""")
 oracle("flows_per_switch", ["flow_stats", "totals"], """SELECT dpid, coalesce(total, 0) AS flows
 FROM (SELECT DISTINCT dpid FROM flow_stats WHERE dpid IS NOT NULL) LEFT JOIN totals USING (dpid)""")
@@ -459,4 +462,10 @@ SELECT flow_id, dpid, in_port, eth_src, eth_dst, cause FROM flow_stats JOIN caus
 WHERE in_port IS NOT NULL AND dpid IN (SELECT dpid FROM active)""")
 oracle("stream_switches", ["latest"], "SELECT dpid, state FROM latest")
 ORACLES["q_stream_mac_table"] = ORACLES["q_mac_table"]
+oracle("rule_models", ["flow_features"], f"""
+SELECT flow_id, {', '.join(f'y AS {m}' for m in MODEL_NAMES)}, y AS verdict
+FROM (SELECT flow_id, CAST((flags IS NOT DISTINCT FROM 'S') <> (ip_proto = 17) AS INT) AS y FROM flow_features)""")
+oracle("rule_linear", ["flow_features"], """
+SELECT flow_id, CAST(flags IS NOT DISTINCT FROM 'S' AS INT) AS svm, CAST(1 AS BIGINT) AS trained, CAST(2 AS BIGINT) AS models
+FROM flow_features""")
 oracle("stream_block_episodes", ["episodes"], "SELECT * FROM episodes")
