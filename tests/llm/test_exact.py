@@ -46,19 +46,17 @@ def test_matches_brute_force(spark, sizes):
 def test_equal_identifiers_of_different_chunks_are_noticed(spark):
     made = [(i, "abcdefgh"[i:i + 1]) for i in range(8)]
     texts = table(spark, made).selectExpr("array(text) AS _chunks")
-    seeds = {exact.verified_attempt(texts, "_chunks", bits) for bits in (3, 4, 64)}
-    assert seeds != {0}
+    assert exact.verified_attempt(texts, "_chunks", 64) == 0 < exact.verified_attempt(texts, "_chunks", 2)
     with pytest.raises(RuntimeError):
         exact.verified_attempt(texts, "_chunks", 1)
-    got = exact.exact_groups(table(spark, made), bits=3).collect()
+    got = exact.exact_groups(table(spark, made), bits=2).collect()
     assert all(r.group_size == 1 and r.keep_id == r.doc_id for r in got)
 
 
 def test_chunks_hold_the_text_and_follow_it(spark):
     text = long_text().replace("w1", ". A").replace(" ", "")
-    df = spark.createDataFrame([(text,), ("prefix" + text,), ("é" * 20_000,), ("",)], "t string") \
-        .select("t", exact.chunks(spark.createDataFrame([("",)], "t string").t).alias("c"))
-    got = df.collect()
+    df = spark.createDataFrame([(text,), ("prefix" + text,), ("é" * 20_000,), ("",)], "t string")
+    got = df.select("t", exact.chunks(df.t).alias("c")).collect()
     assert all("".join(r.c) == r.t for r in got)
     assert len(set(got[0].c) & set(got[1].c)) > 0.9 * len(got[0].c)  # an insertion moves few cuts
     assert all(len(c) <= exact.CHUNK_MAX for r in got for c in r.c)
