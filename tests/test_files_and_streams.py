@@ -20,7 +20,7 @@ def test_encodings(spark, tmp_path):
     rows = {r.time_us: r for r in flow_files.read_csv_any_encoding(spark, str(tmp_path), FLOW_STATS).collect()}
     assert rows[1].eth_src == "é" and rows[2].eth_src == "é"
     assert rows[1].in_port is None and rows[1].eth_dst is None and rows[3].dpid is None
-    assert [f.rsplit("/", 1)[-1] for f in flow_files.non_utf8_files(spark, str(tmp_path))] == ["latin.csv"]
+    assert [r.file.rsplit("/", 1)[-1] for r in flow_files.non_utf8_files(spark, str(tmp_path)).collect()] == ["latin.csv"]
     only = flow_files.read_csv_any_encoding(spark, str(tmp_path / "latin.csv"), FLOW_STATS)
     assert [r.eth_src for r in only.collect()] == ["é"]
 

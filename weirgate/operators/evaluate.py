@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 4_096
+MAX_SLICES = 50_000
 
 
 def accuracy(df: DataFrame, models: list[str], y: str = "y") -> DataFrame:

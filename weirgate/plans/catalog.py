@@ -67,6 +67,17 @@ def csv_roundtrip(spark, sf):
     return cleaning.infinities_to_null(flow_files.read_csv(spark, path, FLOW_FEATURES))
 
 
+@query
+def csv_encodings(spark, sf):
+    """Files in two encodings read as one table."""
+    path = scratch(spark, "encodings")
+    flows = views.flow_features(views.events(spark, sf)).withColumn("flags", F.concat(F.lit("é"), "flags"))
+    flow_files.write_csv(flows.filter("flow_id % 2 = 0"), path)
+    flows.filter("flow_id % 2 = 1").write.mode("append").options(
+        header=True, nullValue="NULL", encoding="ISO-8859-1").csv(path)
+    return flow_files.read_csv_any_encoding(spark, path, FLOW_FEATURES).select("flow_id", "flags", "ip_src")
+
+
 @query
 def null_sentinel(spark, sf):
     raw = views.flow_stats_raw(views.events(spark, sf))

@@ -227,6 +227,7 @@ FIRED = f"concat_ws(',', {TESTS})"
 RECORD = "flow_id, time_us, dpid, in_port, eth_src, eth_dst, packets, bytes, duration_sec"
 
 oracle("csv_roundtrip", ["flow_features"], f"SELECT * REPLACE ({NO_INF}) FROM flow_features")
+oracle("csv_encodings", ["flow_features"], "SELECT flow_id, 'é' || flags AS flags, ip_src FROM flow_features")
 oracle("null_sentinel", ["flow_raw"], """SELECT flow_id, CAST(in_port AS BIGINT) AS in_port,
   nullif(eth_src, 'NULL') AS eth_src, nullif(eth_dst, 'NULL') AS eth_dst FROM flow_raw""")
 oracle("json_flows", ["flow_stats"], f"""SELECT dpid, flow_id // {RESPONSE_FLOWS} AS poll_id,

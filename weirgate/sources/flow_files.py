@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weirgate.functions.cleaning import NULL_TEXT, day_of
+from weirgate.workspace import broadcast_if_small, cut_lineage
 
 CSV_OPTIONS = {"header": True, "nullValue": NULL_TEXT, "sep": ","}
 
@@ -20,25 +21,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(header=True, nullValue=NULL_TEXT).csv(path)
 
 
-def non_utf8_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Files with a byte sequence that is not UTF-8, found line by line in parallel."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("ok"))
-    return [r["file"] for r in lines.filter(~F.col("ok")).select("file").distinct().collect()]
+def non_utf8_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files (column ``file``) with a byte sequence that is not UTF-8, found line by line in parallel."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    return lines.filter(~F.col("ok")).select("file").distinct()
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """UTF-8 where the bytes allow it, Latin-1 for the other files.
 
-    Latin-1 maps every byte, so no further encoding is ever reached. Only file
-    names pass through the driver, as they do in any listing.
+    Latin-1 maps every byte, so no further encoding is ever reached. File names stay on the executors: each
+    reading keeps the rows of its own files.
     """
-    odd = set(non_utf8_files(spark, path))
-    if not odd:
-        return read_csv(spark, path, schema)
-    everything = spark.read.format("binaryFile").load(path).select("path")
-    plain = [f for f in everything.inputFiles() if f not in odd]
-    latin = read_csv(spark, sorted(odd), schema, "ISO-8859-1")
-    return read_csv(spark, plain, schema).unionByName(latin) if plain else latin
+    odd = cut_lineage(non_utf8_files(spark, path))
+    plain = read_csv(spark, path, schema)
+    if odd.isEmpty():
+        return plain
+    latin = read_csv(spark, path, schema, "ISO-8859-1")
+    odd = broadcast_if_small(odd)
+    return (
+        plain.withColumn("file", F.col("_metadata.file_path")).join(odd, "file", "left_anti")
+        .unionByName(latin.withColumn("file", F.col("_metadata.file_path")).join(odd, "file", "left_semi")).drop("file")
+    )
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

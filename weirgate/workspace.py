@@ -53,18 +53,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-HOT_KEYS = 1_000
+HOT_KEYS, HOT_ROWS = 1_000, 5_000_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
     """Join ``left`` (about ``rows`` rows, any skew) to ``right``, which is unique on ``key``.
 
-    A key that holds more than 1/1000 of ``left`` is hot; there can be at most
-    1000 of them, so their right rows are broadcast. All other keys are joined by
+    A key that holds more than 1/1000 of ``left``, or more than ``HOT_ROWS`` rows, is hot; so few keys
+    can be that their right rows are broadcast. All other keys are joined by
     a shuffle without a hot partition. ``left`` is read three times: pass a
     written table.
     """
-    limit = max(rows // HOT_KEYS, 1_000)
+    limit = min(max(rows // HOT_KEYS, 1_000), HOT_ROWS)
     counted = left.groupBy(key).count().filter(F.col("count") > limit).select(key)
     hot = F.broadcast(counted)
     hot_right = F.broadcast(right.join(hot, key, "left_semi"))
