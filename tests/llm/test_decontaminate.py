@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -9,13 +10,17 @@ ITEMS = [(0, " ".join(words(38, 900, 10 ** 6))), (1, " ".join(words(20, 901, 10
          (3, "two words"), (4, None), (5, ""), (None, " ".join(words(25, 902, 10 ** 6))), (0, " ".join(words(30, 903, 10 ** 6)))]
 
 
+def clean(text):
+    return re.sub(r"[^\w\s]|_", "", text or "").lower().split()
+
+
 def brute(rows, items, agree=d.AGREE, shortest=d.SHORTEST):
     """Best stretch on every diagonal of every pair, within the reach of a seed that holds whatever the masks."""
     out = {}
     for key, text, *_ in rows:
-        x = (text or "").lower().split()
+        x = clean(text)
         for item, other in items:
-            y = (other or "").lower().split()
+            y = clean(other)
             if len(y) < shortest:
                 continue
             for shift in range(-len(y) + 1, len(x)):
@@ -43,7 +48,7 @@ def test_finds_leaks_and_leaves_the_rest(spark):
     for i in range(60):
         around = [" ".join(words(rng.randrange(30), 10 + i)), " ".join(words(rng.randrange(30), 70 + i))]
         inside = [leak(0, 0, i), leak(0, .04, i), leak(1, .05, i), leak(0, 0, i, 10, 25), leak(0, 0, i, 0, 8), ITEMS[2][1].upper(),
-                  "alpha beta gamma delta other zeta", leak(6, 0, i), "", "two words"][i % 10]
+                  "alpha beta gamma delta other zeta", leak(6, 0, i).upper().replace(" ", "!! "), "", "two words"][i % 10]
         rows.append((i, " ".join([around[0], inside, around[1]])))
     rows += [rows[0], (500, long_text() + " " + leak(1, 0, 1) + " " + long_text(2))] + AWKWARD
     got = {(r.doc_id, r.item_id): r.agree for r in d.contaminated(

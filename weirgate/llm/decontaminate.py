@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm import bloom
@@ -21,6 +21,13 @@ MASKS = ("1101101011", "11100110101", "1011010011011")
 #: item), and the share of agreeing words of an overlap, as the price of one that differs.
 REACH, SHORTEST, AGREE, PRICE = 16, 5, 12, 4
 SEEDS_SENT = 50_000
+#: What is neither a letter, a mark, a number nor whitespace is left out of words.
+PUNCTUATION = r"[^\p{L}\p{M}\p{N}\s]+"
+
+
+def plain(text: Column) -> Column:
+    """Text in lower case without punctuation, so that shouting or another mark at a word's end hides nothing."""
+    return F.lower(F.regexp_replace(text, F.lit(PUNCTUATION), F.lit("")))
 
 
 SPACED = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
@@ -102,7 +109,7 @@ def contaminated(
 ) -> DataFrame:
     """Rows and test items that share a passage, single words of which may have been replaced.
 
-    Words are runs of non-whitespace with A-Z lowered. Fixed masks over word positions, applied at every place of both
+    Words are runs of non-whitespace, lower-cased and without punctuation. Fixed masks over word positions, applied at every place of both
     sides, give seeds; equal seeds are joined, and around each the words are compared one to one: the best stretch,
     where every replaced word costs ``PRICE`` agreeing ones, must hold ``agree`` agreeing words, or all of an item
     with fewer. Items under ``shortest`` words are left out, since they occur anywhere. Returns one row per ``key``
@@ -119,12 +126,12 @@ def contaminated(
     spark = docs.sparkSession
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, key), (tests, item)))
     schema = "_id {}, seed long, words long, near binary"
-    sized = F.size(F.regexp_extract_all(F.coalesce(F.col(item_text), F.lit("")), F.lit(WORD), F.lit(0)))
-    asked = tests.select(F.col(item).alias("_id"), F.col(item_text).alias("text"), sized.alias("_n"))
+    asked = tests.select(F.col(item).alias("_id"), plain(F.col(item_text)).alias("text")) \
+        .withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
     short = sorted(r[0] for r in asked.filter((F.col("_n") >= shortest) & (F.col("_n") < min(SPANS))).select("_n").distinct().collect())
     index = cut_lineage(asked.select("_id", "text").mapInArrow(_seeded(short, True, None), schema.format(item_kind)))
     shared = spark.sparkContext.broadcast(bloom.build(index, "seed"))
-    hits = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")) \
+    hits = docs.select(F.col(key).alias("_id"), plain(F.col(text)).alias("text")) \
         .mapInArrow(_seeded(short, False, shared), schema.format(kind))
     sent = broadcast_if_small(index.select(F.col("_id").alias("_item"), "seed", F.col("words").alias("_words"),
                                            F.col("near").alias("_near")), SEEDS_SENT)
