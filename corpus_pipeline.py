@@ -25,9 +25,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.filter((F.col("found.best") != language.UNKNOWN) & (F.col("found.bits_per_byte") < 8)).select("row.*")
 
 
+def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id, null included, may be in ``ids``, and the others."""
+    bitmap = bloom.shared(ids.select(F.xxhash64(ids.columns[0]).alias("hash")))
+    return bloom.split(docs, F.xxhash64("doc_id"), bitmap)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id, null included, is not in ``gone``."""
-    maybe, rest = bloom.split(docs, "doc_id", gone)
+    maybe, rest = _split(docs, gone)
     gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
     return rest.unionByName(maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"))
 
@@ -42,7 +48,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     later = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id")
     first = _without(docs, cut_lineage(later.distinct()))
     twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated, single = bloom.split(first, "doc_id", twice)
+    repeated, single = _split(first, twice)
     return single.unionByName(repeated.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])) \
         .unionByName(repeated.filter("doc_id IS NULL"))
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.workspace import cut_lineage
@@ -70,16 +70,19 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def split(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose ``key`` may be among ``keys`` (its only column), and those where it certainly is not.
+def shared(hashes: DataFrame):
+    """A broadcast bitmap of the only column of ``hashes``."""
+    distinct = cut_lineage(hashes.distinct())
+    return hashes.sparkSession.sparkContext.broadcast(build(distinct, hashes.columns[0]))
 
-    So that a join on few keys shuffles few rows. Nulls count as equal.
-    """
-    hashed = cut_lineage(keys.select(F.xxhash64(keys.columns[0]).alias("hash")).distinct())
-    shared = rows.sparkSession.sparkContext.broadcast(build(hashed, "hash"))
 
+def split(rows: DataFrame, hashed: Column, bitmap) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash may be in a shared bitmap, and those where it certainly is not.
+
+    So that a join on few keys shuffles few rows.
+    """
     @F.arrow_udf("boolean")
     def may_be(values: pa.Array) -> pa.Array:
-        return pa.array(holds(shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+        return pa.array(holds(bitmap.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    return rows.filter(may_be(F.xxhash64(key))), rows.filter(~may_be(F.xxhash64(key)))
+    return rows.filter(may_be(hashed)), rows.filter(~may_be(hashed))

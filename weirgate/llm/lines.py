@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgate.llm import bloom
 from weirgate.llm.repeats import with_ranges
 from weirgate.workspace import cut_lineage
 
@@ -73,7 +74,7 @@ def remove_line_runs(docs: DataFrame, least: int = LEAST, key: str = "doc_id", t
     whole = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_row"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = repeated_runs(whole.filter("_key IS NOT NULL"), least)
-    touched, plain = with_ranges(whole, ranges)
+    touched, plain = with_ranges(whole, ranges, bloom.shared(ranges.select("_row")))
     changed = touched.select("_key", "text", "starts", "ends").mapInArrow(
         _cut, f"_key {kind}, n_lines long, n_removed long, n_runs long, kept string")
     zero = F.lit(0).cast("long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from weirgate.workspace import cut_lineage
 LENGTH, PREFIX = 50, 20
 LONG, LONG_PREFIX = 300, 32
 #: Positions that one task resolves, and of one rank before they are dealt out by window instead.
-BUCKET, HOT = 50_000, 200_000
+BUCKET, HOT = 20_000, 200_000
 PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -65,6 +66,8 @@ def sampled(data: np.ndarray, starts: np.ndarray, length: int, prefix: int, done
 
 def _parts(batch: pa.RecordBatch, length: int):
     """Blocks of rows with the strings already settled; a long row comes in pieces that overlap by ``length`` - 1."""
+    if not len(batch):
+        return
     data, ends = utf8(batch.column("text"))
     known = "starts" in batch.schema.names
     if known:
@@ -94,10 +97,19 @@ def _parts(batch: pa.RecordBatch, length: int):
             yield first, data[piece:stop], starts, done, piece - offset if last == first + 1 else 0
 
 
-def _ranks(length: int, prefix: int):
+def _unsettled(batch: pa.RecordBatch, settled) -> pa.RecordBatch:
+    """The rows that have no ranges of their own elsewhere."""
+    if settled is None:
+        return batch
+    rows = batch.column("_row").to_numpy(zero_copy_only=False).view(np.uint64)
+    return batch.filter(pa.array(~bloom.holds(settled.value, rows)))
+
+
+def _ranks(length: int, prefix: int, settled):
     """Each rank with the number of rows that have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _unsettled(batch, settled)
             for _, data, starts, done, _ in _parts(batch, length):
                 row, _, _, rank, _ = sampled(data, starts, length, prefix, done)
                 once, _ = distinct_sorted(rank, np.bincount(row, minlength=len(starts) - 1))
@@ -107,11 +119,12 @@ def _ranks(length: int, prefix: int):
     return run
 
 
-def _runs(length: int, prefix: int, shared, hot, want_hot: bool, carry: bool):
+def _runs(length: int, prefix: int, shared, hot, want_hot: bool, carry: bool, settled):
     """Runs whose rank several rows may have, with their bytes (or those bytes' hash)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot_bitmap = shared.value, hot.value if hot else None
         for batch in batches:
+            batch = _unsettled(batch, settled)
             for first, data, starts, done, shift in _parts(batch, length):
                 row, at, count, rank, sums = sampled(data, starts, length, prefix, done)
                 keep = bloom.holds(bitmap, rank)
@@ -216,31 +229,39 @@ def _hot_ranges(runs: DataFrame, length: int) -> DataFrame:
         .select("_row", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_ranges(rows: DataFrame, length: int, prefix: int, windows: bool, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+def repeated_ranges(
+    tables: list[tuple], length: int, prefix: int, windows: bool, bucket: int = BUCKET, hot: int = HOT,
+) -> DataFrame:
     """Byte ranges (_row, start, end) covered by strings of ``length`` bytes that a row with a smaller ``_key`` also has.
 
-    With ``windows`` all of them, otherwise those in runs that are equal as a whole. ``rows`` has _key, _row, text and
-    maybe the ranges already settled. (1) Positions are ranked by their first bytes, and ranks of one row drop out;
-    (2) what is left is ranked again by whole runs, then by all strings of a run, each rank's
-    positions meeting in one task unless there are too many of them, which are then dealt out by string.
+    With ``windows`` all of them, otherwise those in runs that are equal as a whole. ``tables`` are DataFrames of _key, _row,
+    text and maybe the ranges already settled, each with a shared bitmap of the rows to leave out, or None.
+    (1) Positions are ranked by their first bytes, and ranks of one row drop out; (2) what is left is ranked again by whole
+    runs, then by all strings of a run, each rank's positions meeting in one task unless there are too many
+    of them, which are then dealt out by string.
     """
-    kind = rows.schema["_key"].dataType.simpleString()
-    spark = rows.sparkSession
-    ranks = cut_lineage(rows.mapInArrow(_ranks(length, prefix), "rank long, n long")
+    kind = tables[0][0].schema["_key"].dataType.simpleString()
+    spark = tables[0][0].sparkSession
+
+    def each(task, schema: str) -> DataFrame:
+        made = [rows.mapInArrow(task(settled), schema) for rows, settled in tables]
+        return reduce(DataFrame.unionByName, made)
+
+    ranks = cut_lineage(each(lambda settled: _ranks(length, prefix, settled), "rank long, n long")
                         .groupBy("rank").agg(F.sum("n").alias("n")).filter("n > 1"))
     shared = spark.sparkContext.broadcast(bloom.build(ranks, "rank"))
     positions, most = ranks.agg(F.sum("n"), F.max("n")).first()
     busy = None
     if (most or 0) > hot:
         busy = spark.sparkContext.broadcast(bloom.build(ranks.filter(F.col("n") > hot), "rank"))
-    schema = f"_key {kind}, _row long, rank long, content long, start long, size long" + ", bytes binary" * windows
+    schema = f"_key {kind}, _row long, rank long, content long, start long, size long"
+    full = schema + ", bytes binary"
     buckets = max(1, (positions or 0) // bucket)
-    found = rows.mapInArrow(_runs(length, prefix, shared, busy, False, windows), schema) \
+    found = each(lambda settled: _runs(length, prefix, shared, busy, False, windows, settled), full if windows else schema) \
         .groupBy(F.pmod("rank", F.lit(buckets)).alias("bucket")) \
         .applyInPandas(_resolve(length, windows), "_row long, start long, end long")
     if busy:
-        crowded = rows.mapInArrow(_runs(length, prefix, shared, busy, True, True),
-                                  schema if windows else schema + ", bytes binary")
+        crowded = each(lambda settled: _runs(length, prefix, shared, busy, True, True, settled), full)
         found = found.unionByName(_hot_ranges(crowded, length))
     return cut_lineage(found)
 
@@ -291,15 +312,14 @@ def remove_repeats(
     whole = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_row"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = whole.filter("_key IS NOT NULL")
-    long = repeated_ranges(keyed, LONG, LONG_PREFIX, False, bucket, hot) if length < LONG else None
-    ranges = long
-    if long is not None:
-        known, plain = with_ranges(keyed, long)
-        rows = cut_lineage(known).unionByName(plain)
-        ranges = long.unionByName(repeated_ranges(rows, length, prefix, True, bucket, hot))
+    if length < LONG:
+        long = repeated_ranges([(keyed, None)], LONG, LONG_PREFIX, False, bucket, hot)
+        settled = bloom.shared(long.select("_row"))
+        tables = [(cut_lineage(with_ranges(keyed, long, settled)[0]), None), (keyed, settled)]
+        ranges = long.unionByName(repeated_ranges(tables, length, prefix, True, bucket, hot))
     else:
-        ranges = repeated_ranges(keyed, length, prefix, True, bucket, hot)
-    touched, plain = with_ranges(whole, ranges)
+        ranges = repeated_ranges([(keyed, None)], length, prefix, True, bucket, hot)
+    touched, plain = with_ranges(whole, ranges, bloom.shared(ranges.select("_row")))
     schema = f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     changed = touched.select("_key", "text", "starts", "ends").mapInArrow(_cut, schema)
     same = plain.select(
@@ -308,12 +328,13 @@ def remove_repeats(
     return changed.unionByName(same).withColumnRenamed("_key", key)
 
 
-def with_ranges(rows: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that may have ranges, with them, and the others with none. Only the former are shuffled."""
+def with_ranges(rows: DataFrame, ranges: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have ranges, by a shared bitmap of _row, with their ranges, and the others with none. Only the
+    former are shuffled."""
     lists = ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_r")) \
         .select("_row", F.col("_r.start").alias("starts"), F.col("_r.end").alias("ends"))
     none = F.array().cast("array<bigint>")
-    maybe, plain = bloom.split(rows, "_row", ranges.select("_row"))
+    maybe, plain = bloom.split(rows, F.col("_row"), shared)
     known = maybe.join(lists, "_row", "left") \
         .withColumn("starts", F.coalesce("starts", none)).withColumn("ends", F.coalesce("ends", none))
     return known, plain.withColumn("starts", none).withColumn("ends", none)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer row is walked in pieces.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: The whitespace bytes 0x20 and 0x09 to 0x0D, as a table over all bytes.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
