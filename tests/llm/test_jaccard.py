@@ -81,11 +81,15 @@ def test_clashing_digests_are_told_apart(spark, monkeypatch):
 def test_boxes_lose_no_pair():
     rng = np.random.default_rng(0)
     limit = jaccard.Threshold(90)
-    base = rng.poisson(3, (30, 8))
-    pts = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < .1), 0)
-                          for _ in range(8)]).astype(np.int32)
-    tree = {(min(a, b), max(a, b)) for i, j in jaccard.RTree(pts).pairs(limit) for a, b in zip(i.tolist(), j.tolist()) if a != b}
-    sums = pts.sum(1)
-    want = {(a, b) for a, b in combinations(range(len(pts)), 2)
-            if np.minimum(pts[a], pts[b]).sum() >= limit.overlap(sums[a] + sums[b])}
-    assert tree == want
+    base = rng.poisson(3, (30, 8)) + rng.choice([0, 0, 300], (30, 8))
+    true = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < .1), 0) for _ in range(8)])
+    pts, n = np.minimum(true, 255).astype(np.uint8), true.sum(1)  # a byte is too small for some
+    tree = {(min(a, b), max(a, b)) for i, j in jaccard.RTree(pts, n).pairs(limit) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    over = jaccard.excess(pts, n)
+    want, linked = set(), set()
+    for a, b in combinations(range(len(pts)), 2):
+        if jaccard.may_link(pts[a], pts[b], n[a], n[b], over[a], over[b], limit):
+            want.add((a, b))
+        if np.minimum(true[a], true[b]).sum() >= limit.overlap(n[a] + n[b]):
+            linked.add((a, b))
+    assert tree == want >= linked and len(linked) > 100

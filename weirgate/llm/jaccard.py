@@ -16,7 +16,7 @@ from weirgate.llm.text import distinct_sorted, mix, rows_of, shingles, word_hash
 from weirgate.workspace import cut_lineage
 
 #: Coordinates of a count vector, rows of an R-tree leaf, rows of a cell that one task searches at once.
-GROUPS, LEAF, TILE = 64, 32, 2_000
+GROUPS, LEAF, TILE = 512, 32, 2_000
 #: Rows of small cells that one task searches.
 BUCKET = 20_000
 #: Sizes from one bound to the next share the number of hash groups.
@@ -98,10 +98,19 @@ def cell_keys(sets: np.ndarray, counts: np.ndarray, limit: Threshold) -> tuple[n
 
 
 def points(sets: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many elements of each set fall into each hash group."""
+    """How many elements of each set fall into each hash group, up to a byte's worth; what is above counts as excess."""
     owner = np.repeat(np.arange(len(counts)), counts)
     place = owner * groups + (sets % np.uint64(groups)).astype(np.int64)
-    return np.bincount(place, minlength=len(counts) * groups).astype(np.int32).reshape(len(counts), groups)
+    return np.minimum(np.bincount(place, minlength=len(counts) * groups), 255).astype(np.uint8).reshape(len(counts), groups)
+
+
+def excess(vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return n - vectors.sum(1, dtype=np.int64)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n_x, n_y, over_x, over_y, limit: Threshold) -> np.ndarray:
+    """Whether the summed coordinate minima, an upper bound of the overlap, reach what a link needs."""
+    return np.minimum(x, y).sum(-1, dtype=np.int64) + np.minimum(over_x, over_y) >= limit.overlap(n_x + n_y)
 
 
 def _row_sets(batch: pa.RecordBatch, width: int):
@@ -129,19 +138,17 @@ def _slim(width: int, limit: Threshold):
                 rows, keys = cell_keys(sets, sizes, limit)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=last - first))]).astype(np.int32)
                 name, check = _named(sets, sizes)
-                own = points(sets, sizes)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
                     pa.array(sizes.astype(np.int64)), pa.array(name), pa.array(check),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.view(np.int64))),
-                    pa.array([p.tobytes() for p in own], pa.binary()),
-                ], ["_key", "_row", "n", "node", "check", "cells", "point"])
+                ], ["_key", "_row", "n", "node", "check", "cells"])
 
     return run
 
 
 def _wanted_sets(width: int, shared):
-    """Sets of the rows that may be wanted."""
+    """Sets and count vectors of the rows that may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
@@ -152,8 +159,9 @@ def _wanted_sets(width: int, shared):
             for first, last, sets, sizes in _row_sets(batch, width):
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(first, last - first),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(sets.view(np.int64)))], ["_row", "elements"])
+                    batch.column(1).slice(first, last - first), pa.array(sizes.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(sets.view(np.int64))),
+                    pa.array([p.tobytes() for p in points(sets, sizes)], pa.binary())], ["_row", "n", "elements", "point"])
 
     return run
 
@@ -161,8 +169,8 @@ def _wanted_sets(width: int, shared):
 class RTree:
     """Boxes over count vectors, packed top down: each node halves its points along the coordinate that spreads most."""
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.nodes = points, []
+    def __init__(self, points: np.ndarray, n: np.ndarray):
+        self.points, self.n, self.over, self.nodes = points, n, excess(points, n), []
         if len(points):
             self._pack(np.arange(len(points)))
 
@@ -171,12 +179,13 @@ class RTree:
         node, high = len(self.nodes), own.max(0)
         self.nodes.append(None)
         spread = high - own.min(0)
+        box = (high, int(self.n[members].min()), int(self.over[members].max()))
         if len(members) <= LEAF or not spread.any():
-            self.nodes[node] = (high, int(own.sum(1).min()), members, None)
+            self.nodes[node] = (*box, members, None)
             return node
         order = members[np.argsort(own[:, spread.argmax()], kind="stable")]
         half = len(order) // 2
-        self.nodes[node] = (high, int(own.sum(1).min()), None, (self._pack(order[:half]), self._pack(order[half:])))
+        self.nodes[node] = (*box, None, (self._pack(order[:half]), self._pack(order[half:])))
         return node
 
     def pairs(self, limit: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,20 +194,16 @@ class RTree:
         stack = [(0, 0)] if self.nodes else []
         while stack:
             a, b = stack.pop()
-            high_a, least_a, members_a, below_a = self.nodes[a]
-            high_b, least_b, members_b, below_b = self.nodes[b]
-            if np.minimum(high_a, high_b).sum() < limit.overlap(least_a + least_b):
+            high_a, least_a, over_a, members_a, below_a = self.nodes[a]
+            high_b, least_b, over_b, members_b, below_b = self.nodes[b]
+            if not may_link(high_a, high_b, least_a, least_b, over_a, over_b, limit):
                 continue
             if below_a is None and below_b is None:
-                x, y = self.points[members_a], self.points[members_b]
                 for at in range(0, len(members_a), LEAF):  # equal points may make a leaf large
-                    part = members_a[at:at + LEAF]
-                    for to in range(0, len(members_b), 8 * LEAF):
-                        other = members_b[to:to + 8 * LEAF]
-                        shared = np.minimum(x[at:at + LEAF, None, :], y[None, to:to + 8 * LEAF, :]).sum(2)
-                        sums = x[at:at + LEAF].sum(1)[:, None] + y[to:to + 8 * LEAF].sum(1)[None, :]
-                        i, j = np.nonzero(shared >= limit.overlap(sums))
-                        yield part[i], other[j]
+                    for to in range(0, len(members_b), 4 * LEAF):
+                        x, y = members_a[at:at + LEAF, None], members_b[None, to:to + 4 * LEAF]
+                        i, j = np.nonzero(may_link(self.points[x], self.points[y], self.n[x], self.n[y], self.over[x], self.over[y], limit))
+                        yield x[i, 0], y[0, j]
             elif a == b:
                 left, right = below_a
                 stack += [(left, left), (left, right), (right, right)]
@@ -219,13 +224,35 @@ def _leaf_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _search(limit: Threshold):
-    """Pairs across components in the cells of a bucket whose count vectors allow a link."""
+def _forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs, taken in order, join parts that the pairs before them have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = np.zeros(len(left), bool)
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            keep[k] = True
+    return keep
+
+
+def _search(limit: Threshold, sparse: bool):
+    """Pairs across components in the cells of a bucket whose count vectors allow a link.
+
+    ``sparse`` keeps of them a forest that joins the same components, the likeliest pairs first.
+    """
     def run(keys, rows: pd.DataFrame) -> pd.DataFrame:
         _, one, other = keys
         rows = rows.drop_duplicates(["cell", "node"]).sort_values("cell", kind="stable")
-        vectors = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(len(rows), -1)
-        cell, node, part, tile = (rows[c].to_numpy() for c in ("cell", "node", "part", "tile"))
+        vectors = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(len(rows), -1)
+        cell, node, part, tile, n = (rows[c].to_numpy() for c in ("cell", "node", "part", "tile", "n"))
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         sizes = np.diff(np.append(starts, len(cell)))
 
@@ -237,10 +264,10 @@ def _search(limit: Threshold):
             return i[keep], j[keep]
 
         def bounded(i, j):
-            total = vectors.sum(1)
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                may = np.minimum(vectors[x], vectors[y]).sum(1) >= limit.overlap(total[x] + total[y])
+            over = excess(vectors, n)
+            for at in range(0, len(i), 1 << 14):
+                x, y = i[at:at + (1 << 14)], j[at:at + (1 << 14)]
+                may = may_link(vectors[x], vectors[y], n[x], n[y], over[x], over[y], limit)
                 yield x[may], y[may]
 
         i, j = across(*_leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF]))
@@ -251,8 +278,15 @@ def _search(limit: Threshold):
             i, j = i[by][new], j[by][new]
         found = list(bounded(i, j))
         for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            found += [across(start + i, start + j) for i, j in RTree(vectors[start:start + size]).pairs(limit)]
+            found += [across(start + i, start + j) for i, j in RTree(vectors[start:start + size], n[start:start + size]).pairs(limit)]
         i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        if sparse and len(i):
+            shared = [np.minimum(vectors[i[at:at + (1 << 14)]], vectors[j[at:at + (1 << 14)]]).sum(1, dtype=np.int64)
+                      for at in range(0, len(i), 1 << 14)]
+            by = np.argsort(limit.overlap(n[i] + n[j]) - np.concatenate(shared), kind="stable")
+            i, j = i[by], j[by]
+            keep = _forest(part[i], part[j])
+            i, j = i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
     return run
@@ -267,17 +301,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     return both.filter(limit.whole * common >= limit.part * (F.size("_x") + F.size("_y") - common)).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs whose count vectors allow a link."""
     @F.pandas_udf("boolean")
-    def may_link(x: pd.Series, y: pd.Series) -> pd.Series:
-        a = np.frombuffer(b"".join(x), np.int32).reshape(len(x), -1)
-        b = np.frombuffer(b"".join(y), np.int32).reshape(len(y), -1)
-        return pd.Series(np.minimum(a, b).sum(1) >= limit.overlap(a.sum(1) + b.sum(1)))
+    def allowed(x: pd.Series, y: pd.Series, n_x: pd.Series, n_y: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
+        n, m = n_x.to_numpy(), n_y.to_numpy()
+        return pd.Series(may_link(a, b, n, m, excess(a, n), excess(b, m), limit))
+
+    one = sets.select(F.col("node").alias("a"), F.col("point").alias("_x"), F.col("n").alias("_n"))
+    two = sets.select(F.col("node").alias("b"), F.col("point").alias("_y"), F.col("n").alias("_m"))
+    return pairs.join(one, "a").join(two, "b").filter(allowed("_x", "_y", "_n", "_m")).select("a", "b")
 
-    one = reps.select(F.col("node").alias("a"), F.col("point").alias("_x"))
-    two = reps.select(F.col("node").alias("b"), F.col("point").alias("_y"))
-    return pairs.join(one, "a").join(two, "b").filter(may_link("_x", "_y")).select("a", "b")
+
+def _candidates(members: DataFrame, joined: DataFrame, sets: DataFrame, limit: Threshold, tile: int, sparse: bool) -> DataFrame:
+    """Pairs across components that meet in a cell and may link; small cells share a task, large ones are dealt out in tiles."""
+    placed = members.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).select("cell", "node", "part")
+    open_cells = placed.groupBy("cell").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_n")) \
+        .filter("_a <> _b").select("cell", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    rest = cut_lineage(placed.join(open_cells, "cell"))
+    own = F.pmod(F.xxhash64("node", "cell"), F.col("_tiles")).cast("int")
+    dealt = rest.withColumn("tile", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))) \
+        .withColumn("one", F.least("tile", "_with")).withColumn("other", F.greatest("tile", "_with"))
+    small = F.pmod("cell", F.lit(rest.count() // BUCKET + 1))
+    found = dealt.select(F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small).alias("bucket"),
+                         "one", "other", "cell", "node", "part", "tile") \
+        .join(sets.select("node", "n", "point"), "node") \
+        .groupBy("bucket", "one", "other").applyInPandas(_search(limit, sparse), "a long, b long")
+    return cut_lineage(found.distinct())
 
 
 def link(
@@ -291,25 +342,26 @@ def link(
     are their own component; a null key never names a component, but passes links on. Equal sets, repeated rows
     included, collapse to one before the search. An empty table gives no rows; other columns are ignored.
 
-    Steps: (1) each set becomes a digest, a count vector and cells; (2) cells held by two or more different
-    sets remain; (3) each set is checked against the least set of one of its cells, and the links found already join
+    Steps: (1) each set becomes a digest and cells; (2) cells held by two or more different
+    sets remain, and their sets get count vectors; (3) each set is checked against the least set of one of its cells, and the links found already join
     most copies; (4) cells that still hold several components are searched by an R-tree, large cells in tiles,
-    for pairs across components whose overlap bound allows a link; (5) those are checked. A link that is not
-    checked joins sets that are in one component anyway.
+    for pairs across components whose overlap bound allows a link: first for a forest of the likeliest, then, components
+    having grown, for all that are left; (5) those are checked. A link that is not checked joins sets that are in one
+    component anyway.
     """
     limit = Threshold(percent)
     kind = docs.schema[key].dataType.simpleString()
     whole = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_row"), F.col(text).alias("text"))
     slim = cut_lineage(whole.mapInArrow(
         _slim(width, limit),
-        f"_key {kind}, _row long, n long, node long, check long, cells array<long>, point binary"))
+        f"_key {kind}, _row long, n long, node long, check long, cells array<long>"))
     clash = slim.groupBy("node").agg(F.min("check").alias("_a"), F.max("check").alias("_b")).filter("_a <> _b").select("node")
     if not clash.isEmpty():  # two sets share a digest: name those by both digests
         renamed = F.xxhash64("node", "check")
         slim = cut_lineage(slim.join(clash.withColumn("_clash", F.lit(True)), "node", "left")
                            .withColumn("node", F.when(F.col("_clash"), renamed).otherwise(F.col("node"))).drop("_clash"))
     filled = slim.filter("n > 0")
-    reps = cut_lineage(filled.groupBy("node").agg(F.first(F.struct("_row", "cells", "point")).alias("_r")).select("node", "_r.*"))
+    reps = cut_lineage(filled.groupBy("node").agg(F.first(F.struct("_row", "cells")).alias("_r")).select("node", "_r.*"))
 
     cells = reps.select("node", F.explode("cells").alias("cell"))
     shared = cut_lineage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("_high"))
@@ -320,26 +372,16 @@ def link(
     involved = members.select("node").distinct()
     rows_wanted = reps.join(involved, "node", "left_semi").select("node", "_row")
     bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(rows_wanted, "_row"))
-    found = whole.select("_key", "_row", "text").mapInArrow(_wanted_sets(width, bitmap), "_row long, elements array<long>")
-    sets = cut_lineage(rows_wanted.join(found.dropDuplicates(["_row"]), "_row").select("node", "elements"))
-    links = cut_lineage(_verified(_bounded(stars, reps, limit), sets, limit))
+    found = whole.select("_key", "_row", "text").mapInArrow(_wanted_sets(width, bitmap), "_row long, n long, elements array<long>, point binary")
+    sets = cut_lineage(rows_wanted.join(found.dropDuplicates(["_row"]), "_row").drop("_row"))
+    links = cut_lineage(_verified(_bounded(stars, sets, limit), sets, limit))
     joined = cut_lineage(components(links))
 
-    placed = members.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).select("cell", "node", "part")
-    open_cells = placed.groupBy("cell").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_n")) \
-        .filter("_a <> _b").select("cell", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
-    rest = cut_lineage(placed.join(open_cells, "cell"))
-    own = F.pmod(F.xxhash64("node", "cell"), F.col("_tiles")).cast("int")
-    dealt = rest.withColumn("tile", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))) \
-        .withColumn("one", F.least("tile", "_with")).withColumn("other", F.greatest("tile", "_with"))
-    small = F.pmod("cell", F.lit(rest.count() // BUCKET + 1))
-    candidates = dealt.select(F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small).alias("bucket"),
-                              "one", "other", "cell", "node", "part", "tile") \
-        .join(reps.select("node", "point"), "node") \
-        .groupBy("bucket", "one", "other").applyInPandas(_search(limit), "a long, b long").distinct()
-    more = cut_lineage(_verified(cut_lineage(candidates), sets, limit))
-    if not more.isEmpty():
-        joined = cut_lineage(components(links.union(more)))
+    for sparse in (True, False):
+        more = cut_lineage(_verified(_candidates(members, joined, sets, limit, tile, sparse), sets, limit))
+        if not more.isEmpty():
+            links = cut_lineage(links.union(more))
+            joined = cut_lineage(components(links))
 
     member = filled.select("_key", "n", "node").join(joined, "node", "left") \
         .select("_key", "n", F.coalesce("component", "node").alias("_part"))
