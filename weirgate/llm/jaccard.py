@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weirgate.llm import bloom
 from weirgate.llm.graph import components
 from weirgate.llm.text import distinct_sorted, mix, rows_of, shingles, word_hashes
-from weirgate.workspace import cut_lineage
+from weirgate.workspace import broadcast_if_small, cut_lineage
 
 #: Coordinates of a count vector, rows of an R-tree leaf, rows of a cell that one task searches at once.
 GROUPS, LEAF, TILE = 512, 32, 2_000
@@ -147,8 +147,8 @@ def _slim(width: int, limit: Threshold):
     return run
 
 
-def _wanted_sets(width: int, shared):
-    """Sets and count vectors of the rows that may be wanted."""
+def _wanted(width: int, shared, whole: bool):
+    """Of the rows that may be wanted the sets themselves, or else their count vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
@@ -157,15 +157,26 @@ def _wanted_sets(width: int, shared):
                 continue
             batch = batch.filter(pa.array(hit))
             for first, last, sets, sizes in _row_sets(batch, width):
-                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(first, last - first), pa.array(sizes.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(sets.view(np.int64))),
-                    pa.array([p.tobytes() for p in points(sets, sizes)], pa.binary())], ["_row", "n", "elements", "point"])
+                if whole:
+                    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(sets.view(np.int64)))
+                else:
+                    values = pa.array([p.tobytes() for p in points(sets, sizes)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(first, last - first), pa.array(sizes.astype(np.int64)), values], ["_row", "n", "value"])
 
     return run
 
 
+def _values(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int, whole: bool) -> DataFrame:
+    """(node, n, value) of the nodes, read from their representatives' texts again: few rows move, no whole corpus of sets."""
+    wanted = cut_lineage(reps.join(nodes.distinct(), "node", "left_semi").select("node", "_row"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "_row"))
+    kind = "array<long>" if whole else "binary"
+    found = docs.mapInArrow(_wanted(width, bitmap, whole), f"_row long, n long, value {kind}")
+    return cut_lineage(found.join(broadcast_if_small(wanted), "_row").dropDuplicates(["node"]).drop("_row"))
+
+
 class RTree:
     """Boxes over count vectors, packed top down: each node halves its points along the coordinate that spreads most."""
 
@@ -292,13 +303,16 @@ def _search(limit: Threshold, sparse: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets link."""
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("_x"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("_y"))
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, limit: Threshold) -> DataFrame:
+    """The pairs ``a``, ``b`` (a written table) whose sets link."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = _values(nodes, reps, docs, width, True)
+    one = sets.select(F.col("node").alias("a"), F.col("value").alias("_x"))
+    two = sets.select(F.col("node").alias("b"), F.col("value").alias("_y"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.filter(limit.whole * common >= limit.part * (F.size("_x") + F.size("_y") - common)).select("a", "b")
+    return cut_lineage(both.filter(
+        limit.whole * common >= limit.part * (F.size("_x") + F.size("_y") - common)).select("a", "b"))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -309,12 +323,12 @@ def _bounded(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
         n, m = n_x.to_numpy(), n_y.to_numpy()
         return pd.Series(may_link(a, b, n, m, excess(a, n), excess(b, m), limit))
 
-    one = sets.select(F.col("node").alias("a"), F.col("point").alias("_x"), F.col("n").alias("_n"))
-    two = sets.select(F.col("node").alias("b"), F.col("point").alias("_y"), F.col("n").alias("_m"))
+    one = sets.select(F.col("node").alias("a"), F.col("value").alias("_x"), F.col("n").alias("_n"))
+    two = sets.select(F.col("node").alias("b"), F.col("value").alias("_y"), F.col("n").alias("_m"))
     return pairs.join(one, "a").join(two, "b").filter(allowed("_x", "_y", "_n", "_m")).select("a", "b")
 
 
-def _candidates(members: DataFrame, joined: DataFrame, sets: DataFrame, limit: Threshold, tile: int, sparse: bool) -> DataFrame:
+def _candidates(members: DataFrame, joined: DataFrame, vectors: DataFrame, limit: Threshold, tile: int, sparse: bool) -> DataFrame:
     """Pairs across components that meet in a cell and may link; small cells share a task, large ones are dealt out in tiles."""
     placed = members.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).select("cell", "node", "part")
     open_cells = placed.groupBy("cell").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_n")) \
@@ -326,7 +340,7 @@ def _candidates(members: DataFrame, joined: DataFrame, sets: DataFrame, limit: T
     small = F.pmod("cell", F.lit(rest.count() // BUCKET + 1))
     found = dealt.select(F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small).alias("bucket"),
                          "one", "other", "cell", "node", "part", "tile") \
-        .join(sets.select("node", "n", "point"), "node") \
+        .join(vectors.withColumnRenamed("value", "point"), "node") \
         .groupBy("bucket", "one", "other").applyInPandas(_search(limit, sparse), "a long, b long")
     return cut_lineage(found.distinct())
 
@@ -366,19 +380,15 @@ def link(
     cells = reps.select("node", F.explode("cells").alias("cell"))
     shared = cut_lineage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("_high"))
                          .filter("low < _high").drop("_high"))
-    members = cut_lineage(cells.join(shared, "cell"))
+    held, _ = bloom.split(cells, F.col("cell"), bloom.shared(shared.select("cell")))
+    members = cut_lineage(held.join(shared, "cell"))
 
     stars = members.filter("node <> low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
-    involved = members.select("node").distinct()
-    rows_wanted = reps.join(involved, "node", "left_semi").select("node", "_row")
-    bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(rows_wanted, "_row"))
-    found = whole.select("_key", "_row", "text").mapInArrow(_wanted_sets(width, bitmap), "_row long, n long, elements array<long>, point binary")
-    sets = cut_lineage(rows_wanted.join(found.dropDuplicates(["_row"]), "_row").drop("_row"))
-    links = cut_lineage(_verified(_bounded(stars, sets, limit), sets, limit))
+    vectors = _values(members.select("node"), reps, whole, width, False)
+    links = _verified(cut_lineage(_bounded(stars, vectors, limit)), reps, whole, width, limit)
     joined = cut_lineage(components(links))
-
     for sparse in (True, False):
-        more = cut_lineage(_verified(_candidates(members, joined, sets, limit, tile, sparse), sets, limit))
+        more = _verified(_candidates(members, joined, vectors, limit, tile, sparse), reps, whole, width, limit)
         if not more.isEmpty():
             links = cut_lineage(links.union(more))
             joined = cut_lineage(components(links))
