@@ -51,3 +51,43 @@ def test_long_and_empty(spark):
     got = lines.remove_line_runs(table(spark, made)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(made, 3)
     assert lines.remove_line_runs(table(spark, [])).collect() == []
+
+
+def brute_content(rows, least, floor):
+    texts = [(k, (t or "").split("\n")) for k, t, *_ in rows]
+
+    def runs(ls):
+        for n in range(1, least + 1):
+            for i in range(len(ls) - n + 1):
+                if n == least or len("".join("".join(ls[i:i + n]).split()).encode()) >= floor:
+                    yield i, tuple(ls[i:i + n])
+
+    first = {}
+    for k, ls in texts:
+        for i, run in runs(ls) if k is not None else ():
+            first[run] = min(first.get(run, (k, i)), (k, i))
+    out = []
+    for k, ls in texts:
+        gone = set()
+        for i, run in runs(ls) if k is not None else ():
+            if first[run] < (k, i):
+                gone |= set(range(i, i + len(run)))
+        out.append((k, len(ls), len(gone), sum(i - 1 not in gone for i in gone),
+                    "\n".join(x for i, x in enumerate(ls) if i not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least, floor", [(3, 16), (3, 8), (5, 30), (1, 16)])
+def test_content_floor_matches_brute_force(spark, least, floor):
+    made = rows()
+    got = lines.remove_line_runs(table(spark, made, clash=True).repartition(3), least, floor=floor).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_content(made, least, floor)
+
+
+def test_one_repeated_line_goes_and_trivial_ones_stay(spark):
+    line = "a whole paragraph that stands on one line of several documents"
+    made = [(i, f"own {i} words\n{line}\nend {i} words\n}}\n") for i in range(5)]
+    plain, got = ({r.doc_id: r.kept for r in lines.remove_line_runs(table(spark, made), **floor).collect()}
+                  for floor in ({}, {"floor": lines.FLOOR}))
+    assert all(line in kept for kept in plain.values())
+    assert got == {i: f"own {i} words\n" + (f"{line}\n" if i == 0 else "") + f"end {i} words\n}}\n" for i in range(5)}

@@ -27,6 +27,11 @@ def op2_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup_content(spark, sf_dir):
+    found = lines.remove_line_runs(read(spark, sf_dir), floor=lines.FLOOR)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
@@ -65,8 +70,8 @@ def op10_pareto_mix(spark, sf_dir):
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_line_dedup, op3_decontamination, op4_language_id, op5_personal_data, op6_rendezvous_shards,
-    op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix)}
+    op1_ngram_jaccard, op2_line_dedup, op2_line_dedup_content, op3_decontamination, op4_language_id, op5_personal_data,
+    op6_rendezvous_shards, op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix)}
 
 OP2_SQL = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -84,6 +89,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*
 FROM begun GROUP BY doc_id
 """
 
+OP2_CONTENT_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS l, generate_subscripts(parts, 1) AS n FROM split),
+sized AS (SELECT *, octet_length(encode(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS b FROM lines),
+runs AS (
+  SELECT doc_id, n, l, b, lead(l, 1) OVER w AS l1, lead(b, 1) OVER w AS b1, lead(l, 2) OVER w AS l2
+  FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+later AS (
+  (SELECT doc_id, n, 1 AS size FROM runs WHERE b >= 16 QUALIFY row_number() OVER (PARTITION BY l ORDER BY doc_id, n) > 1)
+  UNION ALL
+  (SELECT doc_id, n, 2 AS size FROM runs WHERE l1 IS NOT NULL AND b + b1 >= 16
+   QUALIFY row_number() OVER (PARTITION BY l, l1 ORDER BY doc_id, n) > 1)
+  UNION ALL
+  (SELECT doc_id, n, 3 AS size FROM runs WHERE l2 IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY l, l1, l2 ORDER BY doc_id, n) > 1)),
+gone AS (SELECT DISTINCT doc_id, n + k AS n FROM later, range(3) AS r(k) WHERE k < size),
+marked AS (SELECT lines.doc_id, lines.n, l, gone.n IS NOT NULL AS gone FROM lines LEFT JOIN gone USING (doc_id, n)),
+begun AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM marked)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM begun GROUP BY doc_id
+"""
+
 OP6_SQL = f"""
 WITH crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
@@ -165,6 +193,6 @@ FROM summed
 """
 
 LLM_SQL = {
-    "op2_line_dedup": OP2_SQL,
+    "op2_line_dedup": OP2_SQL, "op2_line_dedup_content": OP2_CONTENT_SQL,
     "op6_rendezvous_shards": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_pareto_mix": OP10_SQL,
 }
