@@ -67,3 +67,32 @@ def test_long_texts_in_pieces(spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(table(spark, [])).collect() == []
+
+
+def repetitive():
+    """Few rows with very many positions of one rank: a phrase and a run of dots, over and over."""
+    phrase = "the same words again and again, until the page is full of them; "
+    return [(k, f"{k} " * 20 + phrase * 40 + "." * (350 + k) + f" {k}" * 30) for k in (3, 1, 2)]
+
+
+@pytest.mark.parametrize("windows", [False, True])
+def test_no_task_gets_all_positions_of_a_rank(spark, monkeypatch, windows):
+    most, made = 30, repetitive()
+    inner = repeats._resolve
+
+    def watched(*args):
+        resolve = inner(*args)
+
+        def run(keys, rows):
+            assert rows.groupby("rank").size().max() <= most
+            return resolve(keys, rows)
+
+        return run
+
+    monkeypatch.setattr(repeats, "_resolve", watched)
+    docs = table(spark, made).selectExpr("doc_id AS _key", "xxhash64(doc_id, text) AS _row", "text")
+    length, prefix = (50, 20) if windows else (300, 32)
+    ranges = repeats.repeated_ranges([(docs, None)], length, prefix, windows, bucket=10, hot=most).collect()
+    first = [r._row for r in docs.filter("_key = 1").collect()]
+    assert ranges and not {r._row for r in ranges} & set(first)
+    assert got(repeats.remove_repeats(table(spark, made), bucket=10, hot=most)) == brute(made)

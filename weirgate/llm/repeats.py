@@ -106,15 +106,17 @@ def _unsettled(batch: pa.RecordBatch, settled) -> pa.RecordBatch:
 
 
 def _ranks(length: int, prefix: int, settled):
-    """Each rank with the number of rows that have it."""
+    """Each rank with the number of rows and of positions that have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = _unsettled(batch, settled)
             for _, data, starts, done, _ in _parts(batch, length):
                 row, _, _, rank, _ = sampled(data, starts, length, prefix, done)
+                places = np.unique(rank, return_counts=True)[1]  # before the ranks are sorted in place
                 once, _ = distinct_sorted(rank, np.bincount(row, minlength=len(starts) - 1))
                 found, n = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["rank", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(n), pa.array(places)], ["rank", "n", "places"])
 
     return run
 
@@ -173,7 +175,7 @@ def window_hashes(pieces: list[bytes], length: int):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _resolve(length: int, windows: bool):
+def _resolve(length: int):
     """Ranges of the rows of a bucket that start in a row with a smaller key.
 
     Runs with equal content are settled whole: all but those of the smallest key go. Where a rank is left with several
@@ -191,31 +193,40 @@ def _resolve(length: int, windows: bool):
         least[by] = order[by][np.flatnonzero(new)][group]
         later = np.flatnonzero(order > least)
         hit, low, high = [later], [start[later]], [start[later] + size[later]]
-        if windows:
-            kinds = rank[by][new]  # one entry for each content of a rank
-            several = kinds[:-1][kinds[1:] == kinds[:-1]]
-            rest = np.flatnonzero((order == least) & np.isin(rank, several))
-            if len(rest):
-                owner, place, one, two = window_hashes(rows["bytes"].iloc[rest].tolist(), length)
-                holder = order[rest][owner]
-                by = np.lexsort((holder, two, one))
-                new = np.ones(len(by), bool)
-                new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
-                first = holder[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-                gone = np.zeros(len(by), bool)
-                gone[by] = holder[by] > first
-                owner, place = owner[gone], place[gone]
-                if len(owner):
-                    a, b = _joined(place, owner)
-                    hit.append(rest[owner[a]])
-                    low.append(start[rest[owner[a]]] + place[a])
-                    high.append(start[rest[owner[a]]] + place[b] + length)
+        kinds = rank[by][new]  # one entry for each content of a rank
+        several = kinds[:-1][kinds[1:] == kinds[:-1]]
+        rest = np.flatnonzero((order == least) & np.isin(rank, several))
+        if len(rest):
+            owner, place, one, two = window_hashes(rows["bytes"].iloc[rest].tolist(), length)
+            holder = order[rest][owner]
+            by = np.lexsort((holder, two, one))
+            new = np.ones(len(by), bool)
+            new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
+            first = holder[by][np.flatnonzero(new)][np.cumsum(new) - 1]
+            gone = np.zeros(len(by), bool)
+            gone[by] = holder[by] > first
+            owner, place = owner[gone], place[gone]
+            if len(owner):
+                a, b = _joined(place, owner)
+                hit.append(rest[owner[a]])
+                low.append(start[rest[owner[a]]] + place[a])
+                high.append(start[rest[owner[a]]] + place[b] + length)
         hit = np.concatenate(hit)
         return pd.DataFrame({"_row": rows["_row"].to_numpy()[hit], "start": np.concatenate(low), "end": np.concatenate(high)})
 
     return run
 
 
+def _whole_ranges(runs: DataFrame) -> DataFrame:
+    """Ranges of the runs whose content a smaller key has: each content is reduced to its least key and joined back, so that
+    its positions never meet in one task."""
+    runs = cut_lineage(runs)
+    least = cut_lineage(runs.groupBy("rank", "content").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"))
+                        .filter("_least < _most").drop("_most"))
+    return runs.join(least, ["rank", "content"]).filter("_key > _least") \
+        .select("_row", "start", (F.col("start") + F.col("size")).alias("end"))
+
+
 def _hot_ranges(runs: DataFrame, length: int) -> DataFrame:
     """The same for ranks with very many positions: every string is a row, so that Spark splits them."""
     parts = runs.withColumn("place", F.explode(F.sequence(F.lit(0), (F.col("size") - length).cast("int")))) \
@@ -237,8 +248,8 @@ def repeated_ranges(
     With ``windows`` all of them, otherwise those in runs that are equal as a whole. ``tables`` are DataFrames of _key, _row,
     text and maybe the ranges already settled, each with a shared bitmap of the rows to leave out, or None.
     (1) Positions are ranked by their first bytes, and ranks of one row drop out; (2) what is left is ranked again by whole
-    runs, then by all strings of a run, each rank's positions meeting in one task unless there are too many
-    of them, which are then dealt out by string.
+    runs, then, with ``windows``, by all strings of a run, each rank's positions meeting in one task unless there are more than
+    ``hot`` of them, repetitions within a row included, which are then dealt out by string.
     """
     kind = tables[0][0].schema["_key"].dataType.simpleString()
     spark = tables[0][0].sparkSession
@@ -247,19 +258,21 @@ def repeated_ranges(
         made = [rows.mapInArrow(task(settled), schema) for rows, settled in tables]
         return reduce(DataFrame.unionByName, made)
 
-    ranks = cut_lineage(each(lambda settled: _ranks(length, prefix, settled), "rank long, n long")
-                        .groupBy("rank").agg(F.sum("n").alias("n")).filter("n > 1"))
+    ranks = cut_lineage(each(lambda settled: _ranks(length, prefix, settled), "rank long, n long, places long")
+                        .groupBy("rank").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).filter("n > 1"))
     shared = spark.sparkContext.broadcast(bloom.build(ranks, "rank"))
-    positions, most = ranks.agg(F.sum("n"), F.max("n")).first()
+    schema = f"_key {kind}, _row long, rank long, content long, start long, size long"
+    if not windows:
+        return cut_lineage(_whole_ranges(each(lambda settled: _runs(length, prefix, shared, None, False, False, settled), schema)))
+    positions, most = ranks.agg(F.sum("places"), F.max("places")).first()
     busy = None
     if (most or 0) > hot:
-        busy = spark.sparkContext.broadcast(bloom.build(ranks.filter(F.col("n") > hot), "rank"))
-    schema = f"_key {kind}, _row long, rank long, content long, start long, size long"
+        busy = spark.sparkContext.broadcast(bloom.build(ranks.filter(F.col("places") > hot), "rank"))
     full = schema + ", bytes binary"
     buckets = max(1, (positions or 0) // bucket)
-    found = each(lambda settled: _runs(length, prefix, shared, busy, False, windows, settled), full if windows else schema) \
+    found = each(lambda settled: _runs(length, prefix, shared, busy, False, True, settled), full) \
         .groupBy(F.pmod("rank", F.lit(buckets)).alias("bucket")) \
-        .applyInPandas(_resolve(length, windows), "_row long, start long, end long")
+        .applyInPandas(_resolve(length), "_row long, start long, end long")
     if busy:
         crowded = each(lambda settled: _runs(length, prefix, shared, busy, True, True, settled), full)
         found = found.unionByName(_hot_ranges(crowded, length))
