@@ -7,7 +7,7 @@ empty tables stay empty; columns beyond doc_id, text, source are carried through
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm import bloom, decontaminate, jaccard, language, mixing, shards
@@ -25,38 +25,54 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.filter((F.col("found.best") != language.UNKNOWN) & (F.col("found.bits_per_byte") < 8)).select("row.*")
 
 
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose doc_id, null included, may be in ``ids``, and the others."""
-    bitmap = bloom.shared(ids.select(F.xxhash64(ids.columns[0]).alias("hash")))
-    return bloom.split(docs, F.xxhash64("doc_id"), bitmap)
+def _row_key() -> Column:
+    """What a row is told apart by: its doc_id and its text's hashes, ordered by doc_id with nulls last.
+
+    A null or repeated doc_id so stands for one text only, and no table with row numbers has to be written.
+    """
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc_id"),
+                    F.xxhash64(F.lit(1), "text").alias("high"), F.xxhash64(F.lit(2), "text").alias("low"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_row_key().alias("key"), "text")
+
+
+def _split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in ``keys``, and the others."""
+    bitmap = bloom.shared(keys.select(F.xxhash64("key").alias("hash")))
+    return bloom.split(docs, F.xxhash64(_row_key()), bitmap)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose doc_id, null included, is not in ``gone``."""
+    """The rows whose key is not in ``gone``."""
     maybe, rest = _split(docs, gone)
-    gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
-    return rest.unionByName(maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"))
+    gone = gone.select(F.col("key.high").alias("_high"), F.col("key.low").alias("_low"), F.col("key.doc_id").alias("_gone"))
+    same = (F.xxhash64(F.lit(1), "text") == F.col("_high")) & (F.xxhash64(F.lit(2), "text") == F.col("_low")) \
+        & F.col("doc_id").eqNullSafe(F.col("_gone"))
+    return rest.unionByName(maybe.join(gone, same, "left_anti"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: that of the smallest doc_id. Rows without words stay as they are.
 
-    Of rows that repeat doc_id and text one stays; rows that share only the doc_id are not told apart and both stay. A
-    null doc_id stays unless its class has a doc_id.
+    Of rows that repeat doc_id and text one stays; rows of a class that share only the smallest doc_id both stay. A
+    null doc_id stays unless its class has a doc_id. Rows are judged by doc_id and text, so that no row goes for another's
+    text.
     """
-    found = cut_lineage(jaccard.link(docs, WIDTH, PERCENT)).filter("n_shingles > 0")
-    later = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id")
+    found = cut_lineage(jaccard.link(_keyed(docs), WIDTH, PERCENT, key="key")).filter("n_shingles > 0")
+    later = found.filter("component_id.doc_id IS NOT NULL AND NOT key.doc_id <=> component_id.doc_id").select("key")
     first = _without(docs, cut_lineage(later.distinct()))
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = found.filter("key.doc_id = component_id.doc_id").groupBy("key").count().filter("count > 1").select("key")
     repeated, single = _split(first, twice)
     return single.unionByName(repeated.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])) \
         .unionByName(repeated.filter("doc_id IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share no passage with the benchmark. Rows with a null doc_id stay only if none of them shares one."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, cut_lineage(found.select("doc_id").distinct()))
+    """Rows that share no passage with the benchmark, judged one by one."""
+    found = decontaminate.contaminated(_keyed(docs), read(spark, sf_dir, "benchmark"), key="key")
+    return _without(docs, cut_lineage(found.select("key").distinct()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

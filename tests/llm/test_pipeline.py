@@ -59,3 +59,21 @@ def test_language_rejects_nothing_in_a_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language.predict(docs, language.fit(docs)).filter("lang_pred <> 'und'").agg({"bits_per_byte": "max"}).first()[0]
     assert found < 8
+
+
+def test_rows_go_for_their_own_text_only(spark):
+    own = [" ".join(words(60, 900 + i, 10 ** 6)) for i in range(8)]
+    near, far = mutants(words(200, 1, 10 ** 6), 3, 1, .005), mutants(words(200, 2, 10 ** 6), 2, 1, .005)
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first()[0]
+    rows = [(1, near[0]), (None, near[1]), (None, own[0]), (None, own[1]), (None, far[0]), (None, far[1]),
+            (7, near[2]), (7, own[2]), (7, own[3]), (7, own[3]), (None, None), (None, "")]
+    docs = table(spark, [(k, t, "en", "s", 0) for k, t in rows], clash=True)
+    single = p.near_copy_stage(spark, docs, SF)
+    assert single.schema == docs.schema
+    want = Counter(rows)
+    want.subtract([(None, near[1]), (7, near[2]), (7, own[3])])
+    assert Counter((r.doc_id, r.text) for r in single.collect()) == +want
+    rows = [(None, leak), (None, own[4]), (None, None), (8, leak), (8, own[5]), (9, own[6]), (9, own[6])]
+    docs = table(spark, [(k, t, "en", "s", 0) for k, t in rows], clash=True)
+    clean = p.decontamination_stage(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter(x for x in rows if x[1] != leak)
