@@ -93,3 +93,11 @@ def test_boxes_lose_no_pair():
         if np.minimum(true[a], true[b]).sum() >= limit.overlap(n[a] + n[b]):
             linked.add((a, b))
     assert tree == want >= linked and len(linked) > 100
+
+
+def test_a_word_longer_than_a_piece_stays_one(spark):
+    blob = "".join(random.Random(9).choices("abcdefGH", k=2_100_000))
+    made = [(1, blob), (2, blob.upper()), (3, blob[:-1]), (4, f"a b {blob} c d"), (5, " " * 600_000 + "a b\n" + blob + "\tc d "),
+            (6, "x" * (1 << 19)), (7, "x" * (1 << 19) + " "), (8, "x" * ((1 << 19) + 1) + " y")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(table(spark, made)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (3, 4), 5: (3, 4), 6: (1, 6), 7: (1, 6), 8: (1, 8)}

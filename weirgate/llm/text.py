@@ -94,21 +94,40 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _long_row(data: np.ndarray):
-    """Pieces of a long row, each cut after whitespace; a word longer than a piece is cut at the piece's end."""
+    """Pieces of a long row, each cut after whitespace; a word longer than a piece comes whole and alone."""
     at = 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
         if end < len(data):
             gaps = np.flatnonzero(SPACE[data[at:end]])
-            end = at + int(gaps[-1]) + 1 if len(gaps) else end
+            end = at + int(gaps[-1]) + 1 if len(gaps) else _word_end(data, end)
         yield data[at:end]
         at = end
 
 
+def _word_end(data: np.ndarray, at: int) -> int:
+    """Where the next whitespace is, or the end."""
+    for low in range(at, len(data), BLOCK):
+        gaps = np.flatnonzero(SPACE[data[low:low + BLOCK]])
+        if len(gaps):
+            return low + int(gaps[0])
+    return len(data)
+
+
+def _long_word(word: np.ndarray, fold: bool) -> np.ndarray:
+    """The hash of a word of more than BLOCK bytes, from its length and the hashes of its pieces in order."""
+    total = np.array([len(word)], np.uint64)
+    for low in range(0, len(word), BLOCK):
+        part = word[low:low + BLOCK]
+        total = mix(total * ODD + piece_hashes(prefix_sums(part, 0, fold), np.array([0]), np.array([len(part)])))
+    return total
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a block of rows, and how many each row has. ``fold`` lower-cases A to Z."""
     if len(data) > BLOCK:
-        parts = [word_hashes(p, np.array([0, len(p)]), fold)[0] for p in _long_row(data)]
+        parts = [word_hashes(p, np.array([0, len(p)]), fold)[0] if len(p) <= BLOCK else _long_word(p, fold)
+                 for p in _long_row(data)]
         return np.concatenate(parts), np.array([sum(map(len, parts))])
     start, end, counts = spans(data, ends)
     return piece_hashes(prefix_sums(data, 0, fold), start, end), counts
