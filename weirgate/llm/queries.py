@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm import (
-    decontaminate, exact, jaccard, language, lines, mixing, pii, quality, repeats, shards)
+    bpe, decontaminate, exact, jaccard, language, lines, merkle, mixing, pii, quality, repeats, shards)
 
+VOCABULARY = "byte_bpe_50k.json"
 SHARDS = 40
 KEPT_SHARE = 0.5
 SOURCE_WEIGHTS = [5.0, 2.0, 1.0]
@@ -69,9 +70,33 @@ def op10_pareto_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir), SOURCE_WEIGHTS).drop("copies")
 
 
+def bpe_digests(docs: DataFrame, vocabulary: bpe.Vocabulary) -> DataFrame:
+    """Numbers and digests of the token ids of each text, and of the text decoded from them."""
+    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op11_bpe_encoding(spark, sf_dir):
+    import public_tokenizers
+    return bpe_digests(read(spark, sf_dir), bpe.Vocabulary.load(public_tokenizers.path(VOCABULARY)))
+
+
+def merkle_manifest(docs: DataFrame, tall: int = merkle.HEIGHT) -> DataFrame:
+    """A manifest per language; a third of the rows are tampered with, by lower-casing their text."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"],
+                           {"text": merkle.lower_ascii(F.col("text"))}, altered, tall=tall)
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle_manifest(read(spark, sf_dir))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_line_dedup, op2_line_dedup_content, op3_decontamination, op4_language_id, op5_personal_data,
-    op6_rendezvous_shards, op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix)}
+    op6_rendezvous_shards, op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix,
+    op11_bpe_encoding, op12_merkle_manifest)}
 
 OP2_SQL = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
