@@ -47,7 +47,10 @@ def test_awkward_rows(spark, vocabulary, library):
     assert sorted(map(tuple, bpe_digests(docs, vocabulary).collect()), key=str) == want(library, rows)
     coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
     assert sorted((str(r.doc_id), r.text) for r in coded.collect()) == sorted((str(k), t or "") for k, t in rows)
+    assert {c for c, _ in coded.dtypes} == {"doc_id", "ids", "text"}
     assert bpe_digests(table(spark, []), vocabulary).collect() == []
+    assert bpe.decode(spark.createDataFrame([(1, None), (2, [0, 50256])], "k long, ids array<int>"), vocabulary).select("text").collect() \
+        == [("",), ("!<|endoftext|>",)]
 
 
 def test_every_code_point_and_random_texts(vocabulary, library):

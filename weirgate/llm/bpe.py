@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed value: how byte-level vocabularies cut a text into pieces before merging.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces and token pairs that a worker remembers before it forgets them all, and rows handled at once.
-REMEMBERED, ROWS = 1 << 19, 1024
+REMEMBERED, ROWS = 1 << 18, 256
 LONGEST_REMEMBERED = 64
 NEVER = 1 << 40
 
@@ -289,66 +290,50 @@ def _lists(values: np.ndarray, counts: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(values, pa.int32()))
 
 
-def encoded(text: Column, vocabulary: Vocabulary, spark: SparkSession) -> Column:
-    """Token ids of each whole text; none for null and empty text."""
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _encoder(shared, text: str, packed: bool):
+    """A task's rows without the text and with its token ids, in batches of few rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value.encoder()
-        for column in texts:
-            parts = []
-            for first in range(0, len(column), ROWS):
-                parts += encoder.texts(column.slice(first, ROWS).to_pylist())
-            counts = [len(p) // 4 for p in parts]
-            yield _lists(np.frombuffer(b"".join(parts), np.int32), counts)
-
-    return encode(text)
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of lists, and where each row starts, with the end of the last; nulls are empty."""
-    ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    return ids, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def decoded(ids: Column, vocabulary: Vocabulary, spark: SparkSession) -> Column:
-    """The text of token ids, special tokens included; bytes that are no UTF-8 become the replacement character."""
-    shared = spark.sparkContext.broadcast(
-        (b"".join(vocabulary.tokens), np.cumsum([0, *map(len, vocabulary.tokens)])))
-
-    @F.arrow_udf("string")
-    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters, at = shared.value
-        letters = np.frombuffer(letters, np.uint8)
-        for column in columns:
-            ids, rows = _flat(column)
-            texts = []
-            for first, last in zip(rows[:-1], rows[1:]):
-                own = ids[first:last]
-                size = at[own + 1] - at[own]
-                place = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                texts.append(letters[place].tobytes().decode("utf-8", "replace"))
-            yield pa.array(texts, pa.string())
-
-    return decode(ids)
-
-
-def little_endian(ids: Column) -> Column:
-    """Ids of each row as little-endian unsigned 32-bit integers."""
-    @F.arrow_udf("binary")
-    def packed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            values, rows = _flat(column)
-            raw = values.astype("<u4").tobytes()
-            yield pa.array([raw[4 * a:4 * b] for a, b in zip(rows[:-1], rows[1:])], pa.binary())
-
-    return packed(ids)
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of every text: ``key``, ids.
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                parts = encoder.texts(rows.column(text).to_pylist())
+                ids = np.frombuffer(b"".join(parts), np.int32)
+                columns = {c: rows.column(c) for c in rows.schema.names if c != text}
+                columns["ids"] = _lists(ids, [len(p) // 4 for p in parts])
+                if packed:
+                    columns["packed"] = pa.array([np.frombuffer(p, np.int32).astype("<u4").tobytes() for p in parts], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _decoder(shared, ids: str, output: str):
+    """A task's rows with the text of their token ids besides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = shared.value.tokens
+        letters, at = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                texts = []
+                for row in rows.column(ids):
+                    own = row.values.to_numpy().astype(np.int64) if row.is_valid else np.zeros(0, np.int64)
+                    size = at[own + 1] - at[own]
+                    place = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    texts.append(letters[place].tobytes().decode("utf-8", "replace"))
+                columns = {c: rows.column(c) for c in rows.schema.names}
+                yield pa.RecordBatch.from_pydict(columns | {output: pa.array(texts, pa.string())})
+
+    return run
+
+
+def _share(docs: DataFrame, vocabulary: Vocabulary):
+    return docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", packed: bool = False) -> DataFrame:
+    """Token ids of every text: ``key``, ids; with ``packed`` also the ids as little-endian unsigned 32-bit integers.
 
     A suffix automaton over the vocabulary finds the tokens that end at each byte of a piece, longest first; the
     one that can stand beside the last token of the prefix before it is the last token of this prefix, and only one
@@ -357,9 +342,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     Null and empty texts have no ids. A row depends on its own text alone, so nothing is shuffled; repeated rows and
     null keys are kept as they come, an empty table gives no rows, other columns are ignored.
     """
-    return docs.select(F.col(key).alias(key), encoded(F.col(text), vocabulary, docs.sparkSession).alias("ids"))
+    return _run(docs, key, text, _encoder(_share(docs, vocabulary), "_text", packed), packed)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", output: str = "text") -> DataFrame:
-    """``coded`` plus the text of its ids; null ids give an empty text."""
-    return coded.withColumn(output, decoded(F.col(ids), vocabulary, coded.sparkSession))
+    """``coded`` plus the text of its ids, special tokens included; null ids give an empty text, and bytes that are no UTF-8
+    the replacement character. A column named ``output`` is replaced."""
+    rows = coded.drop(output)
+    schema = StructType([*rows.schema.fields, StructField(output, StringType())])
+    return rows.mapInArrow(_decoder(_share(coded, vocabulary), ids, output), schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode`` with packed ids and ``decode`` one after the other in one worker: ``key``, ids, packed, text."""
+    shared = _share(docs, vocabulary)
+    coded, plain = _encoder(shared, "_text", True), _decoder(shared, "ids", "text")
+    return _run(docs, key, text, lambda batches: plain(coded(batches)), True, True)
+
+
+def _run(docs: DataFrame, key: str, text: str, run, packed: bool, decoded: bool = False) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"_key {kind}, ids array<int>" + ", packed binary" * packed + ", text string" * decoded
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm import (
-    bpe, decontaminate, exact, jaccard, language, lines, merkle, mixing, pii, quality, repeats, shards)
+    bpe, collocations, decontaminate, exact, jaccard, language, lines, merkle, mixing, pii, quality, repeats, shards)
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = 40
@@ -72,9 +72,9 @@ def op10_pareto_mix(spark, sf_dir):
 
 def bpe_digests(docs: DataFrame, vocabulary: bpe.Vocabulary) -> DataFrame:
     """Numbers and digests of the token ids of each text, and of the text decoded from them."""
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.round_trip(docs, vocabulary)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+                        F.sha2("packed", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op11_bpe_encoding(spark, sf_dir):
@@ -93,10 +93,14 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest(read(spark, sf_dir))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_line_dedup, op2_line_dedup_content, op3_decontamination, op4_language_id, op5_personal_data,
     op6_rendezvous_shards, op7_suffix_dedup, op8_exact_dedup, op9_quality_resampling, op10_pareto_mix,
-    op11_bpe_encoding, op12_merkle_manifest)}
+    op11_bpe_encoding, op12_merkle_manifest, op13_phrase_collocations)}
 
 OP2_SQL = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -217,7 +221,101 @@ SELECT doc_id, size, source_size, target,
 FROM summed
 """
 
+def _sized(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR END"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+summed AS (
+  SELECT documents.*, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+    doc_id IS NOT NULL AND xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b:
+      xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 3 = 0 AS altered
+  FROM documents, crc),
+digested AS (
+  SELECT doc_id, lang, sha256({" || ".join(map(_sized, ["doc_id", "source", "lang", "n_chars", "text"]))}) AS leaf,
+    CASE WHEN altered THEN sha256({" || ".join(map(_sized, ["doc_id", "source", "lang", "n_chars", "lowered"]))}) END AS changed
+  FROM summed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY lang) AS n FROM digested),
+nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 8, n),
+subroots AS (
+  SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+ways AS (
+  SELECT doc_id, leaf, p.place AS row_place, p.lang, level, nodes.place AS place, nodes.place = p.place >> (3 * level) AS own, nodes.digest
+  FROM placed AS p JOIN nodes ON p.lang IS NOT DISTINCT FROM nodes.lang AND nodes.n > 1 AND nodes.place >> 3 = p.place >> (3 * level + 3)
+  UNION ALL
+  SELECT doc_id, leaf, p.place, p.lang, height + level, tops.place, tops.place = s.place >> (3 * level), tops.digest
+  FROM placed AS p JOIN subroots AS s ON p.lang IS NOT DISTINCT FROM s.lang
+  JOIN tops ON tops.n > 1 AND tops.place >> 3 = s.place >> (3 * level + 3)),
+proofs AS (
+  SELECT row_place, lang, string_agg(digest, '' ORDER BY level, place) FILTER (NOT own) AS siblings FROM ways GROUP BY row_place, lang),
+runs AS (
+  SELECT row_place, lang, level, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < mine), '') AS ahead,
+    coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > mine), '') AS behind
+  FROM (SELECT *, max(CASE WHEN own THEN place END) OVER (PARTITION BY row_place, lang, level) AS mine FROM ways)
+  GROUP BY row_place, lang, level),
+folds AS (
+  SELECT lang, place AS row_place, 0 AS level, changed AS digest FROM placed WHERE changed IS NOT NULL
+  UNION ALL
+  SELECT f.lang, f.row_place, f.level + 1, sha256(r.ahead || f.digest || r.behind)
+  FROM folds AS f JOIN runs AS r ON f.lang IS NOT DISTINCT FROM r.lang AND f.row_place = r.row_place AND f.level = r.level),
+folded AS (SELECT lang, row_place, arg_max(digest, level) AS digest FROM folds GROUP BY lang, row_place),
+result AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM tops WHERE n = 1) AS root,
+    sha256(coalesce(proofs.siblings, '')) AS proof_sha256, folded.digest
+  FROM placed AS p JOIN subroots AS s ON p.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN proofs ON p.lang IS NOT DISTINCT FROM proofs.lang AND p.place = proofs.row_place
+  LEFT JOIN folded ON p.lang IS NOT DISTINCT FROM folded.lang AND p.place = folded.row_place)
+SELECT doc_id, leaf, subroot, root, proof_sha256, coalesce(digest, root) AS folded_root, coalesce(digest, root) = root AS verified
+FROM result
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+  FROM documents),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS s FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(words[s:s + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, range(1, 5) AS r(k) WHERE s + k - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM grams WHERE k > 1 AND f >= 30),
+parts AS (
+  SELECT lang, k AS size, phrase, a, words, c.cut AS cut FROM candidates, range(1, 4) AS c(cut) WHERE c.cut < k),
+cuts AS (
+  SELECT parts.lang, parts.phrase, parts.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * parts.a) // (l.f + r.f) AS score
+  FROM parts
+  JOIN grams AS l ON l.lang = parts.lang AND l.k = cut AND l.phrase = array_to_string(words[1:cut], ' ')
+  JOIN grams AS r ON r.lang = parts.lang AND r.k = size - cut AND r.phrase = array_to_string(words[cut + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(words[s.pos:s.pos + w.width - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, range(2, 4) AS w(width), range(1, 4) AS s(pos) WHERE w.width < k AND s.pos + w.width - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT weakest.* FROM weakest LEFT JOIN inner_phrases USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 LLM_SQL = {
     "op2_line_dedup": OP2_SQL, "op2_line_dedup_content": OP2_CONTENT_SQL,
     "op6_rendezvous_shards": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_pareto_mix": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL, "op13_phrase_collocations": OP13_SQL,
 }
