@@ -286,23 +286,24 @@ FROM result
 """
 
 OP13_SQL = r"""
-WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+WITH split AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0B-\x0D]', chr(10), 'g'), chr(10))) AS piece
   FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM split),
 starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS s FROM pieces),
 grams AS (
   SELECT lang, k, array_to_string(words[s:s + k - 1], ' ') AS phrase, count(*) AS f
   FROM starts, range(1, 5) AS r(k) WHERE s + k - 1 <= len(words) GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM grams WHERE k > 1 AND f >= 30),
+frequent AS MATERIALIZED (SELECT lang, phrase, f FROM grams WHERE f >= 30),
 parts AS (
-  SELECT lang, k AS size, phrase, a, words, c.cut AS cut FROM candidates, range(1, 4) AS c(cut) WHERE c.cut < k),
-cuts AS (
-  SELECT parts.lang, parts.phrase, parts.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * parts.a) // (l.f + r.f) AS score
-  FROM parts
-  JOIN grams AS l ON l.lang = parts.lang AND l.k = cut AND l.phrase = array_to_string(words[1:cut], ' ')
-  JOIN grams AS r ON r.lang = parts.lang AND r.k = size - cut AND r.phrase = array_to_string(words[cut + 1:], ' ')),
+  SELECT lang, phrase, a, c.cut AS cut, array_to_string(words[1:c.cut], ' ') AS head, array_to_string(words[c.cut + 1:], ' ') AS tail
+  FROM candidates, range(1, 4) AS c(cut) WHERE c.cut < k),
+headed AS (SELECT parts.*, frequent.f AS l FROM parts LEFT JOIN frequent ON parts.lang = frequent.lang AND head = frequent.phrase),
+tailed AS (SELECT headed.*, frequent.f AS r FROM headed LEFT JOIN frequent ON headed.lang = frequent.lang AND tail = frequent.phrase),
+cuts AS (SELECT lang, phrase, a, cut, l, r, (2000000::HUGEINT * a) // (l + r) AS score FROM tailed),
 weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_phrases AS (
   SELECT lang, array_to_string(words[s.pos:s.pos + w.width - 1], ' ') AS phrase, max(a) AS longer
