@@ -19,6 +19,8 @@ PAD = 3  # blanks as context before the first byte
 BLANKS = 0x2020
 #: Bounds of the model: rows read per language when fitting, languages, bytes of the table of code lengths.
 FIT_ROWS, MAX_LANGS, TABLE_BYTES = 5_000, 256, 48 << 20
+#: Rows of the table that are filled at once, so that a worker needs little more than the table itself.
+TABLE_ROWS = 64
 
 
 @dataclass
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang:
 
 def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
     width, common = model.width, model.common
-    deep = np.empty((width * width, len(model.langs)), np.float32)
+    deep = np.zeros((width, width, len(model.langs)), np.float32)
     flat = np.empty((1 << 16, len(model.langs)), np.float32)
     first, second = common >> 8, common & 255
     begins = np.zeros((width - 1, 256), np.float32)  # which place begins with which byte
@@ -152,11 +154,13 @@ def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
         two = ends @ grid
         order2 = _escape(two, (two @ begins)[:, first], ((two > 0).astype(np.float32) @ begins)[:, first],
                          order1[first, second][None, :])
-        order3 = _escape(grid, (grid @ begins)[:, first], ((grid > 0).astype(np.float32) @ begins)[:, first], order2[second])
-        bits = np.zeros((width, width), np.float32)
-        bits[1:, 1:] = -np.log2(order3)
-        deep[:, i] = bits.reshape(-1)
-    return deep, flat
+        for low in range(0, width - 1, TABLE_ROWS):
+            part = grid[low:low + TABLE_ROWS]
+            order3 = _escape(part, (part @ begins)[:, first], ((part > 0).astype(np.float32) @ begins)[:, first],
+                             order2[second[low:low + TABLE_ROWS]])
+            deep[1 + low:1 + low + len(part), 1:, i] = -np.log2(order3)
+        del grid
+    return deep.reshape(-1, len(model.langs)), flat
 
 
 def code_lengths(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -48,6 +48,7 @@ def pareto_order(unit, inclusion):
 def mix(
     docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id",
     text: str = "text", source: str = "source", seed: str = "mix", propensity: str | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """What a weighted mix takes of each row.
 
@@ -57,7 +58,8 @@ def mix(
     odds of a hash of the key over the odds of inclusion, and taken in that order until the
     source's remaining words are filled to the nearest row. ``propensity``, a
     column of numbers above 0, multiplies the odds, so that some rows are
-    likelier than others at the same total.
+    likelier than others at the same total. With ``carry`` the result has each row whole in a struct ``row``, so that
+    no join on a key has to find it again; ``docs`` is then read twice.
 
     Returns ``key``, size (words; null text: 0), source_size, target, copies, taken. The
     order is a hash of key and size: reruns agree, and only rows equal in both
@@ -66,9 +68,9 @@ def mix(
     rows; other columns are ignored.
     """
     odds = F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)) if propensity else F.lit(1.0)
-    rows = cut_lineage(docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"), odds.alias("_odds"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    narrow = [F.col(key).alias("_key"), F.col(source).alias("source"), odds.alias("_odds"),
+              F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
+    rows = cut_lineage(docs.select(*narrow))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(sizes, weights, share, most))
     same = F.col("source").eqNullSafe(F.col("_source"))
@@ -76,8 +78,9 @@ def mix(
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     unit = (hash48(F.col("_key"), F.col("size"), seed=seed) + F.lit(0.5)) / F.lit(float(1 << KEY_BITS))
     inclusion = F.col("_factor") - F.col("_whole")
+    every = docs.select(*narrow, F.struct("*").alias("row")) if carry else rows
     placed = cut_lineage(
-        rows.join(small, same).drop("_source", "source").withColumn("_factor", factor)
+        every.join(small, same).drop("_source", "source").withColumn("_factor", factor)
         .withColumn("_whole", F.floor("_factor").cast("double"))
         .withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn("_rank", F.when(inclusion > 0, pareto_order(unit, inclusion) * F.lit(1.0)).otherwise(unit))
@@ -88,4 +91,4 @@ def mix(
     chosen = take_in_order(placed, "source_rank", "_order", "size", "_need", ["_key", "size"])
     copies = (F.col("_whole") + F.col("chosen").cast("int")).cast("long")
     return chosen.select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"),
-                         (F.col("size") * copies).alias("taken"))
+                         (F.col("size") * copies).alias("taken"), *["row"] * carry)
