@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's
 docs. All but the last return the columns of ``docs``. Rows with null text have no language and go in the first stage;
-empty tables stay empty; columns beyond doc_id, text, source are carried through unread.
+empty tables stay empty; columns beyond doc_id, text, source are carried through unread, whatever their names, since
+stages hold each row in one struct beside their own columns.
 """
 
 from __future__ import annotations
@@ -16,13 +17,28 @@ from weirgate.workspace import cut_lineage
 
 #: Near copies in the pipeline: shingles of five words, similarity 0.8.
 WIDTH, PERCENT = 5, 80
+#: A text is in no language when its bits a byte exceed its language's upper quartile by so many quartile ranges, and
+#: by so large a share. Bits a byte, below which no text is rejected, are not set: the corpus decides.
+FENCE, SHARE = 6.0, 1.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language: those without any letter, or that no language codes below a byte per byte, go."""
-    found = language.coded(F.col("text"), language.fit(docs), spark)
-    rows = docs.select(F.struct("*").alias("row"), found.alias("found"))
-    return rows.filter((F.col("found.best") != language.UNKNOWN) & (F.col("found.bits_per_byte") < 8)).select("row.*")
+    """Rows in a language: those without any letter go, and those whose code length is far out for their language.
+
+    Per predicted language the quartiles of bits a byte over all rows make the bound. Where no row has a
+    language there is nothing to learn, and all rows with a letter stay.
+    """
+    model = language.fit(docs)
+    lettered = docs.filter(F.coalesce(F.col("text").rlike(language.LETTER), F.lit(False)))
+    if not model.langs:
+        return lettered
+    found = language.coded(F.col("text"), model, spark)
+    rows = cut_lineage(lettered.select(F.struct("*").alias("row"), found.alias("found")))
+    bits = F.col("found.bits_per_byte")
+    quartiles = rows.groupBy(F.col("found.best").alias("lang")).agg(F.percentile_approx(bits, [0.25, 0.75], 10_000).alias("q"))
+    bound = F.greatest(F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] * SHARE)
+    bounds = F.broadcast(quartiles.select("lang", bound.alias("bound")))  # a row per learned language
+    return rows.join(bounds, F.col("found.best") == F.col("lang")).filter(bits <= F.col("bound")).select("row.*")
 
 
 def _row_key() -> Column:
@@ -38,19 +54,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(_row_key().alias("key"), "text")
 
 
-def _split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _held(docs: DataFrame) -> DataFrame:
+    """Rows in one struct beside their keys."""
+    return docs.select(F.struct("*").alias("row"), _row_key().alias("key"))
+
+
+def _split(held: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be in ``keys``, and the others."""
     bitmap = bloom.shared(keys.select(F.xxhash64("key").alias("hash")))
-    return bloom.split(docs, F.xxhash64(_row_key()), bitmap)
+    return bloom.split(held, F.xxhash64("key"), bitmap)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def _without(held: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose key is not in ``gone``."""
-    maybe, rest = _split(docs, gone)
-    gone = gone.select(F.col("key.high").alias("_high"), F.col("key.low").alias("_low"), F.col("key.doc_id").alias("_gone"))
-    same = (F.xxhash64(F.lit(1), "text") == F.col("_high")) & (F.xxhash64(F.lit(2), "text") == F.col("_low")) \
-        & F.col("doc_id").eqNullSafe(F.col("_gone"))
-    return rest.unionByName(maybe.join(gone, same, "left_anti"))
+    maybe, rest = _split(held, gone)
+    same = [F.col(f"key.{c}").eqNullSafe(F.col(f"gone.{c}")) for c in ("high", "low", "doc_id")]
+    return rest.unionByName(maybe.join(gone.select(F.col("key").alias("gone")), same, "left_anti"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,25 +81,23 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = cut_lineage(jaccard.link(_keyed(docs), WIDTH, PERCENT, key="key")).filter("n_shingles > 0")
     later = found.filter("component_id.doc_id IS NOT NULL AND NOT key.doc_id <=> component_id.doc_id").select("key")
-    first = _without(docs, cut_lineage(later.distinct()))
+    first = _without(_held(docs), cut_lineage(later.distinct()))
     twice = found.filter("key.doc_id = component_id.doc_id").groupBy("key").count().filter("count > 1").select("key")
     repeated, single = _split(first, twice)
-    return single.unionByName(repeated.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])) \
-        .unionByName(repeated.filter("doc_id IS NULL"))
+    once = repeated.filter("NOT key.nameless").dropDuplicates(["key"])
+    return single.unionByName(once).unionByName(repeated.filter("key.nameless")).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no passage with the benchmark, judged one by one."""
     found = decontaminate.contaminated(_keyed(docs), read(spark, sf_dir, "benchmark"), key="key")
-    return _without(docs, cut_lineage(found.select("key").distinct()))
+    return _without(_held(docs), cut_lineage(found.select("key").distinct())).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: never, once or twice."""
-    found = mixing.mix(docs, SOURCE_WEIGHTS).groupBy(F.col("doc_id").alias("_decided")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_decided"))).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """Each row as often as the mix takes it: never, once or twice. Rows that share a doc_id are taken one by one."""
+    mixed = mixing.mix(docs, SOURCE_WEIGHTS, carry=True)
+    return mixed.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
