@@ -26,19 +26,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows in a language: those without any letter go, and those whose code length is far out for their language.
 
     Per predicted language the quartiles of bits a byte over all rows make the bound. Where no row has a
-    language there is nothing to learn, and all rows with a letter stay.
+    language there is nothing to learn, and all rows with a letter stay. Texts are coded twice, which is cheaper
+    than writing them once more between both passes.
     """
     model = language.fit(docs)
     lettered = docs.filter(F.coalesce(F.col("text").rlike(language.LETTER), F.lit(False)))
     if not model.langs:
         return lettered
-    found = language.coded(F.col("text"), model, spark)
-    rows = cut_lineage(lettered.select(F.struct("*").alias("row"), found.alias("found")))
+    held = lettered.select(F.struct("*").alias("row"), language.coded(F.col("text"), model, spark).alias("found"))
     bits = F.col("found.bits_per_byte")
-    quartiles = rows.groupBy(F.col("found.best").alias("lang")).agg(F.percentile_approx(bits, [0.25, 0.75], 10_000).alias("q"))
+    quartiles = held.groupBy(F.col("found.best").alias("lang")).agg(F.percentile_approx(bits, [0.25, 0.75], 10_000).alias("q"))
     bound = F.greatest(F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] * SHARE)
-    bounds = F.broadcast(quartiles.select("lang", bound.alias("bound")))  # a row per learned language
-    return rows.join(bounds, F.col("found.best") == F.col("lang")).filter(bits <= F.col("bound")).select("row.*")
+    bounds = F.broadcast(cut_lineage(quartiles.select("lang", bound.alias("bound"))))  # a row per learned language
+    return held.join(bounds, F.col("found.best") == F.col("lang")).filter(bits <= F.col("bound")).select("row.*")
 
 
 def _row_key() -> Column:
