@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as p
@@ -5,7 +6,7 @@ from tests.conftest import SF
 from tests.llm.fixtures import AWKWARD, table, words
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_jaccard import mutants, shingle_set
-from weirgate.llm import language
+from weirgate.llm import language, mixing
 
 
 def test_stages_follow_each_other(spark):
@@ -77,3 +78,46 @@ def test_rows_go_for_their_own_text_only(spark):
     docs = table(spark, [(k, t, "en", "s", 0) for k, t in rows], clash=True)
     clean = p.decontamination_stage(spark, docs, SF).collect()
     assert Counter((r.doc_id, r.text) for r in clean) == Counter(x for x in rows if x[1] != leak)
+
+
+NAMES = ["_high", "_gone", "_copies", "_decided", "_copy", "row", "key", "gone", "found", "bound", "copies", "hash"]
+
+
+def test_names_of_stages_do_not_clash(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first()[0]
+    rows = [(i, " ".join(words(30, i, 10 ** 6)), "en", "s", i) for i in range(12)] + [(50, leak, "en", "s", 1)]
+    docs = table(spark, rows)
+    for i, name in enumerate(NAMES):
+        docs = docs.withColumn(name, docs.doc_id * i)
+    for name, stage in p.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        found = got.collect()
+        assert found and all(r[name] == r.doc_id * i for r in found for i, name in enumerate(NAMES))
+
+
+def test_mixing_takes_each_row_by_itself(spark):
+    rows = [(None, " ".join(words(10 + i, i)), "en", "a", i) for i in range(100)] \
+        + [(7, "one two three", "en", "a", -1)] * 20 + [(i, " ".join(words(30, i)), "en", f"s{i % 3}", i) for i in range(100, 200)]
+    docs = table(spark, rows)
+    mixed = mixing.mix(docs, p.SOURCE_WEIGHTS)
+    want, got = Counter(), Counter()
+    for r in mixed.collect():
+        want[r.size] += r.copies
+    for r in p.mixing_stage(spark, docs, SF).collect():
+        got[len(r.text.split())] += 1
+        assert tuple(r) in set(rows)
+    assert got == +want
+
+
+def test_without_labels_rows_with_letters_stay(spark):
+    rows = [(1, "some text", None, "s", 0), (2, "12 34", None, "s", 0), (3, None, None, "s", 0), (4, "é", None, "s", 0)]
+    assert {r.doc_id for r in p.language_stage(spark, table(spark, rows), SF).collect()} == {1, 4}
+
+
+def test_noise_is_in_no_language(spark):
+    rng = random.Random(3)
+    prose = [(i, " ".join(words(80, i, 60)), "en", "s", 0) for i in range(200)]
+    noise = [(1000 + i, "".join(chr(rng.randrange(0xA1, 0x2000)) for _ in range(400)), "en" if i < 1 else None, "s", 0) for i in range(4)]
+    got = {r.doc_id for r in p.language_stage(spark, table(spark, prose + noise), SF).collect()}
+    assert set(range(200)) <= got and not {1001, 1002, 1003} & got
