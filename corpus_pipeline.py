@@ -18,7 +18,7 @@ from weirgate.workspace import cut_lineage
 #: Near copies in the pipeline: shingles of five words, similarity 0.8.
 WIDTH, PERCENT = 5, 80
 #: A text is in no language when its bits a byte exceed its language's upper quartile by so many quartile ranges, and
-#: by so large a share. Bits a byte, below which no text is rejected, are not set: the corpus decides.
+#: by so large a share of it. No fixed number of bits rejects a text: the corpus decides.
 FENCE, SHARE = 6.0, 1.5
 
 
