@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.operators.neighbors import share_if_small, with_neighbors
-from weirgate.operators.sampling import fold
+from weirgate.operators.sampling import stratified_fold
 from weirgate.workspace import cut_lineage
 
 # The two search grids, offline and live.
@@ -78,14 +78,14 @@ def class_labels(train: DataFrame) -> list[int]:
 
 
 def grid_search(train: DataFrame, grid: dict | None = None, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cross-validated accuracy of every candidate (p, k, weights), best first.
+    """Cross-validated accuracy of every candidate (p, k, weights) over stratified folds, best first.
 
     Neighbours are searched once per fold and p with the largest k; all k and
     weights read their vote from that one list.
     """
     grid = LIVE_GRID if grid is None else grid
     labels = class_labels(train)
-    rows = train.withColumn("fold", fold(folds, "id", seed))
+    rows = cut_lineage(stratified_fold(train, folds, id_col="id", seed=seed))
     candidates = list(product(grid["k"], grid["weights"]))
     votes = F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"),

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.operators.sampling import fold
+from weirgate.operators.sampling import stratified_fold
+from weirgate.workspace import cut_lineage
 
 # Smoothing candidates.
 SMOOTHING_GRID = [1e-9, 1e-8, 1e-7, 1e-6, 1e-5]
@@ -121,10 +122,10 @@ def grid_search(df: DataFrame, folds: int = 5, id_col: str = "flow_id", label: s
 
     The first pass takes moments per fold and class. The training moments of a
     fold are the total minus that fold, so no fold is aggregated twice. The
-    second pass scores every candidate at once.
+    second pass scores every candidate at once. Folds are stratified and written with the rows once.
     """
     grid = SMOOTHING_GRID if grid is None else grid
-    rows = df.filter(F.col(label).isNotNull()).withColumn("fold", fold(folds, id_col, seed))
+    rows = cut_lineage(stratified_fold(df.filter(F.col(label).isNotNull()), folds, label, id_col, seed))
     per_fold = dict(_moments(rows, ["fold", label], _width(df)))
     labels = sorted({c for _, c in per_fold})
     total: dict[int, ClassMoments] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.functions.hashing import order_key, uniform
+from weirgate.workspace import broadcast_if_small
 
 # Each histogram round looks at this many further hex digits of the key, so it
 # shuffles at most 4096 counts per stratum and task. Two rounds narrow 10^12 rows
@@ -88,5 +89,29 @@ def split(
 
 
 def fold(folds: int, id_col: str = "flow_id", seed: int = 42) -> Column:
-    """Fold number for cross-validation. Hashing spreads every class evenly over the folds."""
+    """Fold number from a hash alone: folds of nearly equal size, whatever the classes."""
     return F.floor(uniform(f"{seed}:fold", F.col(id_col)) * folds).cast("int")
+
+
+def stratified_fold(df: DataFrame, folds: int, label: str = "label", id_col: str = "flow_id", seed: int = 42,
+                    output: str = "fold", rank_rows: int = RANK_ROWS) -> DataFrame:
+    """``df`` with a fold number: the class counts of any two folds differ by one at most.
+
+    Rows of a class are numbered in the order of their keys, without gaps, and dealt in turn. A histogram of the keys'
+    leading digits says how many rows of the class come before each bucket, and only buckets of about ``rank_rows`` rows
+    are sorted, so no class is held in one task. Null labels are a class of their own; ids must be unique, or rows
+    of one id may change places. A column named ``output`` is replaced.
+    """
+    rows = df.drop(output).withColumn("_key", order_key(f"{seed}:fold", F.col(id_col)))
+    total, digits = rows.count(), 1
+    while total > rank_rows * 16 ** digits:
+        digits += 1
+    rows = rows.withColumn("_bucket", F.substring("_key", 1, digits)).withColumn("_class", F.col(label))
+    before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_class", "_bucket").agg(F.count("*").alias("_n")).select(
+        F.col("_class").alias("_c"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_key")) - 1
+    numbered = rows.withColumn("_place", place).join(
+        broadcast_if_small(starts), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b")))
+    return numbered.withColumn(output, ((F.col("_start") + F.col("_place")) % folds).cast("int")) \
+        .drop("_key", "_bucket", "_class", "_c", "_b", "_start", "_place")

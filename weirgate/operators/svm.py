@@ -8,19 +8,18 @@ projections.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.operators.sampling import fold
+from weirgate.operators.machines import Machine, Machines
+from weirgate.operators.sampling import stratified_fold
 
 # The offline grid and the live settings.
 OFFLINE_GRID = {"C": [0.1, 1, 10, 100], "kernel": ["linear", "rbf"], "gamma": ["scale", "auto"]}
@@ -55,22 +54,40 @@ class FourierMap:
     dimension: int = DIMENSION
     seed: int = 42
 
-    def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
+    def lift(self) -> FourierLift:
         rng = np.random.default_rng(self.seed)
         w = rng.normal(0.0, np.sqrt(2.0 * self.gamma), (self.width, self.dimension))
-        b = rng.uniform(0.0, 2.0 * np.pi, self.dimension)
-        scale = np.sqrt(2.0 / self.dimension)
+        return FourierLift(w, rng.uniform(0.0, 2.0 * np.pi, self.dimension))
+
+    def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
+        made = self.lift()
 
         @F.arrow_udf("array<double>")
         def lift(x: pa.Array) -> pa.Array:
-            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, len(w)))
-            z = scale * np.cos(rows @ w + b)
-            offsets = np.arange(len(x) + 1, dtype="int32") * w.shape[1]
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, self.width))
+            z = made(rows)
+            offsets = np.arange(len(x) + 1, dtype="int32") * z.shape[1]
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.ravel()))
 
         return df.withColumn(output, array_to_vector(lift("x")))
 
 
+@dataclass(frozen=True)
+class FourierLift:
+    """A map's projections, drawn."""
+
+    w: np.ndarray
+    b: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / len(self.b)) * np.cos(x @ self.w + self.b)
+
+
+def plain(x: np.ndarray) -> np.ndarray:
+    """The map of the linear kernel."""
+    return x
+
+
 @dataclass
 class SvmModel:
     linear: LinearSVCModel
@@ -118,40 +135,35 @@ def candidates(grid: dict | None = None) -> list[dict]:
 
 
 def grid_search(df: DataFrame, folds: int = 5, grid: dict | None = None, id_col: str = "flow_id",
-                label: str = "label", seed: int = 42, dimension: int = DIMENSION, max_iter: int = 100,
-                tol: float = 1e-4, parallelism: int = 8) -> list[tuple[dict, float]]:
-    """(settings, cross-validated accuracy), best first.
+                label: str = "label", seed: int = 42, dimension: int = DIMENSION, max_steps: int = 1_000,
+                tol: float = 1e-4) -> list[tuple[dict, float]]:
+    """(settings, cross-validated accuracy), best first. The settings say how many ``steps`` the slowest fold took and
+    whether all folds ``converged``.
 
-    Rows are lifted once per kernel and gamma; all C and folds share the lifted
-    frame and are fitted side by side, each as far as the final fit goes.
+    The machines of all settings and stratified folds are fitted in one loop: a step is one pass over the rows for all of them.
     """
-    rows = df.select(id_col, "x", F.col(label).cast("double").alias("label")).filter("label IS NOT NULL")
-    rows = rows.withColumn("fold", fold(folds, id_col, seed)).select("x", "label", "fold")
+    rows = df.select(id_col, "x", label).filter(F.col(label).isNotNull())
+    rows = stratified_fold(rows, folds, label, id_col, seed)
+    rows = rows.select("x", F.when(F.col(label) > 0, 1.0).otherwise(-1.0).alias("y"), "fold").persist()
     n = rows.count()
-    row = rows.select(F.size("x").alias("d")).first()
-    if row is None:
+    if not n:
         raise ValueError("no rows to train on")
-    groups: dict[tuple, list[dict]] = {}
-    for c in candidates(grid):
-        groups.setdefault((c["kernel"], c["gamma"]), []).append(c)
-
-    def tried(group):
-        (kernel, gamma), members = group
-        if kernel == "rbf":
-            lifted = FourierMap(row["d"], gamma_value(rows, gamma), dimension, seed).transform(rows)
-        else:
-            lifted = rows.withColumn("features", array_to_vector("x"))
-        lifted = lifted.select("features", "label", "fold").persist()
-        machine = LinearSVC(maxIter=max_iter, tol=tol, standardization=False)
-        train_rows = n * (folds - 1) / folds
-        maps = [{machine.regParam: 1.0 / (m["C"] * train_rows)} for m in members]
-        search = CrossValidator(
-            estimator=machine, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", parallelism=parallelism,
-            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
-        found = list(zip(members, search.fit(lifted).avgMetrics))
-        lifted.unpersist()
-        return found
-
-    with ThreadPoolExecutor(max_workers=len(groups)) as pool:
-        scores = [s for found in pool.map(tried, groups.items()) for s in found]
+    width = rows.select(F.size("x")).first()[0]
+    tried = candidates(grid)
+    kernels = sorted({(c["kernel"], c["gamma"]) for c in tried}, key=str)
+    lifts = [FourierMap(width, gamma_value(rows, gamma), dimension, seed).lift() if kernel == "rbf" else plain
+             for kernel, gamma in kernels]
+    train_rows = n * (folds - 1) / folds
+    machines = Machines(rows, lifts, [
+        Machine(kernels.index((c["kernel"], c["gamma"])), 1.0 / (c["C"] * train_rows), f) for c in tried for f in range(folds)])
+    fitted = machines.fit(tol, max_steps)
+    accuracies = machines.accuracies(fitted)
+    machines.close()
+    rows.unpersist()
+    scores = []
+    for i, c in enumerate(tried):
+        own = slice(i * folds, (i + 1) * folds)
+        found = [a for a in accuracies[own] if a is not None]
+        told = {"steps": max(f.steps for f in fitted[own]), "converged": all(f.converged for f in fitted[own])}
+        scores.append(({**c, **told}, math.fsum(found) / len(found)))
     return sorted(scores, key=lambda s: -s[1])

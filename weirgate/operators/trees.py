@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.operators.sampling import fold
+from weirgate.operators.sampling import fold, stratified_fold
 
 # Forest size and limits, live tree limits, offline tree grid.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
@@ -113,8 +113,8 @@ def _table(rows, leaves: int, classes: int) -> list[list[int]]:
 
 
 def tune_tree(df: DataFrame, folds: int = 5, candidates: list[dict] | None = None, id_col: str = "flow_id",
-              label: str = "label", seed: int = 42, parallelism: int = 8):
-    """(best model, [(settings, accuracy)]) by cross-validation over hashed folds.
+              label: str = "label", seed: int = 42, parallelism: int = 8, stratified: bool = False):
+    """(best model, [(settings, accuracy)]) by cross-validation over hashed folds, ``stratified`` by class or not.
 
     Where a split goes depends on the node's own rows alone, so a tree with a depth limit and a least split size is a deeper tree
     cut at those nodes. One fit per leaf size, impurity and fold, as deep as the deepest candidate, scores
@@ -122,7 +122,8 @@ def tune_tree(df: DataFrame, folds: int = 5, candidates: list[dict] | None = Non
     """
     candidates = tree_candidates() if candidates is None else candidates
     candidates = [{"minSamplesSplit": 2, **c} for c in candidates]
-    rows = df.withColumn("_fold", fold(folds, id_col, seed)).select("features", label, "_fold").persist()
+    rows = stratified_fold(df, folds, label, id_col, seed, "_fold") if stratified else df.withColumn("_fold", fold(folds, id_col, seed))
+    rows = rows.select("features", label, "_fold").persist()
     classes = 1 + int(rows.agg(F.max(label)).first()[0])
     groups: dict[tuple, list[int]] = {}
     for i, c in enumerate(candidates):

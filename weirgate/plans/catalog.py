@@ -410,6 +410,11 @@ def split(spark, sf):
         "flow_id", sampling.is_test().alias("is_test"), sampling.fold(5).alias("fold"))
 
 
+@query
+def stratified_folds(spark, sf):
+    return sampling.stratified_fold(views.flow_features(views.events(spark, sf)).select("flow_id", "label"), 5)
+
+
 # Features
 
 
@@ -570,7 +575,7 @@ def svm_rbf(spark, sf):
 def dt_grid(spark, sf):
     """The offline tree grid on the capped sample."""
     prepared = _prepared(spark, sf)
-    _, scores = trees.tune_tree(prepared.balanced, 5, id_col="id", parallelism=8)
+    _, scores = trees.tune_tree(prepared.balanced, 5, id_col="id", parallelism=8, stratified=True)
     rows = [(c["impurity"], c["maxDepth"], c["minSamplesSplit"], c["minInstancesPerNode"], float(a)) for c, a in scores]
     return spark.createDataFrame(rows, "impurity string, max_depth int, min_split int, min_rows int, accuracy double")
 

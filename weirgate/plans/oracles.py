@@ -369,6 +369,14 @@ ORDER BY md5(concat('42:', flow_id)) LIMIT {catalog.ROW_CAP}""")
 oracle("split", ["flow_features"], f"""SELECT flow_id, {_uniform("concat('42:split:', flow_id)")} < 0.3 AS is_test,
   CAST(floor({_uniform("concat('42:fold:', flow_id)")} * 5) AS INT) AS fold FROM flow_features""")
 
+
+
+def _dealt(folds: int) -> str:
+    """Fold of a row: its place within its class, in the order of a hash, dealt in turn."""
+    return f"CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:fold:', flow_id))) - 1) % {folds} AS INT)"
+
+
+oracle("stratified_folds", ["flow_features"], f"SELECT flow_id, label, {_dealt(5)} AS fold FROM flow_features")
 oracle("median", ["clean"], "SELECT feature, median(v) AS median FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS v FROM clean" for c in NUMERIC) + ") GROUP BY feature")
 oracle("scale_stats", ["spread"], f"""SELECT feature, {_sig('m')} AS mean,
@@ -396,7 +404,7 @@ oracle("knn_predict", ["near", "capped"], f"""
   FROM near q, capped t GROUP BY q.flow_id)
 SELECT flow_id, y, CAST(list_sum(labels) * 2 > len(labels) AS INT) AS prediction FROM found""")
 oracle("knn_grid", ["capped"], f"""
-, f AS (SELECT *, CAST(floor({_uniform("concat('42:fold:', flow_id)")} * 3) AS INT) AS fold FROM capped),
+, f AS (SELECT *, {_dealt(3)} AS fold FROM capped),
 found AS (SELECT q.flow_id, p.p, any_value(q.label) AS y, any_value(q.fold) AS fold,
     min(struct_pack(d := CASE WHEN p.p = 1 THEN {DISTANCE1} ELSE {DISTANCE2} END, i := t.flow_id, l := t.label), 7) AS near
   FROM f q JOIN f t ON q.fold <> t.fold, (VALUES (1), (2)) p(p) GROUP BY q.flow_id, p.p),
@@ -423,7 +431,8 @@ ll AS (SELECT x.flow_id, any_value(x.label) AS y, st.c,
 SELECT flow_id, y, c AS prediction FROM ll
 QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY score DESC, c) = 1""")
 oracle("gnb_grid", ["scaled"], f"""
-, x AS (SELECT flow_id, label, feature, v, CAST(floor({_uniform("concat('42:fold:', flow_id)")} * 5) AS INT) AS fold FROM scaled),
+, dealt AS (SELECT flow_id, {_dealt(5)} AS fold FROM (SELECT DISTINCT flow_id, label FROM scaled)),
+x AS (SELECT flow_id, label, feature, v, fold FROM scaled JOIN dealt USING (flow_id)),
 g AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) f(fold)),
 st AS (SELECT g.fold, label AS c, feature, avg(v) AS m, var_pop(v) AS s, CAST(count(*) AS DOUBLE) AS n
   FROM x JOIN g ON x.fold <> g.fold GROUP BY g.fold, label, feature),

@@ -95,7 +95,7 @@ def _train_tree(p: Prepared, **options):
 
 
 def _tune_tree(p: Prepared, folds: int, candidates: list[dict] | None = None):
-    model, scores = trees.tune_tree(p.balanced, folds, candidates, id_col="id")
+    model, scores = trees.tune_tree(p.balanced, folds, candidates, id_col="id", stratified=True)
     return model, dict(max(scores, key=lambda s: s[1])[0])
 
 
@@ -108,7 +108,7 @@ def _train_svm(p: Prepared, max_rows: int = SVM_ROWS, **options):
 def _tune_svm(p: Prepared, folds: int, grid: dict | None = None):
     rows = p.balanced.select("id", "label", "x")
     best = svm.grid_search(rows, folds, grid, id_col="id")[0][0]
-    return svm.fit(rows, **best), {}
+    return svm.fit(rows, best["C"], best["kernel"], best["gamma"]), {}
 
 
 def _train_naive_bayes(p: Prepared, folds: int = 5):
