@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm.select import KEY_BITS, hash48
-from weirgate.llm.text import BLOCK, FOLD, rows_of, text_blocks
+from weirgate.llm.text import FOLD, rows_of, text_blocks
 
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -21,6 +21,8 @@ BLANKS = 0x2020
 FIT_ROWS, MAX_LANGS, TABLE_BYTES = 5_000, 256, 48 << 20
 #: Rows of the table that are filled at once, so that a worker needs little more than the table itself.
 TABLE_ROWS = 64
+#: Code lengths looked up at once.
+STEP_CELLS = 1 << 18
 
 
 @dataclass
@@ -140,10 +142,14 @@ def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
     deep = np.zeros((width, width, len(model.langs)), np.float32)
     flat = np.empty((1 << 16, len(model.langs)), np.float32)
     first, second = common >> 8, common & 255
-    begins = np.zeros((width - 1, 256), np.float32)  # which place begins with which byte
-    begins[np.arange(width - 1), first] = 1
-    ends = np.zeros((256, width - 1), np.float32)  # which place ends with which byte
-    ends[second, np.arange(width - 1)] = 1
+    begin, opener = np.unique(first, return_index=True, return_inverse=True)[1:]  # ascending, as common is
+    by_last = np.argsort(second, kind="stable")
+    lasts, end = np.unique(second[by_last], return_index=True)
+
+    def by_first(cells: np.ndarray) -> np.ndarray:
+        """Per place the sum over all places that begin with the same byte."""
+        return np.add.reduceat(cells, begin, axis=1, dtype=np.float32)[:, opener]
+
     for i in range(len(model.langs)):
         one = _dense(model.pairs, i, 1 << 16).reshape(256, 256)
         single = one.sum(0)
@@ -151,12 +157,14 @@ def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
         order1 = _escape(one, one.sum(1, keepdims=True), (one > 0).sum(1, keepdims=True), order0[None, :])
         flat[:, i] = -np.log2(order1.reshape(-1))
         grid = _dense(model.quads, i, width * width).reshape(width, width)[1:, 1:]
-        two = ends @ grid
-        order2 = _escape(two, (two @ begins)[:, first], ((two > 0).astype(np.float32) @ begins)[:, first],
+        two = np.zeros((256, width - 1), np.float32)
+        for byte, low, high in zip(lasts, end, [*end[1:], width - 1]):
+            two[byte] = grid[by_last[low:high]].sum(0)
+        order2 = _escape(two, by_first(two), by_first(two > 0),
                          order1[first, second][None, :])
         for low in range(0, width - 1, TABLE_ROWS):
             part = grid[low:low + TABLE_ROWS]
-            order3 = _escape(part, (part @ begins)[:, first], ((part > 0).astype(np.float32) @ begins)[:, first],
+            order3 = _escape(part, by_first(part), by_first(part > 0),
                              order2[second[low:low + TABLE_ROWS]])
             deep[1 + low:1 + low + len(part), 1:, i] = -np.log2(order3)
         del grid
@@ -170,7 +178,7 @@ def code_lengths(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarr
     if not langs:
         return bits
     deep, flat = model.tables()
-    step = max(1, BLOCK // max(1, langs // 4))
+    step = max(1, STEP_CELLS // langs)
     here, before, begin = padded(data, starts)
     for low in range(0, len(data), step):
         h, b = here[low:low + step], before[low:low + step]
