@@ -20,6 +20,8 @@ WIDTH, PERCENT = 5, 80
 #: A text is in no language when its bits a byte exceed its language's upper quartile by so many quartile ranges, and
 #: by so large a share of it. No fixed number of bits rejects a text: the corpus decides.
 FENCE, SHARE = 6.0, 1.5
+#: Rows of whole texts that Spark and a Python worker hold at once; long texts make larger batches a burden.
+ARROW_ROWS, ARROW_CONF = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Per predicted language the quartiles of bits a byte over all rows make the bound. Where no row has a
     language there is nothing to learn, and all rows with a letter stay. Texts are coded twice, which is cheaper
-    than writing them once more between both passes.
+    than writing them once more between both passes. From here on the session sends rows to Python in batches of
+    ``ARROW_ROWS`` at most.
     """
+    now = int(spark.conf.get(ARROW_CONF))
+    spark.conf.set(ARROW_CONF, min(now, ARROW_ROWS) if now > 0 else ARROW_ROWS)
     model = language.fit(docs)
     lettered = docs.filter(F.coalesce(F.col("text").rlike(language.LETTER), F.lit(False)))
     if not model.langs:
