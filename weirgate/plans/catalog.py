@@ -619,6 +619,16 @@ def rule_models(spark, sf):
     return scored.select("flow_id", *MODEL_NAMES, verdict.alias("verdict"))
 
 
+@query
+def rule_kernel(spark, sf):
+    """The exact RBF machine, trained, saved, loaded and applied to every flow, on the rule of two categories."""
+    flows = views.flow_features(views.events(spark, sf)).select(
+        "flow_id", "flags", "ip_proto",
+        ((F.coalesce("flags", F.lit("")) == "S") != (F.col("ip_proto") == 17)).cast("int").alias("label"))
+    models = training.load_or_train(spark, scratch(spark, "models"), lambda: flows, {"svm": training.train_kernel})
+    return training.predict_all(flows.drop("label"), models, ["svm"]).select("flow_id", "svm")
+
+
 @query
 def rule_linear(spark, sf):
     """The linear machine and the counts of what was trained, on a label that one category decides."""

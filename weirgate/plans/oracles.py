@@ -475,6 +475,8 @@ ORACLES["q_stream_mac_table"] = ORACLES["q_mac_table"]
 oracle("rule_models", ["flow_features"], f"""
 SELECT flow_id, {', '.join(f'y AS {m}' for m in MODEL_NAMES)}, y AS verdict
 FROM (SELECT flow_id, CAST((flags IS NOT DISTINCT FROM 'S') <> (ip_proto = 17) AS INT) AS y FROM flow_features)""")
+oracle("rule_kernel", ["flow_features"], """
+SELECT flow_id, CAST((flags IS NOT DISTINCT FROM 'S') <> (ip_proto = 17) AS INT) AS svm FROM flow_features""")
 oracle("rule_linear", ["flow_features"], """
 SELECT flow_id, CAST(flags IS NOT DISTINCT FROM 'S' AS INT) AS svm, CAST(1 AS BIGINT) AS trained, CAST(2 AS BIGINT) AS models
 FROM flow_features""")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.operators import knn, naive_bayes, svm, trees
+from weirgate.operators import kernel, knn, naive_bayes, svm, trees
 from weirgate.operators.features import FlowFeatures, FlowFeaturesModel
 from weirgate.operators.sampling import is_test, row_cap, stratified_cap
 from weirgate.operators.smote import balance
@@ -105,6 +105,12 @@ def _train_svm(p: Prepared, max_rows: int = SVM_ROWS, **options):
     return svm.fit(rows, **{**svm.LIVE, **options}), {}
 
 
+def train_kernel(p: Prepared, max_rows: int = SVM_ROWS, **options):
+    """An exact RBF machine on at most ``max_rows`` of the training rows."""
+    rows = row_cap(p.balanced.select("id", "label", "x"), max_rows, "id")
+    return kernel.fit(rows, max_rows=max_rows, **options), {}
+
+
 def _tune_svm(p: Prepared, folds: int, grid: dict | None = None):
     rows = p.balanced.select("id", "label", "x")
     best = svm.grid_search(rows, folds, grid, id_col="id")[0][0]

@@ -6,6 +6,7 @@ import json
 import logging
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVCModel
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.operators.features import FlowFeaturesModel
+from weirgate.operators.kernel import KernelMachine
 from weirgate.operators.knn import KnnModel
 from weirgate.operators.naive_bayes import ClassMoments, GaussianNb
 from weirgate.operators.svm import FourierMap, SvmModel
@@ -20,6 +22,7 @@ from weirgate.operators.trees import CutTree
 
 log = logging.getLogger(__name__)
 
+SUPPORT = "x array<double>, weight double"
 META = "kind string, accuracy double, features string, settings string"
 
 
@@ -49,6 +52,8 @@ class Bundle:
                 raise ValueError(f"{self.name}: unusable settings")
         elif isinstance(model, GaussianNb):
             widths |= {f"class {c}": len(m.means) for c, m in model.classes.items()}
+        elif isinstance(model, KernelMachine):
+            widths["support vectors"] = model.width
         elif isinstance(model, SvmModel) and model.fourier:
             widths["map"] = model.fourier.width
             if model.fourier.dimension != model.linear.numFeatures:
@@ -78,6 +83,10 @@ def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
         settings |= {"labels": model.labels, "k": model.k, "weights": model.weights, "p": model.p}
     elif bundle.kind == "naive_bayes":
         settings |= {"smoothing": model.smoothing, "classes": {str(c): asdict(m) for c, m in model.classes.items()}}
+    elif isinstance(model, KernelMachine):
+        support = [(v.tolist(), float(w)) for v, w in zip(model.support, model.weights)]
+        spark.createDataFrame(support, SUPPORT).coalesce(1).write.mode("overwrite").parquet(f"{path}/support")
+        settings |= {"machine": {"bias": model.bias, "gamma": model.gamma, "settings": model.settings, "rounds": model.rounds}}
     elif bundle.kind == "svm":
         model.linear.write().overwrite().save(f"{path}/model")
         settings |= {"svm": model.settings, "fourier": asdict(model.fourier) if model.fourier else None}
@@ -100,6 +109,9 @@ def load(spark: SparkSession, name: str, path: str) -> Bundle:
     elif kind == "naive_bayes":
         classes = {int(c): ClassMoments(**m) for c, m in settings["classes"].items()}
         model = GaussianNb(classes, settings["smoothing"])
+    elif "machine" in settings:
+        support = spark.read.schema(SUPPORT).parquet(f"{path}/support").collect()  # as many as the fit allowed
+        model = KernelMachine(np.array([r["x"] for r in support]), np.array([r["weight"] for r in support]), **settings["machine"])
     elif kind == "svm":
         fourier = FourierMap(**settings["fourier"]) if settings["fourier"] else None
         model = SvmModel(LinearSVCModel.load(f"{path}/model"), fourier, settings["svm"])
