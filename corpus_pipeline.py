@@ -22,6 +22,8 @@ WIDTH, PERCENT = 5, 80
 FENCE, SHARE = 6.0, 1.5
 #: Rows of whole texts that Spark and a Python worker hold at once; long texts make larger batches a burden.
 ARROW_ROWS, ARROW_CONF = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files go when their query has ended, not when the driver happens to collect its plan. Lost ones are made anew.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +84,9 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat doc_id and text one stays; rows of a class that share only the smallest doc_id both stay. A
     null doc_id stays unless its class has a doc_id. Rows are judged by doc_id and text, so that no row goes for another's
-    text.
+    text. From here on the session drops the shuffle files of queries that have ended.
     """
+    spark.conf.set(CLEANUP_CONF, "true")
     found = cut_lineage(jaccard.link(_keyed(docs), WIDTH, PERCENT, key="key")).filter("n_shingles > 0")
     later = found.filter("component_id.doc_id IS NOT NULL AND NOT key.doc_id <=> component_id.doc_id").select("key")
     first = _without(_held(docs), cut_lineage(later.distinct()))
