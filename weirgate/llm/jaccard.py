@@ -261,9 +261,12 @@ def _search(limit: Threshold, sparse: bool):
     """
     def run(keys, rows: pd.DataFrame) -> pd.DataFrame:
         _, one, other = keys
-        rows = rows.drop_duplicates(["cell", "node"]).sort_values("cell", kind="stable")
         vectors = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(len(rows), -1)
-        cell, node, part, tile, n = (rows[c].to_numpy() for c in ("cell", "node", "part", "tile", "n"))
+        node, part, tile, n = (rows[c].to_numpy() for c in ("node", "part", "tile", "n"))
+        own = np.repeat(np.arange(len(rows)), rows["cells"].map(len).to_numpy())  # the row that stands in each place of a cell
+        cell = np.concatenate(rows["cells"].tolist())
+        by = np.argsort(cell, kind="stable")
+        cell, own = cell[by], own[by]
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         sizes = np.diff(np.append(starts, len(cell)))
 
@@ -281,7 +284,7 @@ def _search(limit: Threshold, sparse: bool):
                 may = may_link(vectors[x], vectors[y], n[x], n[y], over[x], over[y], limit)
                 yield x[may], y[may]
 
-        i, j = across(*_leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF]))
+        i, j = across(*(own[x] for x in _leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF])))
         if len(i):  # copies meet in many cells
             low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             by = np.lexsort((high, low))
@@ -289,7 +292,8 @@ def _search(limit: Threshold, sparse: bool):
             i, j = i[by][new], j[by][new]
         found = list(bounded(i, j))
         for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            found += [across(start + i, start + j) for i, j in RTree(vectors[start:start + size], n[start:start + size]).pairs(limit)]
+            held = own[start:start + size]
+            found += [across(held[i], held[j]) for i, j in RTree(vectors[held], n[held]).pairs(limit)]
         i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         if sparse and len(i):
             shared = [np.minimum(vectors[i[at:at + (1 << 14)]], vectors[j[at:at + (1 << 14)]]).sum(1, dtype=np.int64)
@@ -329,18 +333,27 @@ def _bounded(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def _candidates(members: DataFrame, joined: DataFrame, vectors: DataFrame, limit: Threshold, tile: int, sparse: bool) -> DataFrame:
-    """Pairs across components that meet in a cell and may link; small cells share a task, large ones are dealt out in tiles."""
+    """Pairs across components that meet in a cell and may link; small cells share a task, large ones are dealt out in tiles.
+
+    Cells of the same sets propose the same pairs, so one of them stays: cells are compared by the sums of two 64-bit
+    hashes of their sets. Small cells go to the task of their least set, where a set's cells share one copy of its vector.
+    """
     placed = members.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).select("cell", "node", "part")
-    open_cells = placed.groupBy("cell").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_n")) \
-        .filter("_a <> _b").select("cell", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    hashes = [F.xxhash64(F.lit(seed), "node") for seed in (1, 2)]
+    halves = [half for h in hashes for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]  # sums stay in 64 bits
+    sums = [F.sum(half).alias(f"_sum{k}") for k, half in enumerate(halves)]
+    open_cells = placed.groupBy("cell").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_n"),
+                                            F.min("node").alias("_low"), *sums).filter("_a <> _b") \
+        .groupBy("_n", "_low", *[f"_sum{k}" for k in range(len(sums))]).agg(F.min("cell").alias("cell")) \
+        .select("cell", "_low", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
     rest = cut_lineage(placed.join(open_cells, "cell"))
     own = F.pmod(F.xxhash64("node", "cell"), F.col("_tiles")).cast("int")
     dealt = rest.withColumn("tile", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))) \
         .withColumn("one", F.least("tile", "_with")).withColumn("other", F.greatest("tile", "_with"))
-    small = F.pmod("cell", F.lit(rest.count() // BUCKET + 1))
-    found = dealt.select(F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small).alias("bucket"),
-                         "one", "other", "cell", "node", "part", "tile") \
-        .join(vectors.withColumnRenamed("value", "point"), "node") \
+    small = F.pmod(F.xxhash64("_low"), F.lit(rest.count() // BUCKET + 1))
+    gathered = dealt.withColumn("bucket", F.when(F.col("_tiles") > 1, F.col("cell")).otherwise(small)) \
+        .groupBy("bucket", "one", "other", "node", "part", "tile").agg(F.collect_set("cell").alias("cells"))
+    found = gathered.join(vectors.withColumnRenamed("value", "point"), "node") \
         .groupBy("bucket", "one", "other").applyInPandas(_search(limit, sparse), "a long, b long")
     return cut_lineage(found.distinct())
 
