@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.fixtures import AWKWARD, long_text, table, words
@@ -101,3 +103,24 @@ def test_a_word_longer_than_a_piece_stays_one(spark):
             (6, "x" * (1 << 19)), (7, "x" * (1 << 19) + " "), (8, "x" * ((1 << 19) + 1) + " y")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(table(spark, made)).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (3, 4), 5: (3, 4), 6: (1, 6), 7: (1, 6), 8: (1, 8)}
+
+
+def test_pairs_that_meet_in_many_cells_are_held_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    base, limit, size = rng.integers(0, 3, jaccard.GROUPS), jaccard.Threshold(80), 120
+    vectors = np.clip(base + (rng.random((size, jaccard.GROUPS)) < 0.02), 0, 255).astype(np.uint8)
+    n = vectors.sum(1, dtype=np.int64)
+    rows = pd.DataFrame({"node": np.arange(size) * 7, "part": np.arange(size) * 7, "tile": 0, "n": n, "point": [v.tobytes() for v in vectors],
+                         "cells": [np.delete(np.arange(150), k) for k in range(size)]})
+    want = {(7 * i, 7 * j) for i in range(size) for j in range(i + 1, size)
+            if jaccard.may_link(vectors[i], vectors[j], n[i], n[j], 0, 0, limit)}
+    assert len(want) > 5000
+    monkeypatch.setattr(jaccard, "GATHERED", 20_000, raising=False)
+    tracemalloc.start()
+    got = jaccard._search(limit, False)((0, 0, 0), rows)
+    forest = jaccard._search(limit, True)((0, 0, 0), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(map(tuple, got.values.tolist())) == want and len(got) == len(want)
+    assert len(forest) == size - 1 and set(map(tuple, forest.values.tolist())) <= want
+    assert peak < 12 << 20

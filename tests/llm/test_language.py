@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -82,3 +83,21 @@ def test_held_out_accuracy(spark):
     rows = op4_language_id(spark, SF).join(docs, "doc_id").filter("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.98 * len(rows)
+
+
+def test_tables_need_little_more_than_what_languages_hold():
+    rng = np.random.default_rng(5)
+    width, langs = 1201, 4
+    common = np.sort(rng.choice(100 * 256, width - 1, replace=False))
+    ids = np.zeros(1 << 16, np.int16)
+    ids[common] = np.arange(1, width)
+    left, right = rng.integers(1, width, (2, 20_000))
+    codes = np.unique(rng.integers(0, langs, 20_000) * width * width + left * width + right)
+    pairs = np.unique(rng.integers(0, langs, 20_000) * 65536 + rng.choice(common, 20_000))
+    model = language.Model(list("abcd"), ids, common, (pairs, np.ones(len(pairs), np.int32)), (codes, np.ones(len(codes), np.int32)))
+    tracemalloc.start()
+    model.tables()
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    whole = width * width * langs * 4
+    assert kept < 0.8 * whole and peak < 1.8 * whole

@@ -17,8 +17,8 @@ from weirgate.workspace import broadcast_if_small, cut_lineage
 
 #: Coordinates of a count vector, rows of an R-tree leaf, rows of a cell that one task searches at once.
 GROUPS, LEAF, TILE = 512, 32, 2_000
-#: Rows of small cells that one task searches.
-BUCKET = 20_000
+#: Rows of small cells that one task searches, and pairs found there before repeated ones are merged.
+BUCKET, GATHERED = 20_000, 1 << 19
 #: Sizes from one bound to the next share the number of hash groups.
 RATIO = 1.5
 #: Groups beyond the least number, so that a set with few empty groups needs none of them to be found.
@@ -284,24 +284,37 @@ def _search(limit: Threshold, sparse: bool):
                 may = may_link(vectors[x], vectors[y], n[x], n[y], over[x], over[y], limit)
                 yield x[may], y[may]
 
-        i, j = across(*(own[x] for x in _leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF])))
-        if len(i):  # copies meet in many cells
-            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            by = np.lexsort((high, low))
-            new = np.concatenate([[True], (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])])
-            i, j = i[by][new], j[by][new]
-        found = list(bounded(i, j))
-        for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            held = own[start:start + size]
-            found += [across(held[i], held[j]) for i, j in RTree(vectors[held], n[held]).pairs(limit)]
-        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        if sparse and len(i):
-            shared = [np.minimum(vectors[i[at:at + (1 << 14)]], vectors[j[at:at + (1 << 14)]]).sum(1, dtype=np.int64)
-                      for at in range(0, len(i), 1 << 14)]
-            by = np.argsort(limit.overlap(n[i] + n[j]) - np.concatenate(shared), kind="stable")
-            i, j = i[by], j[by]
-            keep = _forest(part[i], part[j])
-            i, j = i[keep], j[keep]
+        def distinct(i, j):
+            """Copies meet in many cells."""
+            pair = np.unique(np.minimum(i, j).astype(np.int64) * len(rows) + np.maximum(i, j))
+            return pair // len(rows), pair % len(rows)
+
+        def proposed():
+            yield from bounded(*distinct(*across(*(own[x] for x in _leaf_pairs(starts[sizes <= LEAF], sizes[sizes <= LEAF])))))
+            for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+                held = own[start:start + size]
+                for i, j in RTree(vectors[held], n[held]).pairs(limit):
+                    yield across(held[i], held[j])
+
+        def merged(found):
+            """The pairs without repeated ones. What a forest leaves out, it leaves out with more pairs as well."""
+            i, j = distinct(*(np.concatenate(x) for x in zip(*found)))
+            if sparse and len(i):
+                shared = [np.minimum(vectors[i[at:at + (1 << 14)]], vectors[j[at:at + (1 << 14)]]).sum(1, dtype=np.int64)
+                          for at in range(0, len(i), 1 << 14)]
+                by = np.argsort(limit.overlap(n[i] + n[j]) - np.concatenate(shared), kind="stable")
+                i, j = i[by], j[by]
+                keep = _forest(part[i], part[j])
+                i, j = i[keep], j[keep]
+            return i, j
+
+        found, fresh = [(np.zeros(0, np.int64),) * 2], 0
+        for i, j in proposed():
+            found.append((i, j))
+            fresh += len(i)
+            if fresh >= max(GATHERED, len(found[0][0])):
+                found, fresh = [merged(found)], 0
+        i, j = merged(found)
         return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
     return run
@@ -388,13 +401,14 @@ def link(
         slim = cut_lineage(slim.join(clash.withColumn("_clash", F.lit(True)), "node", "left")
                            .withColumn("node", F.when(F.col("_clash"), renamed).otherwise(F.col("node"))).drop("_clash"))
     filled = slim.filter("n > 0")
-    reps = cut_lineage(filled.groupBy("node").agg(F.first(F.struct("_row", "cells")).alias("_r")).select("node", "_r.*"))
+    reps = cut_lineage(filled.groupBy("node").agg(F.first("_row").alias("_row")))
 
-    cells = reps.select("node", F.explode("cells").alias("cell"))
+    chosen, _ = bloom.split(filled, F.col("_row"), bloom.shared(reps.select("_row")))  # read again, rather than written twice
+    cells = chosen.select("node", F.explode("cells").alias("cell"))
     shared = cut_lineage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("_high"))
                          .filter("low < _high").drop("_high"))
     held, _ = bloom.split(cells, F.col("cell"), bloom.shared(shared.select("cell")))
-    members = cut_lineage(held.join(shared, "cell"))
+    members = cut_lineage(held.join(shared, "cell").dropDuplicates(["cell", "node"]))
 
     stars = members.filter("node <> low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
     vectors = _values(members.select("node"), reps, whole, width, False)

@@ -19,10 +19,21 @@ PAD = 3  # blanks as context before the first byte
 BLANKS = 0x2020
 #: Bounds of the model: rows read per language when fitting, languages, bytes of the table of code lengths.
 FIT_ROWS, MAX_LANGS, TABLE_BYTES = 5_000, 256, 48 << 20
-#: Rows of the table that are filled at once, so that a worker needs little more than the table itself.
-TABLE_ROWS = 64
-#: Code lengths looked up at once.
-STEP_CELLS = 1 << 18
+#: Code lengths looked up at once, bytes of whole rows handled at once, counts gathered before a task hands them on.
+STEP_CELLS, STEP_BYTES, GATHERED = 1 << 18, 1 << 16, 1 << 18
+
+
+@dataclass
+class Tables:
+    """Bits with a column per language. Two places of the tree that no language holds in this order cost the escape of the
+    longer context and the bits of the shorter one, so that only the others need cells of their own."""
+    cell: np.ndarray     # per two places the row of their bits, 0 where no language holds them
+    held: np.ndarray     # those bits
+    opener: np.ndarray   # per place the number of its first byte
+    closer: np.ndarray   # and of its second
+    escaped: np.ndarray  # by place and first byte of the next pair
+    shorter: np.ndarray  # by second byte of a place and next place
+    flat: np.ndarray     # by any byte pair
 
 
 @dataclass
@@ -33,7 +44,7 @@ class Model:
     common: np.ndarray  # the byte pairs in the tree, ascending
     pairs: tuple        # codes (language * 65536 + pair) and counts
     quads: tuple        # codes (language * width * width + place * width + place) and counts
-    made: tuple | None = None
+    made: Tables | None = None
 
     @property
     def width(self) -> int:
@@ -42,8 +53,8 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"made": None}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by two places of the tree, and by any byte pair; a column per language. Made once per process."""
+    def tables(self) -> Tables:
+        """Made once per process."""
         if self.made is None:
             self.made = _tables(self)
         return self.made
@@ -70,9 +81,10 @@ def _counter(ids: np.ndarray | None, width: int):
     span = width * width if ids is not None else 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
         for batch in batches:
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
-            for first, last, data, starts in rows_of(batch):
+            for first, last, data, starts in rows_of(batch, STEP_BYTES):
                 here, before, _ = padded(data, starts)
                 lang = np.repeat(langs[first:last], np.diff(starts))
                 codes = here.astype(np.int64)
@@ -80,12 +92,24 @@ def _counter(ids: np.ndarray | None, width: int):
                     left, right = ids[before].astype(np.int64), ids[here].astype(np.int64)
                     known = (left > 0) & (right > 0)
                     codes, lang = (left * width + right)[known], lang[known]
-                found, n = _tally(codes, lang, span)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["code", "n"])
+                gathered.append(_tally(codes, lang, span))
+                size += len(gathered[-1][0])
+                if size >= GATHERED:
+                    yield _summed(gathered)
+                    gathered, size = [], 0
+        if gathered:
+            yield _summed(gathered)
 
     return run
 
 
+def _summed(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    codes, n = (np.concatenate(x) for x in zip(*gathered))
+    found, place = np.unique(codes, return_inverse=True)
+    total = np.bincount(place, n, len(found)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["code", "n"])
+
+
 def _counts(sample: DataFrame, ids: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sample.mapInArrow(_counter(ids, width), "code long, n long") \
         .groupBy("code").agg(F.sum("n").alias("n")).toPandas()
@@ -137,38 +161,45 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang:
     return Model(langs, ids, common, pairs, _counts(sample, ids, width))
 
 
-def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    width, common = model.width, model.common
-    deep = np.zeros((width, width, len(model.langs)), np.float32)
-    flat = np.empty((1 << 16, len(model.langs)), np.float32)
-    first, second = common >> 8, common & 255
-    begin, opener = np.unique(first, return_index=True, return_inverse=True)[1:]  # ascending, as common is
-    by_last = np.argsort(second, kind="stable")
-    lasts, end = np.unique(second[by_last], return_index=True)
-
-    def by_first(cells: np.ndarray) -> np.ndarray:
-        """Per place the sum over all places that begin with the same byte."""
-        return np.add.reduceat(cells, begin, axis=1, dtype=np.float32)[:, opener]
-
-    for i in range(len(model.langs)):
+def _tables(model: Model) -> Tables:
+    width, langs = model.width, len(model.langs)
+    first, second = model.common >> 8, model.common & 255
+    begins, opener = np.unique(first, return_inverse=True)
+    lasts, closer = np.unique(second, return_inverse=True)
+    opener, closer = np.append(0, opener), np.append(0, closer)  # no place is 0
+    codes, counts = model.quads
+    cells = np.unique(codes % (width * width))
+    cell = np.zeros(width * width, np.int32)
+    cell[cells] = np.arange(1, len(cells) + 1)
+    held = np.zeros((len(cells) + 1, langs), np.float32)
+    escaped = np.zeros((width, len(begins), langs), np.float32)
+    shorter = np.zeros((len(lasts), width, langs), np.float32)
+    flat = np.empty((1 << 16, langs), np.float32)
+
+    for i in range(langs):
         one = _dense(model.pairs, i, 1 << 16).reshape(256, 256)
         single = one.sum(0)
         order0 = _escape(single, single.sum(), (single > 0).sum(), np.full(256, 1 / 256))
         order1 = _escape(one, one.sum(1, keepdims=True), (one > 0).sum(1, keepdims=True), order0[None, :])
         flat[:, i] = -np.log2(order1.reshape(-1))
-        grid = _dense(model.quads, i, width * width).reshape(width, width)[1:, 1:]
-        two = np.zeros((256, width - 1), np.float32)
-        for byte, low, high in zip(lasts, end, [*end[1:], width - 1]):
-            two[byte] = grid[by_last[low:high]].sum(0)
-        order2 = _escape(two, by_first(two), by_first(two > 0),
+        own = codes // (width * width) == i
+        code, n = codes[own] % (width * width), counts[own].astype(float)
+        left, right = code // width, code % width
+        two = np.bincount(closer[left] * width + right, n, shorter[..., 0].size)
+        last, place = np.divmod(np.flatnonzero(two), width)
+        kinds = np.bincount(last * len(begins) + opener[place], minlength=len(lasts) * len(begins)).reshape(len(lasts), -1)
+        total = np.bincount(closer[left] * len(begins) + opener[right], n, kinds.size).reshape(kinds.shape)
+        order2 = _escape(two.reshape(len(lasts), width)[:, 1:], total[:, opener[1:]], kinds[:, opener[1:]],
                          order1[first, second][None, :])
-        for low in range(0, width - 1, TABLE_ROWS):
-            part = grid[low:low + TABLE_ROWS]
-            order3 = _escape(part, by_first(part), by_first(part > 0),
-                             order2[second[low:low + TABLE_ROWS]])
-            deep[1 + low:1 + low + len(part), 1:, i] = -np.log2(order3)
-        del grid
-    return deep.reshape(-1, len(model.langs)), flat
+        shorter[:, 1:, i] = -np.log2(order2)
+        context = left * len(begins) + opener[right]
+        kinds = np.bincount(context, minlength=escaped[..., 0].size)
+        total = np.bincount(context, n, kinds.size)
+        escaped[..., i] = -np.log2(_escape(np.zeros(1), total, kinds, np.ones(1))).reshape(width, -1)
+        left, right = cells // width, cells % width
+        held[1:, i] = escaped[left, opener[right], i] + shorter[closer[left], right, i]
+        held[cell[code], i] = -np.log2(n / (total + kinds)[context])
+    return Tables(cell, held, opener, closer, escaped, shorter, flat)
 
 
 def code_lengths(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -177,15 +208,19 @@ def code_lengths(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarr
     bits = np.zeros((rows, langs))
     if not langs:
         return bits
-    deep, flat = model.tables()
+    tables = model.tables()
     step = max(1, STEP_CELLS // langs)
     here, before, begin = padded(data, starts)
     for low in range(0, len(data), step):
         h, b = here[low:low + step], before[low:low + step]
         left, right = model.ids[b].astype(np.int64), model.ids[h].astype(np.int64)
-        cost = deep[left * model.width + right]
+        cell = tables.cell[left * model.width + right]
+        cost = tables.held[cell]
+        unseen = np.flatnonzero((cell == 0) & (left > 0) & (right > 0))
+        x, y = left[unseen], right[unseen]
+        cost[unseen] = tables.escaped[x, tables.opener[y]] + tables.shorter[tables.closer[x], y]
         rare = (left == 0) | (right == 0)
-        cost[rare] = flat[h[rare]]
+        cost[rare] = tables.flat[h[rare]]
         inside = np.flatnonzero((starts[1:] > low) & (begin < low + step) & (np.diff(starts) > 0))
         bits[inside] += np.add.reduceat(cost, np.maximum(begin[inside] - low, 0), axis=0, dtype=np.float64)
     return bits
@@ -199,7 +234,7 @@ def coded(text: Column, model: Model, spark: SparkSession) -> Column:
     @F.arrow_udf("struct<best:string,sure:double,bits_per_byte:double>")
     def best(texts: pa.Array) -> pa.Array:
         bits, lengths = [np.zeros((0, len(langs)))], [np.zeros(0)]
-        for data, starts in text_blocks(texts):
+        for data, starts in text_blocks(texts, STEP_BYTES):
             bits.append(code_lengths(shared.value, data, starts))
             lengths.append(np.diff(starts))
         bits, lengths = np.concatenate(bits), np.concatenate(lengths)
