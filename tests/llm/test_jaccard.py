@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from tests.llm.fixtures import AWKWARD, long_text, table, words
+from weirgate import workspace
 from weirgate.llm import jaccard
 
 
@@ -124,3 +125,43 @@ def test_pairs_that_meet_in_many_cells_are_held_once(monkeypatch):
     assert set(map(tuple, got.values.tolist())) == want and len(got) == len(want)
     assert len(forest) == size - 1 and set(map(tuple, forest.values.tolist())) <= want
     assert peak < 12 << 20
+
+
+def test_linked_sets_share_a_cell_whatever_the_levels():
+    rng = np.random.default_rng(11)
+    for percent in (50, 80, 90, 100):
+        limit, linked = jaccard.Threshold(percent), 0
+        for trial in range(40):
+            base = rng.integers(0, 1 << 64, int(rng.integers(1, 90)), dtype=np.uint64)
+            sets = [np.unique(np.append(base[rng.random(len(base)) > rate], rng.integers(0, 1 << 64, int(rate * len(base)), dtype=np.uint64)))
+                    for rate in (0, .02, .05, .05, .1, .2)]
+            counts = np.array([len(x) for x in sets])
+            owner, cells = jaccard.cell_keys(np.concatenate(sets), counts, limit, rng.integers(0, 1 << trial % 9, 64).astype(np.uint8))
+            held = [set(cells[owner == k].tolist()) for k in range(len(sets))]
+            for (a, x), (b, y) in combinations(enumerate(sets), 2):
+                common = len(np.intersect1d(x, y))
+                if len(x) and len(y) and set(x.tolist()) != set(y.tolist()) and 100 * common >= percent * (len(x) + len(y) - common):
+                    assert held[a] & held[b]
+                    linked += 1
+        assert linked > 100 or percent == 100
+
+
+def test_a_passage_that_many_texts_share_makes_no_pairs(spark, monkeypatch):
+    """Unlike texts with common passages were compared with each other, and their vectors moved for it, once per cell."""
+    met = []
+    search = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda members, *rest: (met.append(members.count()), search(members, *rest))[1])
+    passages = [" ".join(words(8, 700 + k, 10 ** 6)) for k in range(5)]
+    rows = [(i, " ".join(words(60, i, 10 ** 6)) + " " + " ".join(passages)) for i in range(300)]
+    rows += [(1000 + i, text + " end") for i, (_, text) in enumerate(rows[:20])]
+    assert got(jaccard.link(table(spark, rows))) == brute(rows)
+    assert max(met) < 2_000  # shingles of the 20 linked pairs; 300 texts met in each cell of the passages before
+
+
+def test_tables_between_the_steps_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_root", lambda spark: str(tmp_path))
+    rows = [(i, t) for i, t in enumerate(mutants(words(200, 5, 5000), 30, 5, .01) + mutants(words(90, 6, 5000), 30, 6, .02))]
+    found = jaccard.link(table(spark, rows))
+    left = {f.name for f in tmp_path.iterdir()}
+    assert {p.split("/")[-2] for p in found.inputFiles()} <= left and len(left) <= 8  # the answer is read from some of them
+    assert got(found) == brute(rows)

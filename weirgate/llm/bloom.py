@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.workspace import cut_lineage
+from weirgate.workspace import cut_lineage, discard
 
 #: log2 of the most bits, and bits per hash below that. Beyond the most, more rows pass; none is ever lost.
 BITS, ROOM = 28, 32
@@ -73,7 +73,9 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def shared(hashes: DataFrame):
     """A broadcast bitmap of the only column of ``hashes``."""
     distinct = cut_lineage(hashes.distinct())
-    return hashes.sparkSession.sparkContext.broadcast(build(distinct, hashes.columns[0]))
+    bitmap = build(distinct, hashes.columns[0])
+    discard(distinct)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def split(rows: DataFrame, hashed: Column, bitmap) -> tuple[DataFrame, DataFrame]:

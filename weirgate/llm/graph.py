@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.workspace import cut_lineage
+from weirgate.workspace import cut_lineage, discard
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         low = cut_lineage(_lowest(both).withColumn("_low", F.least("a", "_low")))
         large = cut_lineage(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b")).distinct())
+        discard(low, now)
         low = cut_lineage(_lowest(large))
         small = large.join(low, "a").filter("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b")) \
             .union(low.select("a", F.col("_low").alias("b")))
         now = cut_lineage(small.distinct())
+        discard(low, large)
         new = _mark(now)
         if new == mark:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,14 @@ from pyspark.sql import functions as F
 from weirgate.llm import bloom
 from weirgate.llm.graph import components
 from weirgate.llm.text import distinct_sorted, mix, rows_of, shingles, word_hashes
-from weirgate.workspace import broadcast_if_small, cut_lineage
+from weirgate.workspace import broadcast_if_small, cut_lineage, discard
 
 #: Coordinates of a count vector, rows of an R-tree leaf, rows of a cell that one task searches at once.
 GROUPS, LEAF, TILE = 512, 32, 2_000
 #: Rows of small cells that one task searches, and pairs found there before repeated ones are merged.
 BUCKET, GATHERED = 20_000, 1 << 19
-#: Sizes from one bound to the next share the number of hash groups.
-RATIO = 1.5
-#: Groups beyond the least number, so that a set with few empty groups needs none of them to be found.
-SLACK = 1
+#: log2 of the most counters of shingles, counters per set below that, counters that one row carries.
+COUNTERS, ROOM, SLICE = 22, 16, 1 << 14
 
 
 class Threshold:
@@ -38,63 +37,34 @@ class Threshold:
         """Most elements in one set only, given the sum of both sizes."""
         return total * (self.whole - self.part) // (self.whole + self.part)
 
+    def leading(self, n):
+        """Of n ordered elements so many first ones that the rest is too small for a link."""
+        return n + 1 + -n * self.part // self.whole
+
     def overlap(self, total):
         """Least intersection, given the sum of both sizes."""
         return -(-total * self.part // (self.whole + self.part))
 
 
-def size_bounds(most: int = 1 << 40) -> np.ndarray:
-    bounds = [1]
-    while bounds[-1] < most:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * RATIO)))
-    return np.array(bounds, np.int64)
-
+def counter_of(hashes: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each shingle; ``counters`` is a power of two."""
+    return (hashes >> np.uint64(64 - (counters.bit_length() - 1))).astype(np.int64)
 
-BOUNDS = size_bounds()
 
+def cell_keys(sets: np.ndarray, counts: np.ndarray, limit: Threshold, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and cells of each set (hashes ascending within a row): its rarest shingles.
 
-def cell_keys(sets: np.ndarray, counts: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of the cells of each set (hashes ascending within a row).
-
-    Sets of one size class are split into the same hash groups, more of them than elements can differ between
-    two linked sets, so that two linked sets agree in ``1 + SLACK`` groups at least. A cell is the content of
-    a group. A set also takes part in the class of its largest partner, hence linked sets always share a class.
+    All shingles have one order, that of the level of their counter and then of their hash. Linked sets have so many
+    shingles in common that the first of these in that order is among the first ``leading`` ones of both sets, whatever the
+    levels are. True counts only keep shingles of many sets from being cells.
     """
-    own = np.searchsorted(BOUNDS, counts, "right") - 1
-    most = limit.largest_partner(counts)
-    up = np.searchsorted(BOUNDS, most, "right") - 1
+    open_to_others = limit.differing(counts + limit.largest_partner(counts)) > 0
+    wanted = np.where(open_to_others, limit.leading(counts), 0)
     owner = np.repeat(np.arange(len(counts)), counts)
-    row_start = np.cumsum(counts) - counts
-    found_rows, found_keys = [], []
-    for step in range(int((up - own).max(initial=0)) + 1):
-        kind = own + step
-        wanted = (kind <= up) & (counts > 0) & (limit.differing(counts + most) > 0)
-        if not wanted.any():
-            continue
-        groups = limit.differing(2 * (BOUNDS[kind + 1] - 1)) + 1 + SLACK
-        inside = wanted[owner]
-        rows, hashes = owner[inside], sets[inside]
-        group = ((hashes >> np.uint64(32)) * groups[rows].astype(np.uint64)) >> np.uint64(32)
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])
-        first = np.flatnonzero(new)
-        content = np.add.reduceat(mix(hashes), first)
-        tag = kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        found_rows.append(rows[first])
-        found_keys.append(mix(content + tag[rows[first]] + group[first] * np.uint64(0xA24BAED4963EE407)))
-        used = np.bincount(rows[first], minlength=len(counts))
-        for row in np.flatnonzero(wanted & (groups - used > SLACK)):  # agreeing groups may all be empty ones
-            full = np.zeros(groups[row], bool)
-            full[(((sets[row_start[row]:row_start[row] + counts[row]] >> np.uint64(32)) * np.uint64(groups[row]))
-                  >> np.uint64(32)).astype(np.int64)] = True
-            empty = np.flatnonzero(~full).astype(np.uint64)
-            found_rows.append(np.full(len(empty), row))
-            found_keys.append(mix(tag[row] + empty * np.uint64(0xA24BAED4963EE407) + np.uint64(1)))
-    if not found_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rows, keys = np.concatenate(found_rows), np.concatenate(found_keys)
-    order = np.argsort(rows, kind="stable")
-    return rows[order], keys[order]
+    order = np.argsort(owner * 256 + levels[counter_of(sets, len(levels))], kind="stable")
+    place = np.arange(len(sets)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = place < wanted[owner]
+    return owner[first], sets[order[first]]
 
 
 def points(sets: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -131,31 +101,92 @@ def _named(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return digests[0], digests[1]
 
 
-def _slim(width: int, limit: Threshold):
+def _slim(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets, sizes in _row_sets(batch, width):
-                rows, keys = cell_keys(sets, sizes, limit)
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=last - first))]).astype(np.int32)
                 name, check = _named(sets, sizes)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
                     pa.array(sizes.astype(np.int64)), pa.array(name), pa.array(check),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.view(np.int64))),
-                ], ["_key", "_row", "n", "node", "check", "cells"])
+                ], ["_key", "_row", "n", "node", "check"])
+
+    return run
+
+
+def _hit(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that may be wanted."""
+    for batch in batches:
+        hit = bloom.holds(bitmap, batch.column("_row").to_numpy(zero_copy_only=False).view(np.uint64))
+        if hit.any():
+            yield batch.filter(pa.array(hit))
+
+
+def _counted(width: int, shared, counters: int):
+    """How many rows of a task hold a shingle, by counter up to a byte's worth, in packed slices."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.uint32)
+        for batch in _hit(batches, shared.value):
+            for _, _, sets, _ in _row_sets(batch, width):
+                np.add.at(counts, counter_of(sets, counters), np.uint32(1))
+        counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, min(SLICE, counters))
+        for k in np.flatnonzero(counts.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int64()), pa.array([zlib.compress(counts[k].tobytes(), 1)], pa.binary())], ["slice", "bytes"])
+
+    return run
+
+
+def _levels_of_slice(keys, rows: pd.DataFrame) -> pd.DataFrame:
+    counts = 0
+    for packed in rows["bytes"]:
+        counts = counts + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint32)
+    return pd.DataFrame({"slice": [int(keys[0])], "bytes": [np.floor(8 * np.log2(counts + 1.0)).astype(np.uint8).tobytes()]})
+
+
+def _levels(docs: DataFrame, reps: DataFrame, bitmap, width: int) -> np.ndarray:
+    """How common shingles are among the sets, in eighths of a doubling, by counter."""
+    counters = 1 << min(COUNTERS, max(10, (reps.count() * ROOM).bit_length()))
+    parts = docs.mapInArrow(_counted(width, bitmap, counters), "slice long, bytes binary") \
+        .groupBy("slice").applyInPandas(_levels_of_slice, "slice long, bytes binary").collect()
+    levels = np.zeros(counters, np.uint8)
+    for part in parts:
+        at = part["slice"] * SLICE
+        levels[at:at + len(part["bytes"])] = np.frombuffer(part["bytes"], np.uint8)
+    return levels
+
+
+def _celled(width: int, limit: Threshold, shared, shared_levels):
+    """Names and cells of the rows that may be wanted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _hit(batches, shared.value):
+            for first, last, sets, sizes in _row_sets(batch, width):
+                rows, keys = cell_keys(sets, sizes, limit, shared_levels.value)
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=last - first))]).astype(np.int32)
+                name, check = _named(sets, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name), pa.array(check), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.view(np.int64)))],
+                    ["node", "check", "cells"])
 
     return run
 
 
+def _cells(docs: DataFrame, reps: DataFrame, width: int, limit: Threshold) -> DataFrame:
+    """(node, check, cells) of the sets, with the names that their digests give, and few of them repeated."""
+    context = docs.sparkSession.sparkContext
+    docs = docs.select("_row", "text")
+    bitmap = context.broadcast(bloom.build(reps, "_row"))
+    levels = context.broadcast(_levels(docs, reps, bitmap, width))
+    cells = cut_lineage(docs.mapInArrow(_celled(width, limit, bitmap, levels), "node long, check long, cells array<long>"))
+    bitmap.destroy()
+    levels.destroy()
+    return cells
+
+
 def _wanted(width: int, shared, whole: bool):
     """Of the rows that may be wanted the sets themselves, or else their count vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            hit = bloom.holds(bitmap, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            if not hit.any():
-                continue
-            batch = batch.filter(pa.array(hit))
+        for batch in _hit(batches, shared.value):
             for first, last, sets, sizes in _row_sets(batch, width):
                 if whole:
                     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -174,7 +205,10 @@ def _values(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int, whol
     bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "_row"))
     kind = "array<long>" if whole else "binary"
     found = docs.mapInArrow(_wanted(width, bitmap, whole), f"_row long, n long, value {kind}")
-    return cut_lineage(found.join(broadcast_if_small(wanted), "_row").dropDuplicates(["node"]).drop("_row"))
+    values = cut_lineage(found.join(broadcast_if_small(wanted), "_row").dropDuplicates(["node"]).drop("_row"))
+    bitmap.destroy()
+    discard(wanted)
+    return values
 
 
 class RTree:
@@ -321,15 +355,17 @@ def _search(limit: Threshold, sparse: bool):
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, limit: Threshold) -> DataFrame:
-    """The pairs ``a``, ``b`` (a written table) whose sets link."""
+    """The pairs ``a``, ``b`` (a written table, deleted here) whose sets link."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     sets = _values(nodes, reps, docs, width, True)
     one = sets.select(F.col("node").alias("a"), F.col("value").alias("_x"))
     two = sets.select(F.col("node").alias("b"), F.col("value").alias("_y"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("_x", "_y"))
-    return cut_lineage(both.filter(
+    linked = cut_lineage(both.filter(
         limit.whole * common >= limit.part * (F.size("_x") + F.size("_y") - common)).select("a", "b"))
+    discard(sets, pairs)
+    return linked
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -368,7 +404,9 @@ def _candidates(members: DataFrame, joined: DataFrame, vectors: DataFrame, limit
         .groupBy("bucket", "one", "other", "node", "part", "tile").agg(F.collect_set("cell").alias("cells"))
     found = gathered.join(vectors.withColumnRenamed("value", "point"), "node") \
         .groupBy("bucket", "one", "other").applyInPandas(_search(limit, sparse), "a long, b long")
-    return cut_lineage(found.distinct())
+    pairs = cut_lineage(found.distinct())
+    discard(rest)
+    return pairs
 
 
 def link(
@@ -382,33 +420,40 @@ def link(
     are their own component; a null key never names a component, but passes links on. Equal sets, repeated rows
     included, collapse to one before the search. An empty table gives no rows; other columns are ignored.
 
-    Steps: (1) each set becomes a digest and cells; (2) cells held by two or more different
-    sets remain, and their sets get count vectors; (3) each set is checked against the least set of one of its cells, and the links found already join
-    most copies; (4) cells that still hold several components are searched by an R-tree, large cells in tiles,
-    for pairs across components whose overlap bound allows a link: first for a forest of the likeliest, then, components
-    having grown, for all that are left; (5) those are checked. A link that is not checked joins sets that are in one
-    component anyway.
+    Steps: (1) each set becomes a digest, and its rarest shingles, as counted over all sets, become its cells; (2) cells held by
+    two or more different sets remain, and their sets get count vectors; (3) each set is checked against the least set of one of its
+    cells, and the links found already join most copies; (4) cells that still hold several components are searched by an
+    R-tree, large cells in tiles, for pairs across components whose overlap bound allows a link: first for a forest of the
+    likeliest, then, components having grown, for all that are left; (5) those are checked. A link that is not checked joins
+    sets that are in one component anyway. Tables between the steps are deleted once read for the last time.
     """
     limit = Threshold(percent)
     kind = docs.schema[key].dataType.simpleString()
     whole = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_row"), F.col(text).alias("text"))
-    slim = cut_lineage(whole.mapInArrow(
-        _slim(width, limit),
-        f"_key {kind}, _row long, n long, node long, check long, cells array<long>"))
+    slim = cut_lineage(whole.mapInArrow(_slim(width), f"_key {kind}, _row long, n long, node long, check long"))
     clash = slim.groupBy("node").agg(F.min("check").alias("_a"), F.max("check").alias("_b")).filter("_a <> _b").select("node")
-    if not clash.isEmpty():  # two sets share a digest: name those by both digests
+    clashing = not clash.isEmpty()
+    if clashing:  # two sets share a digest: name those by both digests
+        clash = cut_lineage(clash.withColumn("_clash", F.lit(True)))
+
+    def told_apart(named: DataFrame) -> DataFrame:
+        if not clashing:
+            return named
         renamed = F.xxhash64("node", "check")
-        slim = cut_lineage(slim.join(clash.withColumn("_clash", F.lit(True)), "node", "left")
-                           .withColumn("node", F.when(F.col("_clash"), renamed).otherwise(F.col("node"))).drop("_clash"))
+        return named.join(clash, "node", "left") \
+            .withColumn("node", F.when(F.col("_clash"), renamed).otherwise(F.col("node"))).drop("_clash")
+
+    slim = cut_lineage(told_apart(slim)) if clashing else slim
     filled = slim.filter("n > 0")
     reps = cut_lineage(filled.groupBy("node").agg(F.first("_row").alias("_row")))
 
-    chosen, _ = bloom.split(filled, F.col("_row"), bloom.shared(reps.select("_row")))  # read again, rather than written twice
-    cells = chosen.select("node", F.explode("cells").alias("cell"))
+    celled = _cells(whole, reps, width, limit)
+    cells = told_apart(celled).select("node", F.explode("cells").alias("cell"))
     shared = cut_lineage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("_high"))
                          .filter("low < _high").drop("_high"))
     held, _ = bloom.split(cells, F.col("cell"), bloom.shared(shared.select("cell")))
     members = cut_lineage(held.join(shared, "cell").dropDuplicates(["cell", "node"]))
+    discard(celled, shared)
 
     stars = members.filter("node <> low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
     vectors = _values(members.select("node"), reps, whole, width, False)
@@ -417,8 +462,10 @@ def link(
     for sparse in (True, False):
         more = _verified(_candidates(members, joined, vectors, limit, tile, sparse), reps, whole, width, limit)
         if not more.isEmpty():
-            links = cut_lineage(links.union(more))
+            before, links = (links, more, joined), cut_lineage(links.union(more))
             joined = cut_lineage(components(links))
+            discard(*before)
+    discard(members, vectors, reps, links)
 
     member = filled.select("_key", "n", "node").join(joined, "node", "left") \
         .select("_key", "n", F.coalesce("component", "node").alias("_part"))

@@ -41,7 +41,18 @@ def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "stage")
     (df.repartition(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more. What else is passed stays as it is."""
+    for table in tables:
+        if path := table.__dict__.pop("_written_to", None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
