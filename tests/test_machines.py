@@ -94,3 +94,30 @@ def test_stratified_folds(spark):
         assert all(max(c) - min(c) <= 1 for c in counts.values())
     assert sampling.stratified_fold(df.limit(0), 5).isEmpty()
     assert not math.isnan(want[0])
+
+
+def test_few_rows_are_fitted_in_one_job_like_many(noisy, spark):
+    rows = noisy.select("x", F.when(F.col("label") > 0, 1.0).otherwise(-1.0).alias("y"), (F.col("flow_id") % 3).cast("int").alias("fold"))
+    rows = rows.repartition(3, "fold").persist()
+    lifts = [svm.plain, svm.FourierMap(3, 0.5, 16).lift()]
+    tried = [machines.Machine(k, p, h) for k in (0, 1) for p in (1e-1, 1e-3) for h in (None, 0, 2)]
+    context, found = spark.sparkContext, []
+    for held in (machines.HELD, 0):
+        context.setJobGroup(f"held-{held}", "fit")
+        found.append(machines.Machines(rows, lifts, tried, held=held).fit(1e-6))
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    assert len(tracker.getJobIdsForGroup(f"held-{machines.HELD}")) <= 12 < 24 < len(tracker.getJobIdsForGroup("held-0"))
+    for a, b in zip(*found):
+        assert (a.steps, a.converged) == (b.steps, b.converged) and a.loss == pytest.approx(b.loss, rel=1e-9)
+        assert np.allclose(a.weights, b.weights, rtol=1e-6, atol=1e-9)
+    stopped = machines.Machines(rows, lifts, tried).fit(1e-9, max_steps=3)
+    assert not any(f.converged for f in stopped) and len(stopped) == len(tried)
+    rows.unpersist()
+
+
+def test_sums_of_many_rows_by_spark_equal_sums_on_the_driver(noisy):
+    _, here = fitted(noisy, [1e-2], held=0)
+    _, there = fitted(noisy.repartition(5), [1e-2], direct_tasks=1, held=0)
+    for a, b in zip(here, there):
+        assert np.allclose(a.weights, b.weights, atol=1e-3) and a.loss == pytest.approx(b.loss)
