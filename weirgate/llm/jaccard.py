@@ -21,7 +21,7 @@ GROUPS, LEAF, TILE = 512, 32, 2_000
 #: Rows of small cells that one task searches, and pairs found there before repeated ones are merged.
 BUCKET, GATHERED = 20_000, 1 << 19
 #: log2 of the most counters of shingles, counters per set below that, counters that one row carries.
-COUNTERS, ROOM, SLICE = 22, 16, 1 << 14
+COUNTERS, ROOM, SLICE = 20, 16, 1 << 14
 
 
 class Threshold:
@@ -129,7 +129,7 @@ def _counted(width: int, shared, counters: int):
         for batch in _hit(batches, shared.value):
             for _, _, sets, _ in _row_sets(batch, width):
                 np.add.at(counts, counter_of(sets, counters), np.uint32(1))
-        counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, min(SLICE, counters))
+        counts = np.minimum(counts, 255, out=counts).astype(np.uint8).reshape(-1, min(SLICE, counters))
         for k in np.flatnonzero(counts.any(1)).tolist():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k], pa.int64()), pa.array([zlib.compress(counts[k].tobytes(), 1)], pa.binary())], ["slice", "bytes"])
